@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexcorpus.llm.lookalikes import consistent, disguised
+from lexcorpus.llm.neardup import NearDuplicates, Similar, groups, pairs_across_documents, provisions
 from lexcorpus.llm.sentences import sentences
 from lexcorpus.tables import records, table
 
 
+def _near(spark: SparkSession, d: str, similar: Similar) -> NearDuplicates:
+    t = [table(spark, d, x) for x in ("legal_nodes", "legal_document_versions", "legal_knowledge_articles")]
+    return NearDuplicates(provisions(*t, similar.min_words), similar)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_across_documents(_near(spark, d, Similar(words=3, threshold=0.5)))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return groups(_near(spark, d, Similar()))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return disguised(table(spark, d, "legal_nodes"), table(spark, d, "legal_document_versions"), ["title", "text"])
 
@@ -26,5 +40,5 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_consistent, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_found, p6_consistent, p9_found, p9_units)}
 ORACLE: dict[str, str] = {}
