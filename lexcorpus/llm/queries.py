@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexcorpus.llm.lookalikes import consistent, disguised
+from lexcorpus.llm.matching import matches
 from lexcorpus.llm.neardup import NearDuplicates, Similar, groups, pairs_across_documents, provisions
 from lexcorpus.llm.sentences import sentences
 from lexcorpus.tables import records, table
@@ -23,6 +25,17 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(_near(spark, d, Similar()))
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("adopted_at", "yyyy-MM-dd").alias("day")
+    acts = table(spark, d, "legal_documents").select("id", "title", F.col("document_number").alias("number"), day, F.col("canonical_url").alias("address"), "jurisdiction", F.col("document_type").alias("kind"))
+    known = table(spark, d, "legal_knowledge_documents").select("id", "title", F.col("law_id").alias("number"), F.col("valid_from").alias("day"), F.col("source_url").alias("address"), "jurisdiction", F.col("document_type").alias("kind"))
+    return matches(acts, known)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("document_id", "knowledge_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return disguised(table(spark, d, "legal_nodes"), table(spark, d, "legal_document_versions"), ["title", "text"])
 
@@ -40,5 +53,5 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p6_found, p6_consistent, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_matches, p3_found, p6_found, p6_consistent, p9_found, p9_units)}
 ORACLE: dict[str, str] = {}
