@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lexcorpus.llm.lookalikes import consistent, disguised
 from lexcorpus.llm.matching import matches
+from lexcorpus.llm.mixing import mix, shares
 from lexcorpus.llm.neardup import NearDuplicates, Similar, groups, pairs_across_documents, provisions
+from lexcorpus.llm.packing import fill, pack
 from lexcorpus.llm.sentences import sentences
 from lexcorpus.tables import records, table
 
@@ -45,6 +47,22 @@ def p6_consistent(spark: SparkSession, d: str) -> DataFrame:
     return consistent(nodes, ["title", "text"], ["id"])
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_capacities"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(p7_containers(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p8_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
@@ -53,5 +71,5 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"), with_text=True)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_matches, p3_found, p6_found, p6_consistent, p9_found, p9_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_matches, p3_found, p6_found, p6_consistent, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_units)}
 ORACLE: dict[str, str] = {}
