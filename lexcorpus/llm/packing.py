@@ -25,12 +25,23 @@ from lexcorpus.llm.tokens import DEFAULT, ranked, sized
 from lexcorpus.staging import Stage
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of containers, lengths in each); ``counts[n]`` items of length n, up to ``capacity``."""
+Patterns = list[tuple[int, tuple[int, ...]]]
+
+
+def plan(counts: np.ndarray, capacity: int) -> Patterns:
+    """(number of containers, lengths in each); ``counts[n]`` items of length n, up to ``capacity``.
+
+    Exact combinations of many short items can take away what long ones would need: of the plans
+    with complements of up to three, two and one item, the one with the fewest containers is taken.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(m for m, _ in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> Patterns:
     left = np.zeros(capacity + 1, dtype=np.int64)
     left[: len(counts)] = counts
     left[0] = 0
-    out: list[tuple[int, tuple[int, ...]]] = []
+    out: Patterns = []
     if left[capacity]:
         out.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
@@ -62,12 +73,12 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]
         gap = capacity - n
         if left[n] and gap <= n and left[gap] and (gap != n or left[n] > 1):
             use((n, gap))
-        if left[n]:
+        if left[n] and most > 1:
             for a, b in pair(gap, min(n, gap - 1)):
                 if not left[n]:
                     break
                 use((n, a, b))
-        if left[n] and gap > 2:
+        if left[n] and most > 2 and gap > 2:
             top = min(n, gap - 2)
             index = sums(top)
             for a in np.nonzero(left[: top + 1])[0][::-1]:
@@ -82,7 +93,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]
             rest.append((n, int(left[n])))
             left[n] = 0
     # best fit of what has no exact complement: open containers by the room they still have
-    room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+    room: dict[int, Patterns] = {}
     open_ = np.zeros(capacity + 1, dtype=bool)
     for n, k in rest:
         while k:
@@ -113,7 +124,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]
     return out + [g for r in sorted(room) for g in room[r]]
 
 
-def _places(patterns: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, ...]:
+def _places(patterns: Patterns) -> tuple[np.ndarray, ...]:
     """Sorted (length, first rank) of each segment, and its items a container and first container."""
     used: dict[int, int] = {}
     rows, first = [], 0
