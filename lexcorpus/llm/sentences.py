@@ -46,6 +46,11 @@ NUMBERED = ["п", "ч", "т", "с", "s", "p", "pp", "r", "№", "зүйл", "х
 NUMBER_WORDS = ["Нэг", "Хоёр", "Гурав", "Дөрөв", "Тав", "Зургаа", "Долоо", "Найм", "Ес", "Арав", "Арван нэг", "Арван хоёр", "Арван гурав", "Арван дөрөв", "Арван тав"]
 
 
+def _not(chars: str) -> str:
+    """A class of all but ``chars``; the commonest letters, none of which is in ``chars``, are tried first."""
+    return rf"[\u0400-\u04FFa-z [^{chars}]]"
+
+
 def _any(words: list[str]) -> str:
     return "|".join(w.replace(".", f"[.{MASK}]") for w in sorted(words, key=len, reverse=True))
 
@@ -53,24 +58,24 @@ def _any(words: list[str]) -> str:
 def masked(text: Column) -> Column:
     """``text`` with every mark that ends nothing replaced by a placeholder, of the same length.
 
-    Each step names its input once: the expression would double at every step otherwise.
+    Each step names its input once: the expression would double at every step otherwise. Steps for
+    marks that few texts hold run only on those.
     """
-    c = F.translate(text, MASK + BLOCK + OPEN + CLOSE + NUMBER, "\ue00a" * 5)
-    c = F.regexp_replace(c, r"\r(?=\n)", " ")
-    c = F.translate(c, "\r\u0085\u2028\u2029", "\n" * 4)
-    c = F.regexp_replace(c, rf"\n(?=[{H}]*\n)", BLOCK)
+    own = MASK + BLOCK + OPEN + CLOSE + NUMBER
+    c = _where(text, list(own), rf"[{own}]", "\ue00a")
+    c = _where(F.replace(c, F.lit("\r\n"), F.lit(" \n")), list("\r\u0085\u2028\u2029"), r"[\r\u0085\u2028\u2029]", "\n")
+    c = _where(c, "\n", rf"\n(?=[{H}]*\n)", BLOCK)
     # straight quotes as pairs, a German pair likewise
-    c = F.regexp_replace(c, rf'"([^"{BLOCK}]*)"', f"{OPEN}$1{CLOSE}")
-    c = F.regexp_replace(c, rf"'(?<![\p{{L}}\p{{N}}]')([^'{BLOCK}]*)'(?![\p{{L}}\p{{N}}])", f"{OPEN}$1{CLOSE}")
-    c = F.regexp_replace(c, rf"„([^„“”{BLOCK}]*)[“”]", f"{OPEN}$1{CLOSE}")
+    c = _where(c, '"', rf'"([^"{BLOCK}]*)"', f"{OPEN}$1{CLOSE}")
+    c = _where(c, "'", rf"'(?<![\p{{L}}\p{{N}}]')([^'{BLOCK}]*)'(?![\p{{L}}\p{{N}}])", f"{OPEN}$1{CLOSE}")
+    c = _where(c, "„", rf"„([^„“”{BLOCK}]*)[“”]", f"{OPEN}$1{CLOSE}")
     # addresses: marks with more of the address behind them
-    c = F.regexp_replace(c, rf"(\G(?!\A)[^{WS}{T}]*|https?://[^{WS}{T}]*)[{T}](?=[^{WS}{C}{T},;])", f"$1{MASK}")
-    c = F.regexp_replace(c, rf"\.(?<=@[\w.{MASK}-]{{1,60}}\.)(?=\w)", MASK)
-    # decimals, dates, numbers of provisions
-    c = F.regexp_replace(c, r"\.(?<=[0-9]\.)(?=[0-9])", MASK)
-    # dots inside abbreviations, initials, abbreviations, leading numbers
+    c = _where(c, "://", rf"(\G(?!\A)[^{WS}{T}]*|https?://[^{WS}{T}]*)[{T}](?=[^{WS}{C}{T},;])", f"$1{MASK}")
+    # decimals, dates, mail addresses, dots inside abbreviations, initials, abbreviations
     dots = "|".join(
         [
+            r"(?<=[0-9]\.)(?=[0-9])",
+            rf"(?<=@[\w.{MASK}-]{{1,60}}\.)(?=\w)",
             r"(?<=(?<![\p{L}\p{N}])\p{Ll}\.)(?=\p{Ll})",
             rf"(?<=(?<![\p{{L}}\p{{N}}])\p{{Lu}}\.)(?=[{WS}]?\p{{Lu}})",
             rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}.])(?:{_any(LEADING)})\.)(?=[{WS}(]*[\p{{L}}\p{{N}}])",
@@ -79,22 +84,34 @@ def masked(text: Column) -> Column:
     )
     c = F.regexp_replace(c, rf"\.(?:{dots})", MASK)
     leading = rf"[0-9][0-9{MASK}]{{0,14}}|[IVXLC]{{1,7}}|{_any(NUMBER_WORDS)}"
-    c = F.regexp_replace(c, rf"[.{MASK}](?<=(?:\A|[\n{BLOCK}]|[{T}][{C}]?[{WS}])[{H}]{{0,9}}[{O}]?(?:{leading})[.{MASK}])(?=[{WS}]+[^{WS}{BLOCK}])", NUMBER)
+    c = F.regexp_replace(c, rf"[.{MASK}](?=[{WS}]+[^{WS}{BLOCK}])(?<=(?:\A|[\n{BLOCK}]|[{T}][{C}]?[{WS}])[{H}]{{0,9}}[{O}]?(?:{leading})[.{MASK}])", NUMBER)
     # quotations and brackets in a running sentence; then all but the last mark in any of them
-    inside = rf"[^{T}{C}{O}{BLOCK}]*"
-    c = F.regexp_replace(c, rf"(\G(?!\A){inside}|[{O}](?<=[^{T}{C}{WS}{BLOCK}{NUMBER}][{WS}]{{0,2}}[{O}]){inside})[{T}](?=[^{C}{O}{BLOCK}]*[{C}])", f"$1{MASK}")
-    c = F.regexp_replace(c, rf"(\G(?!\A){inside}|[{O}]{inside})[{T}](?![{T}]*[{C}])(?=[^{C}{O}{BLOCK}]*[{C}])", f"$1{MASK}")
+    inside, closed = rf"{_not(T + C + O + BLOCK)}*", rf"{_not(C + O + BLOCK)}*[{C}]"
+    c = F.regexp_replace(c, rf"(\G(?!\A){inside}|[{O}](?<=[^{T}{C}{WS}{BLOCK}{NUMBER}][{WS}]{{0,2}}[{O}]){inside})[{T}](?={closed})", f"$1{MASK}")
+    c = F.regexp_replace(c, rf"(\G(?!\A){inside}|[{O}]{inside})[{T}](?![{T}]*[{C}])(?={closed})", f"$1{MASK}")
     # marks behind which the sentence goes on
-    c = F.regexp_replace(c, rf"[{HARD}](?=[{T}]*[{C}]*[的，、と；;：:,])", MASK)
     c = F.regexp_replace(c, rf"[{SOFT}](?![{T}]*[{C}]*[{WS}]*(?:{_NEXT}|{BLOCK}|\z))(?!{_CASELESS})", MASK)
+    c = _where(c, list(HARD), rf"[{HARD}](?=[{T}]*[{C}]*[的，、と；;：:,])", MASK)
     # Thai: a blank between two letters
-    return F.regexp_replace(c, rf"[{H}](?<=[{THAI}][{H}])(?=[{H}]*[{THAI}])", BLOCK)
+    return _where(c, list("กคงดตนปมยรลวสอา"), rf"[{H}](?<=[{THAI}][{H}])(?=[{H}]*[{THAI}])", BLOCK)
+
+
+def _where(c: Column, marks: str | list[str], pattern: str, to: str) -> Column:
+    """regexp_replace on the texts that hold one of ``marks``; the lambda names the text once."""
+
+    def step(x: Column) -> Column:
+        held = F.lit(False)
+        for m in [marks] if isinstance(marks, str) else marks:
+            held = held | F.contains(x, F.lit(m))
+        return F.when(held, F.regexp_replace(x, pattern, to)).otherwise(x)
+
+    return F.get(F.transform(F.array(c), step), F.lit(0))
 
 
 _NEXT = rf"[{O}]*[\p{{Lu}}\p{{Lt}}\p{{N}}]|[-–—•][{WS}]*\p{{Lu}}"
 #: Ends before a letter without case: ! or ?, a dot behind a small letter, the doubled ellipsis of CJK, a hard mark in the same run.
 _CASELESS = rf"(?<=[!?]|\p{{Ll}}\.|[{HAN}]…{{1,2}})[{T}]*[{C}]*[{WS}]*[{O}]*\p{{Lo}}|[{SOFT}]*[{HARD}!?]"
-PIECE = rf"{BLOCK}+|[^{T}{BLOCK}]*+(?:[{T}]++[{C}]*+|(?={BLOCK})|\z)"
+PIECE = rf"{BLOCK}+|{_not(T + BLOCK)}*+(?:[{T}]++[{C}]*+|(?={BLOCK})|\z)"
 
 
 def spans(text: Column) -> Column:
