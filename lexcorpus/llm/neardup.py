@@ -32,7 +32,7 @@ from lexcorpus.staging import Stage
 from lexcorpus.tables import records
 
 HOT = 500
-FEW = 2_000_000
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,9 @@ class NearDuplicates:
         self.stage = Stage(self.spark, "neardup")
         text = self.stage.write(rows.withColumn("cls", F.md5("words")), "words")
         classes = text.groupBy("cls").agg(F.min("words").alias("words")).withColumn("rep", F.monotonically_increasing_id())
-        shingled = classes.select("rep", "cls", F.explode(F.array(_shingles(F.split("words", " "), similar.words))).alias("shingles"))
+        # the generator makes the words a column: within the lambda the split would run for every shingle
+        split = classes.select("rep", "cls", F.explode(F.array(F.split("words", " "))).alias("words"))
+        shingled = split.select("rep", "cls", _shingles(F.col("words"), similar.words).alias("shingles"))
         self.classes = self.stage.write(shingled, "classes")  # fixes rep
         self.members = text.select("id", "doc", "cls").join(self.classes.select("cls", "rep"), "cls").select("id", "doc", "rep")
 
