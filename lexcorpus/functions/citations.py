@@ -26,12 +26,17 @@ def collapsed(col: Column) -> Column:
 
 def parse_phrase(query: Column) -> Column:
     """struct<article, paragraph, locator> of a citation phrase; all null where there is none."""
-    q = collapsed(query)
-    get = lambda pattern, k: F.nullif(F.regexp_extract(q, pattern, k), F.lit(""))
-    article = F.coalesce(get(PHRASE, 1), get(DOTTED, 1))
-    paragraph = F.coalesce(get(PHRASE, 2), get(DOTTED, 2))
-    locator = F.when(article.isNotNull(), F.concat(F.lit("art-"), article, F.coalesce(F.concat(F.lit("/p-"), paragraph), F.lit(""))))
-    return F.struct(article.alias("article"), paragraph.alias("paragraph"), locator.alias("locator"))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  names a value, so that it is computed once
+    number = lambda m, pattern, k: F.nullif(F.regexp_extract(m, pattern, k), F.lit(""))
+
+    def parts(q: Column) -> Column:
+        phrase = once(F.regexp_extract(q, PHRASE, 0), lambda m: F.struct(number(m, PHRASE, 1).alias("article"), number(m, PHRASE, 2).alias("paragraph")))
+        dotted = once(F.regexp_extract(q, DOTTED, 0), lambda m: F.struct(number(m, DOTTED, 1).alias("article"), number(m, DOTTED, 2).alias("paragraph")))
+        both = once(F.struct(phrase.alias("p"), dotted.alias("d")), lambda x: F.struct(*[F.coalesce(x["p"][c], x["d"][c]).alias(c) for c in ("article", "paragraph")]))
+        place = lambda x: F.when(x["article"].isNotNull(), F.concat(F.lit("art-"), x["article"], F.coalesce(F.concat(F.lit("/p-"), x["paragraph"]), F.lit(""))))
+        return once(both, lambda x: F.struct(x["article"].alias("article"), x["paragraph"].alias("paragraph"), place(x).alias("locator")))
+
+    return once(collapsed(query), parts)
 
 
 def citation_key(law_id: Column, locator: Column) -> Column:
