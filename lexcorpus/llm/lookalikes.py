@@ -21,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexcorpus.staging import Stage
 from lexcorpus.tables import records
 
+#: Rows whose ids are broadcast at most.
+FEW = 200_000
+
 #: Letters of Cyrillic and Greek beside the Latin letter of the same shape (fixed values).
 SAME_SHAPE = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "V": "Ѵ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ", "G": "Ԍ", "Q": "Ԛ", "W": "Ԝ",
@@ -92,32 +96,35 @@ def disguised(nodes: DataFrame, versions: DataFrame, fields: list[str]) -> DataF
     (document, locator, form) with more than one spelling go on. Their rows are few, and are
     brought to the consistent form again and compared exactly.
     """
-    spark = nodes.sparkSession
-    nodes = records(nodes.where("id is not null"), "id", ["document_version_id", "source_locator", *fields], ["updated_at"])
+    stage = Stage(nodes.sparkSession, "lookalikes")
+    rows = nodes.where("id is not null").select("id", "document_version_id", "source_locator", "updated_at", *fields)
     owners = versions.select(F.col("id").alias("document_version_id"), "document_id").distinct()
-    parts = ", ".join(f"hash({expression(f)}) :: DECIMAL(38,0) % 9223372036854775807 AS form_{f}, hash({f}) :: DECIMAL(38,0) % 9223372036854775807 AS raw_{f}" for f in fields)
-    blank = " AND ".join(f"coalesce({f}, '') = ''" for f in fields)
-    nulls = ", ".join(f"CASE WHEN {f} <> '' THEN 1 ELSE 0 END AS has_{f}" for f in fields)
-    hashed = in_duckdb(
-        nodes,
-        f"SELECT id, document_version_id, source_locator, {parts}, {nulls} FROM batch WHERE NOT ({blank})",
-        "id string, document_version_id string, source_locator string, " + ", ".join(f"form_{f} bigint, raw_{f} bigint" for f in fields) + ", " + ", ".join(f"has_{f} int" for f in fields),
-    )
-    long = hashed.select(
-        "id", "document_version_id", "source_locator",
-        F.inline(F.filter(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"form_{f}").alias("form"), F.col(f"raw_{f}").alias("raw"), F.col(f"has_{f}").alias("has")) for f in fields]), lambda x: x["has"] == 1)),
-    ).drop("has")
-    from lexcorpus.staging import Stage
-
-    long = Stage(spark, "lookalikes").write(long.join(owners, "document_version_id"), "hashed")
+    number = lambda e: f"hash({e}) :: DECIMAL(38,0) % 9223372036854775807"
+    hashes = ", ".join(f"CASE WHEN {f} <> '' THEN {number(expression(f))} END AS form_{f}, CASE WHEN {f} <> '' THEN {number(f)} END AS raw_{f}" for f in fields)
+    schema = T.StructType([rows.schema[c] for c in ("id", "document_version_id", "source_locator", "updated_at")])
+    for f in fields:
+        schema = schema.add(f"form_{f}", T.LongType()).add(f"raw_{f}", T.LongType())
+    hashed = in_duckdb(rows, f"SELECT id, document_version_id, source_locator, updated_at, {hashes} FROM batch", schema)
+    # of repeated rows the one updated last counts; only hashes are shuffled for that
+    ends = [f"{x}_{f}" for f in fields for x in ("form", "raw")]
+    once = records(hashed, "id", ["document_version_id", "source_locator", *ends], ["updated_at"]).join(owners, "document_version_id")
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"form_{f}").alias("form"), F.col(f"raw_{f}").alias("raw")) for f in fields])
+    long = stage.write(once.where("source_locator is not null").select("id", "document_version_id", "document_id", "source_locator", F.inline(F.filter(each, lambda x: x["form"].isNotNull()))), "hashed")
     group = ["document_id", "source_locator", "field_name", "form"]
-    mixed = long.where("source_locator is not null").groupBy(*group).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*group)
-    rows = long.join(mixed, group, "left_semi")
-    texts = nodes.join(rows.select("id").distinct(), "id", "left_semi").select("id", *fields)
-    formed = consistent(texts.select("id", *fields, *[F.col(f).alias(f"form_{f}") for f in fields]), [f"form_{f}" for f in fields], ["id", *fields])
-    spelled = formed.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw_text"), F.col(f"form_{f}").alias("form_text")) for f in fields])))
-    rows = rows.drop("raw").join(spelled, ["id", "field_name"])
-    a, b = rows.alias("a"), rows.alias("b")
+    mixed = long.groupBy(*group).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*group)
+    alike = stage.write(long.join(mixed, group, "left_semi"), "alike")
+    ids = alike.select("id").distinct()
+    if alike.count() <= FEW:  # the table is then reduced where it is read
+        ids = F.broadcast(ids)
+    texts = rows.join(ids, "id", "left_semi").select("id", *fields)
+    forms = ", ".join(f"{f}, {expression(f)} AS form_{f}, {number(f)} AS raw_{f}" for f in fields)
+    schema = T.StructType([texts.schema["id"]])
+    for f in fields:
+        schema = schema.add(f, T.StringType()).add(f"form_{f}", T.StringType()).add(f"raw_{f}", T.LongType())
+    formed = in_duckdb(texts, f"SELECT id, {forms} FROM batch", schema)
+    spelled = formed.select("id", F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("raw_text"), F.col(f"form_{f}").alias("form_text"), F.col(f"raw_{f}").alias("raw")) for f in fields]))).distinct()
+    spelled = alike.join(spelled, ["id", "field_name", "raw"])
+    a, b = spelled.alias("a"), spelled.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*group, "form_text"]]
     differ = [F.col("a.id") < F.col("b.id"), F.col("a.document_version_id") != F.col("b.document_version_id"), F.col("a.raw_text") != F.col("b.raw_text")]
     return a.join(b, [*same, *differ]).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.field_name").alias("field_name")).distinct()
