@@ -19,7 +19,7 @@ give no texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexcorpus.llm.tokens import DEFAULT, ranked, sized
@@ -44,14 +44,17 @@ def mix(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed
     one = stage.write(one, "texts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stage.write(one.repartitionByRange(n, "source", "n_tokens", "doc_id").withColumn("pid", F.spark_partition_id()), "ranges")
-    # one row for each target
     size = rows.groupBy("source").agg(F.sum("n_tokens").alias("size")).join(wanted, "source")
-    scale = size.agg(F.sum("share").alias("there")).crossJoin(F.broadcast(size.agg(F.min(F.col("cap") * F.col("size") / F.col("share")).alias("most"))))
-    total = F.col("most") * F.col("there")
+    # one row for each target at most
+    there = {r["source"]: (r["share"], r["cap"], r["size"]) for r in size.collect()}
+    if not there:
+        return rows.select("doc_id", "source", "n_tokens", F.lit(0).cast("bigint").alias("copies")).limit(0)
+    whole = sum(share for share, _, _ in there.values())
+    total = min(cap * n_tokens / share for share, cap, n_tokens in there.values()) * whole
     if total_tokens is not None:
-        total = F.least(total, F.lit(float(total_tokens)))
-    goal = F.col("share") / F.col("there") * total
-    rate = size.crossJoin(F.broadcast(scale)).select("source", "cap", goal.alias("goal"), F.least(F.col("cap").cast("double"), goal / F.col("size")).alias("c"))
+        total = min(total, float(total_tokens))
+    goals = [(s, cap, share / whole * total, min(float(cap), share / whole * total / n_tokens)) for s, (share, cap, n_tokens) in there.items()]
+    rate = spark.createDataFrame(goals, "source string, cap int, goal double, c double")
     at = ranked(rows, ["source"], ["n_tokens", "doc_id"]).join(F.broadcast(rate), "source")
     drawn = lambda u: F.least(F.floor(u + F.col("c") * (F.col("rank") + 1)) - F.floor(u + F.col("c") * F.col("rank")), F.col("cap").cast("bigint"))
     offset = lambda j: F.pmod(F.xxhash64("source", F.lit(seed), F.lit(j)), F.lit(1 << 30)) / float(1 << 30)
@@ -64,7 +67,8 @@ def mix(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_texts, most_copies, n_tokens, actual_share) of :func:`mix`."""
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"))
-    whole = got.agg(F.sum("n_tokens").alias("whole"))
     t = targets.select(F.lower(stripped(F.col("source"))).alias("source"), "target_share", "max_repeats")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.join(got, "source", "left").crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", zero("n_texts"), zero("most_copies"), zero("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))
+    # a window over the targets: a few rows
+    t = t.join(F.broadcast(got), "source", "left").withColumn("whole", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))
+    return t.select("source", "target_share", "max_repeats", zero("n_texts"), zero("most_copies"), zero("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"))

@@ -152,10 +152,10 @@ def pack(df: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_col:
     sizes = sized(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"], vocabulary)
     sizes = stage.write(sizes.withColumn("pid", F.spark_partition_id()), "sizes")
     limits = {int(r[0]): int(r[1]) for r in capacities.select("capacity_id", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()}
-    limit = F.broadcast(spark.createDataFrame(list(limits.items()), "capacity_id int, capacity bigint"))
+    limit = F.array(*[F.struct(F.lit(c).alias("capacity_id"), F.lit(k).cast("bigint").alias("capacity")) for c, k in sorted(limits.items())]).cast("array<struct<capacity_id:int,capacity:bigint>>")
     pieces = (
         sizes.where("n_tokens > 0")
-        .crossJoin(limit)
+        .select("doc_id", "pid", "n_tokens", F.inline(limit))
         .select("doc_id", "pid", "capacity_id", "capacity", "n_tokens", F.explode(F.expr("sequence(0L, div(n_tokens - 1, capacity))")).alias("piece"))
         .select("doc_id", "pid", "capacity_id", "piece", (F.col("piece") * F.col("capacity")).alias("start_token"), F.expr("least(capacity, n_tokens - piece * capacity)").alias("n_tokens"))
     )
@@ -180,7 +180,7 @@ def pack(df: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_col:
     out = "capacity_id int, doc_id bigint, piece bigint, start_token bigint, n_tokens bigint, container_id bigint"
     rows = ranked(pieces, ["capacity_id", "n_tokens"], ["doc_id", "piece"]).select("capacity_id", "doc_id", "piece", "start_token", "n_tokens", "rank")
     placed = rows.mapInArrow(place, out)
-    none = sizes.where("n_tokens = 0").crossJoin(limit).select("capacity_id", "doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens", F.lit(None).cast("bigint").alias("container_id"))
+    none = sizes.where("n_tokens = 0").select("doc_id", "n_tokens", F.inline(limit)).select("capacity_id", "doc_id", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start_token"), "n_tokens", F.lit(None).cast("bigint").alias("container_id"))
     return placed.unionByName(none)
 
 
