@@ -34,23 +34,32 @@ def folder(spark: SparkSession) -> str:
     return _own
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove every table staged so far; call it once their results are written. Gives their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 class Stage:
-    """Staged tables of one operator call; ``drop`` removes those no longer read."""
+    """Staged tables of one operator call; ``clear`` removes them."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.paths = spark, label, {}
+        self.spark, self.label = spark, label
 
     def write(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         """Write ``df`` and read it back; ``by`` lays it out in one directory per value."""
-        path = f"{folder(self.spark)}/{self.label}-{uuid.uuid4().hex}/{name}"
+        place = f"{folder(self.spark)}/{self.label}-{uuid.uuid4().hex}"
+        _written.append(place)
+        path = f"{place}/{name}"
         writer = df.write.option("compression", "zstd")
         if by:
             writer = writer.partitionBy(*by)
         writer.parquet(path)
-        self.paths[name] = path
         # the schema is known: no job to infer it, and no failure where nothing was written
         return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name).rsplit("/", 1)[0])
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
