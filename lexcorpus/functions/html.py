@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexcorpus.tables import BLANKS
@@ -66,6 +66,17 @@ def line_class(line: Column) -> Column:
     return F.when(is_(CHROME_LINE), "chrome").when(is_(CHAPTER), "chapter").when(is_(WORD_ARTICLE) | is_(ARTICLE), "article").when(is_(QUALIFIED), "qualified").when(is_(SIMPLE), "simple").otherwise("text")
 
 
+def line_context(lines_: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kind, chapter_line, article_line): each line of ``lines_`` (doc_id, line_no, kind) with the headings it stands under; a chapter ends the article before it.
+
+    The window is over the lines of one page.
+    """
+    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("line_no"))).over(w)
+    out = lines_.withColumn("chapter_line", at("chapter")).withColumn("article_line", at("article"))
+    return out.withColumn("article_line", F.when(F.coalesce(F.col("article_line") > F.col("chapter_line"), F.lit(True)), F.col("article_line")))
+
+
 def isolate(html: str) -> str:
     """The element of the act's text, or the whole page: the tab ``bordered-tab1``, in it the class ``law_content``."""
     scope = html

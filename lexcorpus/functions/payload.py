@@ -48,6 +48,11 @@ def sniff(mime: Column, payload: Column) -> Column:
     )
 
 
+def sniff_download(mime: Column, payload: Column) -> Column:
+    """As ``sniff``, for downloads: a byte order mark before a page is no part of it."""
+    return sniff(mime, F.regexp_replace(payload, "^\ufeff", ""))
+
+
 def accepted(kind: Column, mime: Column, payload: Column) -> Column:
     """ok, or why a payload can't be taken."""
     return (

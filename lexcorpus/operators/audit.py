@@ -6,7 +6,7 @@ samples; counts are complete.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexcorpus.tables import BLANKS, records, stripped
@@ -153,6 +153,21 @@ def data_quality(nodes: DataFrame, versions: DataFrame, documents: DataFrame) ->
     return out
 
 
+def offenders(nodes: DataFrame, sample: int = 5) -> DataFrame:
+    """(problem, n, sample): how many nodes have a problem, and the smallest ``sample`` ids of them."""
+    n = nodes_once(nodes)
+    text = F.coalesce(F.regexp_replace("text", f"[{BLANKS}]", ""), F.lit(""))
+    found = n.select("id", F.explode(F.array_compact(F.array(F.when(text == "", "empty_text"), F.when(F.col("title").isNull(), "no_title"), F.when(~F.coalesce(F.rlike("source_locator", F.lit(LOCATOR)), F.lit(False)), "malformed_locator")))).alias("problem"))
+    counts = found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    # the smallest ids of each bucket first: no group is gathered as a whole
+    bucket = found.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for group in (["problem", "b"], ["problem"]):
+        w = Window.partitionBy(*group).orderBy("id")
+        bucket = bucket.withColumn("r", F.row_number().over(w)).where(f"r <= {sample}").drop("r")
+    few = bucket.groupBy("problem").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sample"))
+    return counts.join(few, "problem")
+
+
 def unknown_locators(documents: DataFrame, versions: DataFrame, nodes: DataFrame, probes: list[str]) -> DataFrame:
     """(document_id, locator, status): each document probed for locators that should not exist.
 

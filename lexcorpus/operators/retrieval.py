@@ -75,6 +75,12 @@ def public_citations(citations: DataFrame, nodes: DataFrame, versions: DataFrame
     return c.join(v, "document_version_id").join(n, "legal_node_id")
 
 
+def of_title(public: DataFrame, documents: DataFrame, title: str) -> DataFrame:
+    """Those of ``public`` whose document's title contains ``title``, in any case."""
+    d = documents.where(F.contains(F.lower("title"), F.lit(title.lower()))).select(F.col("id").alias("document_id")).distinct()
+    return public.join(d, "document_id", "left_semi")
+
+
 def verify(candidates: DataFrame, public: DataFrame) -> DataFrame:
     """(candidate_id, verdict, document_version_id, legal_node_id): VALID if exactly one provision fits, CONFLICT if several, UNRESOLVED if none.
 

@@ -110,6 +110,10 @@ def negative_probes(s: SparkSession, d: str) -> DataFrame:
     return audit.unknown_locators(table(s, d, "legal_documents"), _v(s, d), table(s, d, "legal_nodes"), PROBES)
 
 
+def offenders(s: SparkSession, d: str) -> DataFrame:
+    return audit.offenders(table(s, d, "legal_nodes"))
+
+
 def table_counts(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [table(s, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table_name"), "n") for t in TABLES])
 
@@ -118,7 +122,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_version, current_version, published_overlap, published_overlap_half_open, supersede_chain, next_version, version_violations, version_provenance, locator_assign, locator_collisions, collision_detail, duplicate_locators, orphan_versions,
-        data_quality, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, table_counts,
+        data_quality, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, offenders, table_counts,
     )
 }
 
@@ -198,5 +202,7 @@ UNION ALL SELECT 'nodes_delivered_twice', (SELECT count(*) FROM (SELECT 1 FROM l
     "negative_probes": f"""WITH p(locator) AS (VALUES {', '.join(f"('{x}')" for x in PROBES)}), d AS (SELECT DISTINCT id AS document_id FROM legal_documents),
 h AS (SELECT document_id, source_locator AS locator, count(*) AS n FROM (SELECT DISTINCT document_version_id, source_locator FROM legal_nodes) n JOIN (SELECT DISTINCT id, document_id FROM legal_document_versions) v ON v.id = n.document_version_id GROUP BY 1, 2)
 SELECT document_id, locator, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'VALID' ELSE 'CONFLICT' END AS status FROM d CROSS JOIN p LEFT JOIN h USING (document_id, locator)""",
+    "offenders": f"""WITH {_N}, f AS (SELECT id, 'empty_text' AS problem FROM n WHERE coalesce(regexp_replace(text, '{_BLANK}', '', 'g'), '') = '' UNION ALL SELECT id, 'no_title' FROM n WHERE title IS NULL UNION ALL SELECT id, 'malformed_locator' FROM n WHERE NOT coalesce(regexp_matches(source_locator, '{audit.LOCATOR}'), false))
+SELECT problem, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS sample FROM f GROUP BY 1""",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES),
 }

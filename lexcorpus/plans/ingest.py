@@ -186,6 +186,14 @@ def line_classes(s: SparkSession, d: str) -> DataFrame:
     return ls.select("doc_id", "line_no", H.line_class(F.trim("line")).alias("kind")).where("kind <> 'text'")
 
 
+def line_context(s: SparkSession, d: str) -> DataFrame:
+    ls = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # numbered lines of these texts stand for articles, capitals for chapters
+    t = F.trim("line")
+    kind = F.when(F.rlike(t, F.lit(r"^[0-9]+\.[0-9]+\. ")), "article").when(F.rlike(t, F.lit(r"^[0-9]+\. ")), "chapter").otherwise("text")
+    return H.line_context(ls.select("doc_id", "line_no", kind.alias("kind")))
+
+
 def parse_provisions(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents")
     text = F.concat(F.lit("1 дүгээр зүйл. "), F.coalesce("text", F.lit("")))
@@ -205,7 +213,7 @@ QUERIES = {
     for f in (
         archive_put_if_absent, catalog_reuse, archive_integrity, discover_classify, run_counters, merge_upsert, insert_missing, replace_version, publish_decision, reconcile, reconcile_totals, shared_targets, job_lifecycle, pending_download,
         gate_reasons, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
-        line_classes, parse_provisions, page_links,
+        line_classes, line_context, parse_provisions, page_links,
     )
 }
 
@@ -288,5 +296,9 @@ SELECT id, kind, CASE WHEN length(body) = 0 THEN 'empty_body' WHEN kind = 'unkno
     "line_classes": "WITH l AS (SELECT doc_id, (i - 1) :: INT AS line_no, trim(x[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS u(i)), k AS (SELECT doc_id, line_no, CASE "
     + " ".join(f"WHEN regexp_matches(line, '{p.replace('(?iu)', '(?i)')}') THEN '{n}'" for p, n in ((H.CHROME_LINE, "chrome"), (H.CHAPTER, "chapter"), (H.WORD_ARTICLE, "article"), (H.ARTICLE, "article"), (H.QUALIFIED, "qualified"), (H.SIMPLE, "simple")))
     + " ELSE 'text' END AS kind FROM l) SELECT * FROM k WHERE kind <> 'text'",
+    "line_context": """WITH l AS (SELECT doc_id, (i - 1) :: INT AS line_no, trim(x[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS u(i)),
+k AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '^[0-9]+\\.[0-9]+\\. ') THEN 'article' WHEN regexp_matches(line, '^[0-9]+\\. ') THEN 'chapter' ELSE 'text' END AS kind FROM l),
+w AS (SELECT *, max(CASE WHEN kind = 'chapter' THEN line_no END) OVER o AS c, max(CASE WHEN kind = 'article' THEN line_no END) OVER o AS a FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, line_no, kind, c AS chapter_line, CASE WHEN coalesce(a > c, true) THEN a END AS article_line FROM w""",
     "page_links": f"SELECT DISTINCT id AS page_id, 0 AS ordinal, canonical_url AS url, {_LAWID.format('canonical_url')} AS law_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title FROM (SELECT DISTINCT id, canonical_url, title, {_HOST.format('canonical_url')} AS h FROM legal_documents) WHERE h IN ({', '.join(repr(h) for h in HOSTS)}) OR ends_with(h, '{SUFFIXES[0]}')",
 }

@@ -31,6 +31,33 @@ def categories(pages: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def discover(spark, base: str, url: str | None = None, law_ids: list[str] = (), listing: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(ordinal, url, law_id) of the acts to fetch: a given address, else given numbers, else the links of a listing page, in order, ``limit`` at most."""
+    schema = "ordinal int, url string"
+    if url:
+        rows = spark.createDataFrame([(0, url)], schema)
+    elif law_ids or listing is None:
+        rows = spark.createDataFrame([(i, f"{base}/mn/detail?lawId={n}") for i, n in enumerate(dict.fromkeys(law_ids))], schema)
+    else:
+        rows = listing.groupBy("url").agg(F.min("ordinal").alias("ordinal")).select("ordinal", "url")
+    rows = rows.withColumn("law_id", law_id(F.col("url")))
+    return rows.orderBy("ordinal", "url").limit(limit) if limit is not None else rows
+
+
+def until_empty(pages: DataFrame, most: int) -> DataFrame:
+    """Pages (category, page_no, html) of a crawl before the first one without links, ``most`` a category; answers may be JSON with the page inside."""
+    body = F.coalesce(F.get_json_object("html", "$.Html"), "html")
+    p = pages.withColumn("html", body).where(F.col("page_no") <= most)
+    empty = p.where(~F.coalesce(F.rlike("html", F.lit(LINK)), F.lit(False))).groupBy("category").agg(F.min("page_no").alias("end"))
+    return p.join(empty, "category", "left").where("end is null or page_no < end").drop("end")
+
+
+def pdf_source(html):
+    """The address of an act's PDF: the first link that ends in .pdf, else the number of a download call, else the toolbar's link; null if there is none."""
+    some = lambda pattern: F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    return F.coalesce(some(r'(?i)href="([^"]+\.pdf(?:[?#][^"]*)?)"'), F.concat(F.lit("download:"), some(r"(?i)downloadlaw\(\s*'1'\s*,\s*'?([0-9]+)")), some(r'(?is)class="[^"]*\btoolbar\b[^"]*".*?href="([^"]+)"'))
+
+
 class _Cards(HTMLParser):
     """Cards: an element of the card class; inside it a link (title), emphasised text (number), dates, a check mark, PDF mentions."""
 

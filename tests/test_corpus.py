@@ -140,3 +140,27 @@ def test_streams(spark, tmp_path):
     assert best == want
     pipelines.merge_into(stream(), f"file://{tmp_path}/merged", "event_id", ["ts"], str(tmp_path / "cp")).awaitTermination()
     assert snapshot.read(spark, f"file://{tmp_path}/merged").count() == 40
+
+
+def test_discovery(spark):
+    page = spark.createDataFrame([("p", 3, "https://a.example/mn/detail?lawId=3", "3", "t"), ("p", 1, "https://a.example/mn/detail?lawId=9", "9", "t"), ("q", 0, "https://a.example/mn/detail?lawId=3", "3", "t")], "page_id string, ordinal int, url string, law_id string, title string")
+    ids = lambda **kw: [r.law_id for r in listing.discover(spark, "https://a.example", **kw).orderBy("ordinal").collect()]
+    assert ids(url="https://a.example/detail/5", law_ids=["1"], listing=page) == ["5"] and ids(law_ids=["2", "1", "2"], listing=page) == ["2", "1"]
+    assert ids(listing=page) == ["3", "9"] and ids(listing=page, limit=1) == ["3"] and ids() == []
+    link = '<a class="act-name" href="https://a.example/detail/1">x</a>'
+    pages = spark.createDataFrame([("c", 1, link), ("c", 2, '{"Html": "<a class=\\"act-name\\" href=\\"/detail/2\\">y</a>"}'), ("c", 3, "nothing"), ("c", 4, link), ("d", 1, None), ("e", 9, link)], "category string, page_no int, html string")
+    assert sorted((r.category, r.page_no) for r in listing.until_empty(pages, 5).collect()) == [("c", 1), ("c", 2)]
+    docs = spark.createDataFrame([('<a href="/f/A.PDF?v=1">p</a>',), ("<a onclick=\"downloadlaw('1', 77)\">d</a>",), ('<div class="x toolbar"><a href="/print">p</a></div>',), ("none",), (None,)], "h string")
+    from pyspark.sql import functions as F
+
+    assert [r.s for r in docs.select(listing.pdf_source(F.col("h")).alias("s")).collect()] == ["/f/A.PDF?v=1", "download:77", "/print", None, None]
+
+
+def test_title_filter_and_staged_tables(spark, corpus):
+    from lexcorpus import staging
+    from lexcorpus.operators import retrieval as R
+
+    public = R.public_citations(corpus.citations, corpus.nodes, corpus.versions)
+    assert {r.legal_node_id for r in R.of_title(public, corpus.documents, "ХӨДӨЛМӨР").collect()} == {"n2"}
+    kept = staging.Stage(spark, "t").write(spark.range(3), "x")
+    assert kept.count() == 3 and staging.clear(spark) >= 1
