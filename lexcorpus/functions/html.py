@@ -23,6 +23,7 @@ TENS = {"АРВАН": 10, "ХОРИН": 20, "ГУЧИН": 30, "ДӨЧИН": 40,
 CHROME = [r"<script.*?</script>", r"<style.*?</style>", r"<nav.*?</nav>", r"<footer.*?</footer>", r"<label.*?</label>", r"<span[^>]*print-zuil[^>]*>.*?</span>", r"<span[^>]*icon-s[^>]*>.*?</span>", r'<p[^>]*style="[^"]*display\s*:\s*none[^"]*"[^>]*>.*?</p>']
 #: Entities and their characters, in this order (fixed values).
 ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")]
+#: Forms of the lines of an act (fixed values).
 CHROME_LINE = r"(?iu)^(?:хэвлэх|pdf|word|сонсох.*|хуваалцах|-->)$"
 
 _ORDINAL = rf"(?:({'|'.join(TENS)})\s+)?({'|'.join(UNITS)})(?:\^([0-9]+))?"

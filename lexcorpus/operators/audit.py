@@ -30,9 +30,12 @@ LOCATOR = r"^(doc|ch-[0-9]+(\^[0-9]+)?|art-[0-9]+(\.[0-9]+)?(\^[0-9]+)?(/p-[0-9]
 NODE = ["document_version_id", "parent_id", "node_type", "chapter", "article", "title", "text", "source_locator", "content_hash"]
 
 
-def nodes_once(nodes: DataFrame) -> DataFrame:
-    """One row per node id: the copy updated last."""
-    return records(nodes.where("id is not null"), "id", NODE, ["updated_at"])
+def nodes_once(nodes: DataFrame, columns: list[str] = NODE) -> DataFrame:
+    """One row per node id: the copy updated last. Only ``columns`` are read and shuffled."""
+    return records(nodes.where("id is not null"), "id", list(columns), ["updated_at"])
+
+
+PLACE = ["document_version_id", "parent_id", "node_type", "source_locator"]
 
 
 def allowed_parent(child: Column, parent: Column) -> Column:
@@ -73,9 +76,10 @@ def parent_report(nodes: DataFrame) -> DataFrame:
 
     The parent must be a node of the same version; a parent elsewhere is a foreign one.
     """
-    n = nodes_once(nodes)
-    p = n.select(F.col("id").alias("parent_id"), F.col("node_type").alias("p_type"), F.col("document_version_id").alias("p_version"))
-    j = n.join(p, "parent_id", "left")
+    n = nodes_once(nodes, PLACE)
+    p = n.select(F.col("id").alias("up"), F.col("node_type").alias("p_type"), F.col("document_version_id").alias("p_version"))
+    # roots get a key of their own: as null keys they would all meet in one task
+    j = n.withColumn("up", F.coalesce("parent_id", F.concat(F.lit("\u0000"), "id"))).join(p, "up", "left")
     has, found = F.col("parent_id").isNotNull(), F.col("p_version").isNotNull()
     same = found & (F.col("p_version") == F.col("document_version_id"))
     orphan = has & ~F.coalesce(same, F.lit(False))
@@ -94,7 +98,7 @@ def parent_report(nodes: DataFrame) -> DataFrame:
 def version_structure(nodes: DataFrame) -> DataFrame:
     """One row per version: counts of nodes, roots and offenders, and PASS or FAIL (circles: see hierarchy)."""
     r = parent_report(nodes)
-    n = nodes_once(nodes)
+    n = nodes_once(nodes, PLACE)
     extra = n.groupBy("document_version_id").agg((F.count(F.lit(1)) - F.countDistinct("source_locator")).alias("duplicate_locators"), F.count_if((F.col("node_type") == "DOCUMENT") & F.col("parent_id").isNull()).alias("document_parents"))
     s = r.groupBy("document_version_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("orphan").alias("orphans"), F.count_if("invalid_parent").alias("invalid_parents"), F.count_if("incompatible").alias("incompatible_types"))
     ok = (F.col("document_parents") == 1) & (F.col("orphans") + F.col("invalid_parents") + F.col("incompatible_types") + F.col("duplicate_locators") == 0)
@@ -103,7 +107,7 @@ def version_structure(nodes: DataFrame) -> DataFrame:
 
 def parse_shape(nodes: DataFrame) -> DataFrame:
     """One row per version: counts by node type, inserted articles and surplus locators."""
-    n = nodes_once(nodes)
+    n = nodes_once(nodes, [*PLACE, "article"])
     kind = lambda t: F.count_if(F.col("node_type") == t).alias(f"n_{t.lower()}")
     return n.groupBy("document_version_id").agg(
         F.count(F.lit(1)).alias("n_nodes"),
@@ -117,7 +121,7 @@ def citation_round_trip(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(citation_id, reason): every way in which a citation doesn't lead back to its node."""
     blank = lambda c: F.coalesce(stripped(F.col(c)), F.lit("")) == ""
     c = citations.select("id", "legal_node_id", "document_version_id", "locator", "exact_text", F.col("content_hash").alias("c_hash")).distinct()
-    n = nodes_once(nodes).select(F.col("id").alias("legal_node_id"), F.col("document_version_id").alias("n_version"), "source_locator", "text", "node_type", F.col("content_hash").alias("n_hash"), F.lit(True).alias("found"))
+    n = nodes_once(nodes, ["document_version_id", "source_locator", "text", "node_type", "content_hash"]).select(F.col("id").alias("legal_node_id"), F.col("document_version_id").alias("n_version"), "source_locator", "text", "node_type", F.col("content_hash").alias("n_hash"), F.lit(True).alias("found"))
     j = c.join(n, "legal_node_id", "left")
     found = F.col("found").isNotNull()
     text_types = ["ARTICLE", "PARAGRAPH", "CLAUSE", "SUB_CLAUSE"]
@@ -136,7 +140,7 @@ def citation_round_trip(citations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def data_quality(nodes: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
     """(problem, n): complete counts of the problems of the corpus."""
-    n = nodes_once(nodes)
+    n = nodes_once(nodes, ["document_version_id", "source_locator", "text"])
     v = versions.select("id", "document_id", "version_number").distinct()
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n")
     parts = [
@@ -155,7 +159,7 @@ def data_quality(nodes: DataFrame, versions: DataFrame, documents: DataFrame) ->
 
 def offenders(nodes: DataFrame, sample: int = 5) -> DataFrame:
     """(problem, n, sample): how many nodes have a problem, and the smallest ``sample`` ids of them."""
-    n = nodes_once(nodes)
+    n = nodes_once(nodes, ["source_locator", "title", "text"])
     text = F.coalesce(F.regexp_replace("text", f"[{BLANKS}]", ""), F.lit(""))
     found = n.select("id", F.explode(F.array_compact(F.array(F.when(text == "", "empty_text"), F.when(F.col("title").isNull(), "no_title"), F.when(~F.coalesce(F.rlike("source_locator", F.lit(LOCATOR)), F.lit(False)), "malformed_locator")))).alias("problem"))
     counts = found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

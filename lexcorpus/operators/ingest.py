@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.functions.payload import archive_key
-from lexcorpus.operators.audit import LOCATOR, nodes_once, parent_report
+from lexcorpus.operators.audit import LOCATOR, PLACE, nodes_once, parent_report
 from lexcorpus.tables import stripped
 
 
@@ -94,7 +94,7 @@ def publish_decisions(versions: DataFrame) -> DataFrame:
 def reconcile(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(citation_id, outcome): the first reason why a citation doesn't agree with its node, or matched."""
     c = citations.select("id", "legal_node_id", "document_version_id", "locator", "exact_text").distinct()
-    n = nodes_once(nodes).select(F.col("id").alias("legal_node_id"), F.col("document_version_id").alias("n_version"), "source_locator", "text", F.lit(True).alias("there"))
+    n = nodes_once(nodes, ["document_version_id", "source_locator", "text"]).select(F.col("id").alias("legal_node_id"), F.col("document_version_id").alias("n_version"), "source_locator", "text", F.lit(True).alias("there"))
     outcome = (
         F.when(F.col("there").isNull(), "missing_node")
         .when(F.col("n_version") != F.col("document_version_id"), "other_version")
@@ -124,7 +124,7 @@ def pending(documents: DataFrame, archives: DataFrame) -> DataFrame:
 
 def gate_reasons(nodes: DataFrame, versions: DataFrame) -> DataFrame:
     """(document_version_id, reasons): structural reasons against a version, in a fixed order, joined by commas; empty if there are none."""
-    n = nodes_once(nodes)
+    n = nodes_once(nodes, [*PLACE, "article", "chapter", "text"])
     report = parent_report(nodes).groupBy("document_version_id").agg(F.bool_or("orphan").alias("orphan"), F.bool_or(F.col("invalid_parent") | F.col("incompatible")).alias("wrong"))
     text = F.coalesce(stripped(F.col("text")), F.lit(""))
     inner = F.col("node_type") != "DOCUMENT"

@@ -68,7 +68,7 @@ def migrate(documents: DataFrame, articles: DataFrame, archives: DataFrame, kind
 def locator_changes(nodes: DataFrame, versions: DataFrame) -> DataFrame:
     """(id, replaces_id, n_missing, n_unexpected): locators a version lost and gained against the one before it."""
     pairs = succession(versions).where("replaces_id is not null").select("id", "replaces_id")
-    n = nodes_once(nodes).select("document_version_id", "source_locator").distinct()
+    n = nodes_once(nodes, ["document_version_id", "source_locator"]).select("document_version_id", "source_locator").distinct()
     now = pairs.join(n, F.col("id") == F.col("document_version_id")).select("id", "replaces_id", "source_locator", F.lit(1).alias("now"), F.lit(0).alias("then"))
     then = pairs.join(n, F.col("replaces_id") == F.col("document_version_id")).select("id", "replaces_id", "source_locator", F.lit(0).alias("now"), F.lit(1).alias("then"))
     each = now.unionByName(then).groupBy("id", "replaces_id", "source_locator").agg(F.max("now").alias("now"), F.max("then").alias("then"))

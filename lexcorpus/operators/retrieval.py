@@ -30,7 +30,7 @@ def authorities(nodes: DataFrame, versions: DataFrame, documents: DataFrame) ->
     d = records(documents, "id", ["title"], ["updated_at"]).select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
     v = versions.select(F.col("id").alias("document_version_id"), "document_id").distinct()
     title = F.coalesce("title", F.concat(F.lit("Article "), F.nullif("article", F.lit(""))), "source_locator")
-    n = nodes_once(nodes).select(F.col("id").alias("node_id"), "document_version_id", title.alias("title"), F.substring("text", 1, EXCERPT).alias("excerpt"), F.col("source_locator").alias("locator"))
+    n = nodes_once(nodes, ["document_version_id", "title", "article", "source_locator", "text"]).select(F.col("id").alias("node_id"), "document_version_id", title.alias("title"), F.substring("text", 1, EXCERPT).alias("excerpt"), F.col("source_locator").alias("locator"))
     return n.join(v, "document_version_id").join(d, "document_id", "left").select("node_id", "document_id", "document_version_id", "title", "excerpt", "locator", "document_title")
 
 
@@ -38,7 +38,7 @@ def citation_index(nodes: DataFrame, versions: DataFrame, documents: DataFrame)
     """(document_version_id, legal_node_id, citation_key, locator, exact_text, source_url, content_hash, status): a citation of every node but roots."""
     d = records(documents, "id", ["canonical_url", "document_number"], ["updated_at"]).select(F.col("id").alias("document_id"), "canonical_url", F.coalesce(law_id(F.col("canonical_url")), "document_number").alias("law"))
     v = versions.select(F.col("id").alias("document_version_id"), "document_id", F.col("content_hash").alias("v_hash")).distinct()
-    n = nodes_once(nodes).where("node_type <> 'DOCUMENT'")
+    n = nodes_once(nodes, ["document_version_id", "node_type", "source_locator", "text", "content_hash"]).where("node_type <> 'DOCUMENT'")
     j = n.join(v.join(d, "document_id"), "document_version_id")
     return j.select(
         "document_version_id",
@@ -54,7 +54,7 @@ def citation_index(nodes: DataFrame, versions: DataFrame, documents: DataFrame)
 
 def backfill_needs(nodes: DataFrame, citations: DataFrame) -> DataFrame:
     """(document_version_id, n_nodes, n_citations, complete): versions whose numbers of citations and nodes differ need a back-fill."""
-    n = nodes_once(nodes).where("node_type <> 'DOCUMENT'").groupBy("document_version_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    n = nodes_once(nodes, ["document_version_id", "node_type"]).where("node_type <> 'DOCUMENT'").groupBy("document_version_id").agg(F.count(F.lit(1)).alias("n_nodes"))
     c = citations.select("id", "document_version_id").distinct().groupBy("document_version_id").agg(F.count(F.lit(1)).alias("n_citations"))
     j = n.join(c, "document_version_id", "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
     return j.withColumn("complete", F.col("n_nodes") == F.col("n_citations"))
@@ -63,14 +63,14 @@ def backfill_needs(nodes: DataFrame, citations: DataFrame) -> DataFrame:
 def missing_citations(nodes: DataFrame, citations: DataFrame) -> DataFrame:
     """(id, document_version_id): nodes that no citation of their version names."""
     c = citations.select(F.col("legal_node_id").alias("id"), "document_version_id").distinct()
-    return nodes_once(nodes).where("node_type <> 'DOCUMENT'").select("id", "document_version_id").join(c, ["id", "document_version_id"], "left_anti")
+    return nodes_once(nodes, ["document_version_id", "node_type"]).where("node_type <> 'DOCUMENT'").select("id", "document_version_id").join(c, ["id", "document_version_id"], "left_anti")
 
 
 def public_citations(citations: DataFrame, nodes: DataFrame, versions: DataFrame, instant: str | None = None) -> DataFrame:
     """Citations of public versions with the place of their node."""
     v = versions.where(F.col("status").isin(PUBLIC_EVER if instant else PUBLIC_NOW) & (covers(instant) if instant else F.lit(True)))
     v = v.select(F.col("id").alias("document_version_id"), "document_id").distinct()
-    n = nodes_once(nodes).select(F.col("id").alias("legal_node_id"), "article", F.col("title").alias("node_title"))
+    n = nodes_once(nodes, ["article", "title"]).select(F.col("id").alias("legal_node_id"), "article", F.col("title").alias("node_title"))
     c = citations.where("status = 'VALID'").select("citation_key", "locator", "legal_node_id", "document_version_id", "exact_text").distinct()
     return c.join(v, "document_version_id").join(n, "legal_node_id")
 

@@ -1,7 +1,8 @@
 """Versions of documents in time: as-of and current selection, overlaps, succession, violations.
 
 A null bound means unknown for as-of reads (the version covers no instant) but unbounded for the
-overlap check. Rows delivered twice count once. Ties of version_number are broken by id.
+overlap check. Rows delivered twice count once. Ties of version_number are broken by id. Rows
+without a document are in no chain and overlap nothing.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def overlaps(versions: DataFrame, closed: bool = True) -> DataFrame:
     offending version instead of all pairs, so it stays linear in a document with very many.
     """
     low, high = F.lit("0001-01-01").cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz")
-    rows = versions.where("status = 'PUBLISHED'").select("document_id", "id", F.coalesce("effective_from", low).alias("s"), F.coalesce("effective_to", high).alias("e")).distinct()
+    rows = versions.where("status = 'PUBLISHED' and document_id is not null").select("document_id", "id", F.coalesce("effective_from", low).alias("s"), F.coalesce("effective_to", high).alias("e")).distinct()
     if not closed:
         rows = rows.where("s < e")
     scanned = running(rows, ["document_id"], ["s", "e", "id"], before={"reached": F.col("e")})
@@ -61,7 +62,7 @@ def succession(versions: DataFrame) -> DataFrame:
 
     ``in_force_until`` is the version's own end, else the start of the next one.
     """
-    rows = versions.where(F.col("status").isin(PUBLIC_EVER)).select("document_id", "version_number", "id", "effective_from", "effective_to").distinct()
+    rows = versions.where(F.col("status").isin(PUBLIC_EVER) & F.col("document_id").isNotNull()).select("document_id", "version_number", "id", "effective_from", "effective_to").distinct()
     step = F.struct("version_number", "id", "effective_from")
     chain = running(rows, ["document_id"], ["version_number", "id"], before={"prev": step}, after={"next": step})
     return chain.select("document_id", "version_number", "id", F.col("prev.id").alias("replaces_id"), F.col("next.id").alias("replaced_by_id"), F.coalesce("effective_to", "next.effective_from").alias("in_force_until"))

@@ -65,7 +65,7 @@ def collision_detail(s: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_locators(s: SparkSession, d: str) -> DataFrame:
-    return audit.duplicate_keys(audit.nodes_once(table(s, d, "legal_nodes")), ["document_version_id", "source_locator"])
+    return audit.duplicate_keys(audit.nodes_once(table(s, d, "legal_nodes"), audit.PLACE), ["document_version_id", "source_locator"])
 
 
 def orphan_versions(s: SparkSession, d: str) -> DataFrame:
@@ -103,7 +103,7 @@ def roundtrip_totals(s: SparkSession, d: str) -> DataFrame:
 
 
 def locator_grammar(s: SparkSession, d: str) -> DataFrame:
-    return audit.nodes_once(table(s, d, "legal_nodes")).select("node_type", F.coalesce(F.rlike("source_locator", F.lit(audit.LOCATOR)), F.lit(False)).alias("well_formed")).groupBy("node_type", "well_formed").agg(F.count(F.lit(1)).alias("n"))
+    return audit.nodes_once(table(s, d, "legal_nodes"), audit.PLACE).select("node_type", F.coalesce(F.rlike("source_locator", F.lit(audit.LOCATOR)), F.lit(False)).alias("well_formed")).groupBy("node_type", "well_formed").agg(F.count(F.lit(1)).alias("n"))
 
 
 def negative_probes(s: SparkSession, d: str) -> DataFrame:
