@@ -84,7 +84,8 @@ def _attributes(df: DataFrame) -> DataFrame:
     return df.select(
         "id", "plain", "shortened", "cut", "year", "date", "own", "place", "kind",
         F.when(F.col("n0") != "0", F.col("n0")).alias("n"),
-        F.coalesce(F.substring("slug0", 1, 40), F.substring(F.replace("plain", F.lit(" "), F.lit("-")), 1, 40)).alias("slug"),
+        F.substring("slug0", 1, 40).alias("slug"),
+        F.substring(F.replace("plain", F.lit(" "), F.lit("-")), 1, 40).alias("slugged"),
         F.array_join(F.array_sort(words), " ").alias("sorted"),
         F.array_join(F.transform(words, lambda w: F.substring(w, 1, 3)), " ").alias("stems"),
         F.substring(F.replace("plain", F.lit(" "), F.lit("")), 1, 8).alias("head"),
@@ -105,15 +106,18 @@ class Rule:
 
 
 _PREFIX = "startswith(d_solid, k_solid)"
-_NEAR = "(levenshtein(k_solid, d_solid, 3) >= 0 or size(array_intersect(k_words, d_words)) >= size(d_words) - 1)"
+#: An amending or accompanying act has all words of its base act but the last; it is told by the length it adds.
+_NEAR = "(levenshtein(k_solid, d_solid, 3) >= 0 or size(array_intersect(k_words, d_words)) >= size(d_words) - 1 and length(k_solid) < length(d_solid) + 10)"
+#: Slugs are cut at 40 characters: a title that isn't cut must agree behind them as well.
+_WHOLE = f"(k_cut or coalesce(k_plain, '') = '' or k_sorted = d_sorted or k_stems = d_stems or levenshtein(k_solid, d_solid, 6) >= 0 or {_NEAR})"
 RULES = [
-    Rule("slug and number", ("slug", "n")),
-    Rule("slug and date", ("slug", "date")),
+    Rule("slug and number", ("slug", "n"), _WHOLE),
+    Rule("slug and date", ("slug", "date"), _WHOLE),
     Rule("title and number", ("solid", "n")),
     Rule("title and date", ("solid", "date")),
     Rule("title words and number", ("sorted", "n")),
     Rule("title words and date", ("sorted", "date")),
-    Rule("slug", ("slug", "place", "kind")),
+    Rule("slug", ("slug", "place", "kind"), _WHOLE),
     Rule("title", ("solid", "place", "kind")),
     Rule("title words", ("sorted", "place", "kind")),
     Rule("cut title and number", ("head", "n"), f"k_cut and {_PREFIX}"),
@@ -141,7 +145,8 @@ def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: floa
     stage = Stage(sources.sparkSession, "matching")
     d = stage.write(_attributes(entities.distinct()).distinct(), "entities")
     rest = stage.write(_attributes(sources.distinct()).distinct(), "sources")
-    d = d.select([F.col(c).alias(f"d_{c}") for c in d.columns])
+    # addresses of entities need hold no slug: theirs is made of the title
+    d = d.withColumn("slug", F.coalesce("slug", "slugged")).select([F.col(c).alias(f"d_{c}") for c in d.columns])
     k = rest = rest.select([F.col(c).alias(f"k_{c}") for c in rest.columns])
     against = F.coalesce(F.expr(AGAINST.format(days=days)), F.lit(False))
     found = []

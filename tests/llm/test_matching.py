@@ -35,3 +35,17 @@ def test_confidence_and_empty(spark):
     r = {r.knowledge_id: r.confidence for r in matches(make(spark, acts), make(spark, seen), least=0.0).collect()}
     assert r["f"] == 0.5
     assert matches(make(spark, []), make(spark, seen)).count() == 0 and matches(make(spark, acts), make(spark, [])).count() == 0
+
+
+def test_acts_that_differ_behind_the_slug(spark):
+    base, amending = "Гарталт түмбэрд сүнзий Чагдаглт чёйтай дэлцэц тухай хууль", "Гарталт түмбэрд сүнзий Чагдаглт чёйтай дэлцэц тухай хуульд өөрчлөлт оруулах тухай"
+    slug = "http://www.o.example/" + spark.range(1).select(F.substring(F.replace(latin(F.lit(base)), F.lit(" "), F.lit("-")), 1, 40)).first()[0] + ".html"
+    acts = [(f"a{i}", t, str(100 + i), f"2010-0{i % 9 + 1}-1{i % 9}", f"https://k.example/mn/detail?lawId={7000 + i}", "MN", "LAW") for i, t in enumerate(NAMES)]
+    acts += [("base", base, None, None, None, "MN", "LAW"), ("only-amending", NAMES[0] + "д өөрчлөлт оруулах тухай", None, None, None, "MN", "LAW")]
+    seen = [(f"s{i}", t, None, None, f"http://o.example/law/details/{7000 + i}", "MN", "act") for i, t in enumerate(NAMES)]
+    free = [
+        ("amending", amending, None, None, None, "MN", "act"), ("amending-slug", amending, "7", "2011-01-01", slug, "MN", "act"), ("base", base, None, None, None, "MN", "act"), ("base-slug", base.replace("чёйтай", "чётйай"), "7", None, slug, "MN", "act"),
+        ("cut-slug", base[:30] + "…", None, None, slug, "MN", "act"), ("no-title-slug", None, None, None, slug, "MN", "act"),
+    ]
+    got = {r.knowledge_id: r.document_id for r in matches(make(spark, acts), make(spark, seen + free), least=0.0).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "s"} == {k: "base" for k in ("base", "base-slug", "cut-slug", "no-title-slug")}
