@@ -8,9 +8,10 @@ whose address holds the entity's own number: there the truth is known, and a rec
 no entity has counts against every rule that matches it.
 
 Scale: a rule shuffles the unresolved records and the entities once, on its key; null keys are
-dropped first. A key that more than ``SHARED`` entities share can't single one out: these groups
-are left to the rules whose keys hold the number or the date as well, so that a key owned by a
-third of all rows is never paired.
+dropped first. The group of a key that more than ``SHARED`` entities share is divided by what would
+contradict anyway, date (or year) and number, so that each pair that isn't contradicted meets in one
+part; entities alike in all that is still compared are one row with the least and greatest id. So a
+key owned by a third of all rows isn't paired as a whole, and no entity is left out.
 
 Defined cases: null, blank and unknown values ('0', 'n/a', ...) of an attribute neither join nor
 contradict; repeated rows are one record; several editions of an entity each match by themselves.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lexcorpus.staging import Stage
 
+#: Groups of more entities are divided; the result is the same.
 SHARED = 50
 #: Weight of the precision of all rules, in cases.
 PRIOR = 2
@@ -136,6 +138,35 @@ RULES = [
 AGAINST = "(k_n <> d_n) or (k_kind <> d_kind) or (k_year <> year(d_date)) or (datediff(k_date, d_date) not between 0 and {days})"
 
 
+def _part(side: str, days: int) -> Column:
+    """Parts of a group a row (side k: record, d: entity) belongs to: a pair that neither date, year nor number contradict meets in exactly one.
+
+    Of dates, b is a span of ``days`` + 1 days, of which a record sees at most two, y the year where a record has
+    nothing else, d any date and u none; of numbers, n is the number, a any and 0 none.
+    """
+    span = lambda back: f"concat('b', floor((unix_date({side}_date) - {back}) / {days + 1}))"
+    if side == "d":
+        dates = f"if(d_date is null, array('u'), array({span(0)}, concat('y', year(d_date)), 'd'))"
+        numbers = "if(d_n is null, array('0'), array(concat('n', d_n), 'a'))"
+    else:
+        dates = f"case when k_date is not null then array_distinct(array({span(0)}, {span(days)}, 'u')) when k_year is not null then array(concat('y', k_year), 'u') else array('d', 'u') end"
+        numbers = "array(if(k_n is null, 'a', concat('n', k_n)), '0')"
+    return F.expr(f"flatten(transform({dates}, x -> transform({numbers}, y -> struct(x, y))))")
+
+
+def _divided(d: DataFrame, k: DataFrame, rule: Rule, days: int) -> tuple[DataFrame, DataFrame]:
+    """Entities and records of large groups by part; entities alike in what a rule compares are one row with d_id, the least id, and d_other, the greatest."""
+    key = [f"d_{c}" for c in rule.keys]
+    rows = d.withColumn("d_part", F.explode(_part("d", days)))
+    # what no record of a part can contradict isn't compared
+    for c, free in (("d_date", "d_part.x in ('d', 'u')"), ("d_n", "d_part.y in ('a', '0')")):
+        if c not in key:
+            rows = rows.withColumn(c, F.expr(f"if({free}, null, {c})"))
+    alike = dict.fromkeys(["d_part", *key, "d_kind", "d_date", "d_n", *(c for c in d.columns if c in rule.fits)])
+    rows = rows.groupBy(*alike).agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("d_other"), F.min("d_own").alias("d_own"))
+    return rows, k.withColumn("k_part", F.explode(_part("k", days)))
+
+
 def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: float = 0.7) -> DataFrame:
     """(document_id, knowledge_id, rule, confidence) of ``sources`` that are one of ``entities``.
 
@@ -153,9 +184,15 @@ def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: floa
     for i, rule in enumerate(RULES):
         key = [f"d_{c}" for c in rule.keys]
         useful = " and ".join(f"d_{c} is not null and cast(d_{c} as string) <> ''" for c in rule.keys)
-        narrow = d.where(useful).join(d.where(useful).groupBy(*key).agg(F.countDistinct("d_id").alias("shared")).where(f"shared <= {SHARED}").drop("shared"), key)
-        pairs = rest.join(narrow, [F.col(f"k_{c}") == F.col(f"d_{c}") for c in rule.keys]).where(F.expr(rule.fits) & ~against)
-        single = pairs.groupBy("k_id").agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("other"), F.min("d_own").alias("d_own"), F.min("k_own").alias("k_own")).where("d_id = other").drop("other")
+        of_rule, same = d.where(useful).withColumn("d_other", F.col("d_id")), [F.col(f"k_{c}") == F.col(f"d_{c}") for c in rule.keys]
+        large = stage.write(of_rule.groupBy(*key).agg(F.countDistinct("d_id").alias("shared")).where(f"shared > {SHARED}").drop("shared"), f"large{i}")
+        sides = [(of_rule, rest, same)]
+        if not large.isEmpty():
+            parts = _divided(of_rule.join(large, key, "left_semi"), rest.join(large, same, "left_semi"), rule, days)
+            sides = [(of_rule.join(large, key, "left_anti"), rest, same), (*parts, [*same, F.col("k_part") == F.col("d_part")])]
+        met = [x.join(y, on).where(F.expr(rule.fits) & ~against).select("k_id", "k_own", "d_id", "d_other", "d_own") for y, x, on in sides]
+        pairs = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+        single = pairs.groupBy("k_id").agg(F.min("d_id").alias("d_id"), F.max("d_other").alias("other"), F.min("d_own").alias("d_own"), F.min("k_own").alias("k_own")).where("d_id = other").drop("other")
         found.append(stage.write(single.withColumn("rule", F.lit(rule.name)), f"rule{i}"))
         rest = stage.write(rest.join(found[-1], "k_id", "left_anti"), f"rest{i}")
     all_found = found[0]

@@ -1,3 +1,5 @@
+from datetime import date, timedelta
+
 from lexcorpus.llm.matching import latin, matches
 from pyspark.sql import functions as F
 
@@ -49,3 +51,20 @@ def test_acts_that_differ_behind_the_slug(spark):
     ]
     got = {r.knowledge_id: r.document_id for r in matches(make(spark, acts), make(spark, seen + free), least=0.0).collect()}
     assert {k: v for k, v in got.items() if k[0] != "s"} == {k: "base" for k in ("base", "base-slug", "cut-slug", "no-title-slug")}
+
+
+def test_key_of_very_many_acts(spark):
+    title, days = "Хэтэрхий олон тухай хууль", [date(2001, 1, 1) + timedelta(45 * i) for i in range(60)]
+    acts = [(f"m{i}", title, str(200 + i), str(x), None, "MN", "LAW") for i, x in enumerate(days)] + [("undated", title, "900", None, None, "MN", "LAW")]
+    acts += [(f"a{i}", t, None, None, f"https://k.example/mn/detail?lawId={7000 + i}", "MN", "LAW") for i, t in enumerate(NAMES)]
+    seen = [(f"s{i}", t, None, None, f"http://o.example/law/details/{7000 + i}", "MN", "act") for i, t in enumerate(NAMES)]
+    free = [(f"later{i}", title, "999", str(x + timedelta(i % 32)), None, "MN", "act") for i, x in enumerate(days)]  # no act has the number
+    free += [(f"unnumbered{i}", title, None, str(x + timedelta(31)), None, "MN", "act") for i, x in enumerate(days)]  # the undated act is possible as well
+    free += [("undated", title, None, None, None, "MN", "act"), ("after", title, "900", str(days[5] + timedelta(40)), None, "MN", "act"), ("number", title, "217", None, None, "MN", "act")]
+    acts += [("free", title, None, "1990-01-01", None, "MN", "LAW")]
+    free += [("free", title, "998", "1990-02-01", None, "MN", "act")]
+    got = {r.knowledge_id: r.document_id for r in matches(make(spark, acts), make(spark, seen + free), least=0.0).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "s"} == {"after": "undated", "number": "m17", "free": "free"}
+    some = [(a, t, None, *x) for a, t, _, *x in acts if a != "undated"]
+    got = {r.knowledge_id: r.document_id for r in matches(make(spark, some), make(spark, seen + [f for f in free if f[0].startswith("unnumbered")]), least=0.0).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "s"} == {f"unnumbered{i}": f"m{i}" for i in range(len(days))}
