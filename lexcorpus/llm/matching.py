@@ -1,35 +1,52 @@
 """Entities of two tables matched without a common key, by a cascade of deterministic rules.
 
-Each rule is an exact join on a combination of attributes; later rules use weaker combinations. A
-rule resolves a record if exactly one entity remains that nothing speaks against (another number,
-an impossible date, another kind). Resolved records are removed by an anti-join before the next
-rule. The confidence of a match is the smoothed precision of its rule, measured on the records
-whose address holds the entity's own number: there the truth is known, and a record whose number
-no entity has counts against every rule that matches it.
-
-Scale: a rule shuffles the unresolved records and the entities once, on its key; null keys are
-dropped first. The group of a key that more than ``SHARED`` entities share is divided by what would
-contradict anyway, date (or year) and number, so that each pair that isn't contradicted meets in one
-part; entities alike in all that is still compared are one row with the least and greatest id. So a
-key owned by a third of all rows isn't paired as a whole, and no entity is left out.
+Each rule is an exact join on a combination of attributes; the rules stand in passes, each weaker than
+the one before. Within a pass a record is resolved by the first of its rules under which exactly one
+entity remains that nothing speaks against (another number, an impossible date, another kind, another
+number in the address). Resolved records are removed by an anti-join before the next pass.
+
+The confidence of a match is the smoothed precision of its rule, measured on labelled records. For all
+rules but the first the label is the entity number in a record's address: such records pass the cascade
+a second time with that number hidden, only to be counted, and one whose number no entity has counts
+against every rule that matches it. The first rule, which uses that number, is measured on the records
+that the whole-title rules resolve with the number hidden: those must give the same entity. A rule
+is smoothed towards the precision of itself and all weaker rules (and of the next stronger ones until
+there are ``POOL`` cases); ``cases`` tells how many labelled records stand behind it, and with none the
+confidence is that prior alone.
+
+Scale: a pass is one shuffle join of all its rules in long form (rule, key, part). Parts divide the group
+of a key by what would contradict anyway, date (or year) and number, so that each pair that isn't
+contradicted meets in exactly one part; entities alike in all that is still compared are one row with
+the least and greatest id. So a key owned by a third of all rows isn't paired as a whole, no entity is
+left out, and the plan is the same at every size. Null keys are dropped first.
 
 Defined cases: null, blank and unknown values ('0', 'n/a', ...) of an attribute neither join nor
-contradict; repeated rows are one record; several editions of an entity each match by themselves.
+contradict; repeated rows are one record; several editions of an entity each match by themselves; an
+address number that several entities share resolves nothing; a title cut to fewer than eight
+characters isn't continued.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.staging import Stage
 
-#: Groups of more entities are divided; the result is the same.
-SHARED = 50
-#: Weight of the precision of all rules, in cases.
+#: Weight of the prior of a rule's precision, in cases.
 PRIOR = 2
+#: A prior is the precision over at least so many cases, where there are so many.
+POOL = 10
+#: Addresses hold at most so many characters of a title.
+SLUG = 40
+#: What typists add before and behind a title, as patterns; a parameter of :func:`matches`.
+BEFORE = (r"монгол улсын хууль\. ", "эх: ", r"\[скан\] ")
+BEHIND = (r" /\d{4} он/", " /шинэчилсэн найруулга/", " - эх бичвэр", r" \(хүчингүй болсон\)", r" \.")
+#: Other names of a jurisdiction, as patterns; a parameter of :func:`matches`.
+PLACES = {"MONGOL.*": "MN"}
 
 #: Cyrillic letters and their Latin spelling (fixed values).
 LATIN = {
@@ -54,17 +71,19 @@ def latin(text: Column) -> Column:
     return F.translate(out, "".join(single), "".join(single.values()))
 
 
-def _title(text: Column) -> Column:
-    """A title without additions of the typist: prefixes, year or validity in brackets, blanks, marks."""
-    t = F.trim(F.regexp_replace(F.lower(text), r"[\s ]+", " "))
-    t = F.regexp_replace(t, r"^(?:монгол улсын хууль\. |эх: |\[скан\] )+", "")
-    t = F.regexp_replace(t, r"(?: /\d{4} он/| /шинэчилсэн найруулга/| - эх бичвэр| \(хүчингүй болсон\)| \.)+$", "")
-    return t
+def _title(text: Column, before: tuple[str, ...], behind: tuple[str, ...]) -> Column:
+    """A title in small letters without what typists add, with single blanks."""
+    t = F.trim(F.regexp_replace(F.lower(text), r"[\s\u00a0]+", " "))
+    t = F.regexp_replace(t, f"^(?:{'|'.join(before)})+", "") if before else t
+    return F.regexp_replace(t, f"(?:{'|'.join(behind)})+$", "") if behind else t
 
 
-def _attributes(df: DataFrame) -> DataFrame:
+def _attributes(df: DataFrame, before: tuple[str, ...], behind: tuple[str, ...], places: dict[str, str]) -> DataFrame:
     """Keys of records (id, title, number, day, address, jurisdiction, kind)."""
-    t = _title(F.col("title"))
+    t = _title(F.col("title"), before, behind)
+    place = F.upper(F.trim("jurisdiction"))
+    for pattern, name in places.items():
+        place = F.regexp_replace(place, f"^{pattern}$", name)
     plain = F.trim(F.regexp_replace(latin(F.regexp_replace(t, r"[^\p{L}\p{N} …]", "")), r"…$", ""))
     n = F.trim(F.col("number"))
     day = F.regexp_extract(F.col("day"), r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})", 0)
@@ -79,18 +98,18 @@ def _attributes(df: DataFrame) -> DataFrame:
         F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd").alias("date"),
         F.nullif(F.coalesce(F.nullif(F.regexp_extract("address", r"(?i)lawid=(\d+)", 1), F.lit("")), F.regexp_extract("address", r"/(?:detail|details)/(\d+)", 1)), F.lit("")).alias("own"),
         F.nullif(F.regexp_extract("address", r"/([a-z-]+)\.html$", 1), F.lit("")).alias("slug0"),
-        F.regexp_replace(F.upper(F.trim("jurisdiction")), r"^MONGOL.*$", "MN").alias("place"),
+        place.alias("place"),
         F.upper(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.lower(F.trim("kind"))), F.trim("kind"))).alias("kind"),
     )
     words = F.filter(F.split("plain", " "), lambda w: (w != "tukhai") & (w != ""))
     return df.select(
         "id", "plain", "shortened", "cut", "year", "date", "own", "place", "kind",
         F.when(F.col("n0") != "0", F.col("n0")).alias("n"),
-        F.substring("slug0", 1, 40).alias("slug"),
-        F.substring(F.replace("plain", F.lit(" "), F.lit("-")), 1, 40).alias("slugged"),
+        F.substring("slug0", 1, SLUG).alias("slug"),
+        F.substring(F.replace("plain", F.lit(" "), F.lit("-")), 1, SLUG).alias("slugged"),
         F.array_join(F.array_sort(words), " ").alias("sorted"),
         F.array_join(F.transform(words, lambda w: F.substring(w, 1, 3)), " ").alias("stems"),
-        F.substring(F.replace("plain", F.lit(" "), F.lit("")), 1, 8).alias("head"),
+        F.when(F.length(F.replace("plain", F.lit(" "), F.lit(""))) >= 8, F.substring(F.replace("plain", F.lit(" "), F.lit("")), 1, 8)).alias("head"),
         F.element_at(words, 1).alias("first"),
         F.array_join(F.slice(F.reverse(words), 1, 2), " ").alias("last"),
         F.replace("plain", F.lit(" "), F.lit("")).alias("solid"),
@@ -104,110 +123,148 @@ class Rule:
 
     name: str
     keys: tuple[str, ...]
-    fits: str = "true"
+    fits: str = ""
 
 
-_PREFIX = "startswith(d_solid, k_solid)"
+_PREFIX = "k_cut and startswith(d_solid, k_solid)"
 #: An amending or accompanying act has all words of its base act but the last; it is told by the length it adds.
 _NEAR = "(levenshtein(k_solid, d_solid, 3) >= 0 or size(array_intersect(k_words, d_words)) >= size(d_words) - 1 and length(k_solid) < length(d_solid) + 10)"
-#: Slugs are cut at 40 characters: a title that isn't cut must agree behind them as well.
+#: Slugs are cut: a title that isn't must agree behind them as well.
 _WHOLE = f"(k_cut or coalesce(k_plain, '') = '' or k_sorted = d_sorted or k_stems = d_stems or levenshtein(k_solid, d_solid, 6) >= 0 or {_NEAR})"
-RULES = [
-    Rule("slug and number", ("slug", "n"), _WHOLE),
-    Rule("slug and date", ("slug", "date"), _WHOLE),
-    Rule("title and number", ("solid", "n")),
-    Rule("title and date", ("solid", "date")),
-    Rule("title words and number", ("sorted", "n")),
-    Rule("title words and date", ("sorted", "date")),
-    Rule("slug", ("slug", "place", "kind"), _WHOLE),
-    Rule("title", ("solid", "place", "kind")),
-    Rule("title words", ("sorted", "place", "kind")),
-    Rule("cut title and number", ("head", "n"), f"k_cut and {_PREFIX}"),
-    Rule("cut title and date", ("head", "date"), f"k_cut and {_PREFIX}"),
-    Rule("cut title", ("head", "place", "kind"), f"k_cut and {_PREFIX}"),
-    Rule("word stems and number", ("stems", "n")),
-    Rule("word stems and date", ("stems", "date")),
-    Rule("word stems", ("stems", "place", "kind"), f"k_shortened or {_NEAR}"),
-    Rule("number, kind and near title", ("n", "kind"), _NEAR),
-    Rule("date, kind and near title", ("date", "kind"), _NEAR),
-    Rule("first word and near title", ("first", "kind", "place"), _NEAR),
-    Rule("last words and near title", ("last", "kind", "place"), _NEAR),
+PASSES = [
+    [Rule("address number", ("own",))],
+    [
+        Rule("slug and number", ("slug", "n"), _WHOLE),
+        Rule("slug and date", ("slug", "date"), _WHOLE),
+        Rule("title and number", ("solid", "n")),
+        Rule("title and date", ("solid", "date")),
+        Rule("title words and number", ("sorted", "n")),
+        Rule("title words and date", ("sorted", "date")),
+    ],
+    [
+        Rule("slug", ("slug", "place", "kind"), _WHOLE),
+        Rule("title", ("solid", "place", "kind")),
+        Rule("title words", ("sorted", "place", "kind")),
+        Rule("cut title and number", ("head", "n"), _PREFIX),
+        Rule("cut title and date", ("head", "date"), _PREFIX),
+        Rule("cut title", ("head", "place", "kind"), _PREFIX),
+    ],
+    [
+        Rule("word stems and number", ("stems", "n")),
+        Rule("word stems and date", ("stems", "date")),
+        Rule("word stems", ("stems", "place", "kind"), f"(k_shortened or {_NEAR})"),
+    ],
+    [
+        Rule("number, kind and near title", ("n", "kind"), _NEAR),
+        Rule("date, kind and near title", ("date", "kind"), _NEAR),
+        Rule("first word and near title", ("first", "kind", "place"), _NEAR),
+        Rule("last words and near title", ("last", "kind", "place"), _NEAR),
+    ],
 ]
+RULES = [rule for rules in PASSES for rule in rules]
+#: The passes that compare whole titles: with the address number hidden they label the rule that uses it.
+LABELLING = (1, 2)
 
-#: What speaks against a pair; dates of a record lie up to ``{days}`` days after the entity's.
-AGAINST = "(k_n <> d_n) or (k_kind <> d_kind) or (k_year <> year(d_date)) or (datediff(k_date, d_date) not between 0 and {days})"
+#: What speaks against a pair; dates of a record lie up to ``{days}`` days after the entity's. A record whose
+#: address number is still open isn't an entity that has a number.
+AGAINST = "(k_n <> d_n) or (k_kind <> d_kind) or (k_year <> year(d_date)) or (datediff(k_date, d_date) not between 0 and {days}) or (k_held and d_held)"
+_TITLE = ("plain", "solid", "sorted", "stems", "words")
 
 
-def _part(side: str, days: int) -> Column:
+def _parts(side: str, rule: Rule, days: int) -> str:
     """Parts of a group a row (side k: record, d: entity) belongs to: a pair that neither date, year nor number contradict meets in exactly one.
 
     Of dates, b is a span of ``days`` + 1 days, of which a record sees at most two, y the year where a record has
-    nothing else, d any date and u none; of numbers, n is the number, a any and 0 none.
+    nothing else, d any date and u none; of numbers, n is the number, a any and 0 none. What is part of the
+    key divides no further.
     """
     span = lambda back: f"concat('b', floor((unix_date({side}_date) - {back}) / {days + 1}))"
-    if side == "d":
+    if "date" in rule.keys:
+        dates = "array('')"
+    elif side == "d":
         dates = f"if(d_date is null, array('u'), array({span(0)}, concat('y', year(d_date)), 'd'))"
-        numbers = "if(d_n is null, array('0'), array(concat('n', d_n), 'a'))"
     else:
         dates = f"case when k_date is not null then array_distinct(array({span(0)}, {span(days)}, 'u')) when k_year is not null then array(concat('y', k_year), 'u') else array('d', 'u') end"
+    if "n" in rule.keys:
+        numbers = "array('')"
+    elif side == "d":
+        numbers = "if(d_n is null, array('0'), array(concat('n', d_n), 'a'))"
+    else:
         numbers = "array(if(k_n is null, 'a', concat('n', k_n)), '0')"
-    return F.expr(f"flatten(transform({dates}, x -> transform({numbers}, y -> struct(x, y))))")
+    return f"flatten(transform({dates}, x -> transform({numbers}, y -> struct(x, y))))"
 
 
-def _divided(d: DataFrame, k: DataFrame, rule: Rule, days: int) -> tuple[DataFrame, DataFrame]:
-    """Entities and records of large groups by part; entities alike in what a rule compares are one row with d_id, the least id, and d_other, the greatest."""
-    key = [f"d_{c}" for c in rule.keys]
-    rows = d.withColumn("d_part", F.explode(_part("d", days)))
-    # what no record of a part can contradict isn't compared
-    for c, free in (("d_date", "d_part.x in ('d', 'u')"), ("d_n", "d_part.y in ('a', '0')")):
-        if c not in key:
-            rows = rows.withColumn(c, F.expr(f"if({free}, null, {c})"))
-    alike = dict.fromkeys(["d_part", *key, "d_kind", "d_date", "d_n", *(c for c in d.columns if c in rule.fits)])
-    rows = rows.groupBy(*alike).agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("d_other"), F.min("d_own").alias("d_own"))
-    return rows, k.withColumn("k_part", F.explode(_part("k", days)))
+def _long(df: DataFrame, side: str, rules: list[Rule], days: int) -> DataFrame:
+    """``df`` once for every rule it has the keys of, and part: rule, key, x, y."""
+    rows = []
+    for rule in rules:
+        keys = [f"cast({side}_{c} as string)" for c in rule.keys]
+        there = " and ".join(f"coalesce({k}, '') <> ''" for k in keys)
+        at = f"transform({_parts(side, rule, days)}, p -> struct({RULES.index(rule)} as rule, concat_ws('\u0001', {', '.join(keys)}) as key, p.x as x, p.y as y))"
+        rows.append(f"if({there}, {at}, array())")
+    return df.withColumn("at", F.explode(F.expr(f"concat({', '.join(rows)})"))).select("*", "at.*").drop("at")
 
 
-def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: float = 0.7) -> DataFrame:
-    """(document_id, knowledge_id, rule, confidence) of ``sources`` that are one of ``entities``.
+def _alike(d: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Entities of a part that are alike in what is still compared are one row: d_id is the least id, d_other the greatest."""
+    dated = [RULES.index(r) for r in rules if "date" in r.keys]
+    titled = [RULES.index(r) for r in rules if r.fits]
+    any_of = lambda which: F.col("rule").isin(which) if which else F.lit(False)
+    # no record that sees such a part can contradict the date, or the number
+    d = d.withColumn("d_date", F.when(any_of(dated) | ~F.col("x").isin("d", "u"), F.col("d_date"))).withColumn("d_n", F.when(~F.col("y").isin("a", "0", ""), F.col("d_n")))
+    title = F.when(any_of(titled), F.struct(*[f"d_{c}" for c in _TITLE]))
+    same = ["rule", "key", "x", "y", "d_kind", "d_date", "d_n", "d_held"]
+    one = d.groupBy(*same, F.when(any_of(titled), F.col("d_plain")).alias("d_as")).agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("d_other"), F.min("d_own").alias("d_own"), F.any_value(title).alias("t"))
+    return one.select(*same, "d_id", "d_other", "d_own", "t.*")
+
+
+def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: float = 0.7, before: tuple[str, ...] = BEFORE, behind: tuple[str, ...] = BEHIND, places: dict[str, str] = PLACES) -> DataFrame:
+    """(document_id, knowledge_id, rule, confidence, cases) of ``sources`` that are one of ``entities``.
 
     Both need (id, title, number, day, address, jurisdiction, kind). Matches of rules with a
     confidence below ``least`` are left out.
     """
-    stage = Stage(sources.sparkSession, "matching")
-    d = stage.write(_attributes(entities.distinct()).distinct(), "entities")
-    rest = stage.write(_attributes(sources.distinct()).distinct(), "sources")
+    spark = sources.sparkSession
+    stage = Stage(spark, "matching")
+    d = stage.write(_attributes(entities.distinct(), before, behind, places).distinct(), "entities")
+    k = stage.write(_attributes(sources.distinct(), before, behind, places).distinct(), "sources")
     # addresses of entities need hold no slug: theirs is made of the title
-    d = d.withColumn("slug", F.coalesce("slug", "slugged")).select([F.col(c).alias(f"d_{c}") for c in d.columns])
-    k = rest = rest.select([F.col(c).alias(f"k_{c}") for c in rest.columns])
+    d = d.withColumn("slug", F.coalesce("slug", "slugged")).select([F.col(c).alias(f"d_{c}") for c in d.columns]).withColumn("d_held", F.col("d_own").isNotNull())
+    k = k.select([F.col(c).alias(f"k_{c}") for c in k.columns])
     against = F.coalesce(F.expr(AGAINST.format(days=days)), F.lit(False))
-    found = []
+    fits = F.expr("case rule " + " ".join(f"when {i} then {r.fits}" for i, r in enumerate(RULES) if r.fits) + " else true end")
+    found: list[DataFrame] = []
+    for i, rules in enumerate(PASSES):
+        if i:
+            # shadow: the record with its address number hidden, only counted
+            rest = k.withColumn("shadow", F.explode(F.expr("if(k_own is null, array(false), array(false, true))"))).withColumn("k_held", F.expr("k_own is not null and not shadow"))
+            for f in found:
+                rest = rest.join(f.select("k_id", "shadow"), ["k_id", "shadow"], "left_anti")
+        else:
+            rest = k.withColumn("shadow", F.lit(False)).withColumn("k_held", F.lit(False))
+        met = _long(rest, "k", rules, days).join(_alike(_long(d, "d", rules, days), rules), ["rule", "key", "x", "y"]).where(fits & ~against)
+        single = met.groupBy("k_id", "shadow", "rule").agg(F.min("d_id").alias("d_id"), F.max("d_other").alias("other"), F.min("d_own").alias("d_own"), F.min("k_own").alias("k_own")).where("d_id = other")
+        first = single.groupBy("k_id", "shadow").agg(F.min(F.struct("rule", "d_id", "d_own", "k_own")).alias("m")).select("k_id", "shadow", "m.*")
+        found.append(stage.write(first, f"pass{i}"))
+    every = lambda which: reduce(DataFrame.unionByName, [found[i] for i in which])
+    rated = _rated(found[0], every(range(1, len(found))), every(LABELLING))
+    confidence = spark.createDataFrame(rated, "rule int, name string, confidence double, cases bigint").where(F.col("confidence") >= least)
+    out = every(range(len(found))).where("not shadow").join(F.broadcast(confidence), "rule")
+    return out.select(F.col("d_id").alias("document_id"), F.col("k_id").alias("knowledge_id"), F.col("name").alias("rule"), "confidence", "cases")
+
+
+def _rated(owned: DataFrame, ruled: DataFrame, labelling: DataFrame) -> list[tuple[int, str, float, int]]:
+    """(rule, name, confidence, cases) of every rule."""
+    shadows = ruled.where("shadow").select("rule", F.coalesce(F.col("k_own") == F.col("d_own"), F.lit(False)).alias("right"))
+    by_title = labelling.where("shadow").select("k_id", F.col("d_id").alias("label"))
+    first = owned.join(by_title, "k_id").select("rule", (F.col("d_id") == F.col("label")).alias("right"))
+    # one row a rule
+    counted = {r.rule: (r.right, r.n) for r in shadows.unionByName(first).groupBy("rule").agg(F.count_if("right").alias("right"), F.count(F.lit(1)).alias("n")).collect()}
+    out = []
     for i, rule in enumerate(RULES):
-        key = [f"d_{c}" for c in rule.keys]
-        useful = " and ".join(f"d_{c} is not null and cast(d_{c} as string) <> ''" for c in rule.keys)
-        of_rule, same = d.where(useful).withColumn("d_other", F.col("d_id")), [F.col(f"k_{c}") == F.col(f"d_{c}") for c in rule.keys]
-        large = stage.write(of_rule.groupBy(*key).agg(F.countDistinct("d_id").alias("shared")).where(f"shared > {SHARED}").drop("shared"), f"large{i}")
-        sides = [(of_rule, rest, same)]
-        if not large.isEmpty():
-            parts = _divided(of_rule.join(large, key, "left_semi"), rest.join(large, same, "left_semi"), rule, days)
-            sides = [(of_rule.join(large, key, "left_anti"), rest, same), (*parts, [*same, F.col("k_part") == F.col("d_part")])]
-        met = [x.join(y, on).where(F.expr(rule.fits) & ~against).select("k_id", "k_own", "d_id", "d_other", "d_own") for y, x, on in sides]
-        pairs = met[0] if len(met) == 1 else met[0].unionByName(met[1])
-        single = pairs.groupBy("k_id").agg(F.min("d_id").alias("d_id"), F.max("d_other").alias("other"), F.min("d_own").alias("d_own"), F.min("k_own").alias("k_own")).where("d_id = other").drop("other")
-        found.append(stage.write(single.withColumn("rule", F.lit(rule.name)), f"rule{i}"))
-        rest = stage.write(rest.join(found[-1], "k_id", "left_anti"), f"rest{i}")
-    all_found = found[0]
-    for f in found[1:]:
-        all_found = all_found.unionByName(f)
-    # precision of each rule where the address tells the truth, smoothed towards that of all rules
-    labelled = all_found.where("k_own is not null")
-    right = F.count_if(F.col("k_own") == F.col("d_own"))
-    prior = labelled.agg((right + 1) / (F.count(F.lit(1)) + 2)).first()[0]
-    precision = labelled.groupBy("rule").agg(right.alias("right"), F.count(F.lit(1)).alias("n"))
-    ruled = all_found.where("k_own is null").join(F.broadcast(precision), "rule", "left")
-    ruled = ruled.withColumn("confidence", (F.coalesce("right", F.lit(0)) + PRIOR * prior) / (F.coalesce("n", F.lit(0)) + PRIOR))
-    # the number in the address: how often the numbers of the acts agree, with nine of ten cases right beforehand
-    own = k.join(d, F.col("k_own") == F.col("d_own"))
-    agree = own.where("k_n is not null and d_n is not null").agg((F.count_if(F.col("k_n") == F.col("d_n")) + 9) / (F.count(F.lit(1)) + 10)).first()[0]
-    own = own.select(F.col("d_id").alias("document_id"), F.col("k_id").alias("knowledge_id"), F.lit("address number").alias("rule"), F.lit(agree).alias("confidence")).distinct()
-    out = own.unionByName(ruled.select(F.col("d_id").alias("document_id"), F.col("k_id").alias("knowledge_id"), "rule", "confidence"))
-    return out.where(F.col("confidence") >= least)
+        # the rule and all weaker ones, then stronger ones until there are enough cases
+        start = next((j for j in range(i, -1, -1) if sum(counted.get(x, (0, 0))[1] for x in range(j, len(RULES))) >= POOL), 0)
+        right, n = (sum(counted.get(x, (0, 0))[c] for x in range(start, len(RULES))) for c in (0, 1))
+        r, m = counted.get(i, (0, 0))
+        out.append((i, rule.name, (r + PRIOR * (right + 1) / (n + 2)) / (m + PRIOR), m))
+    return out
