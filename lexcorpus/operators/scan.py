@@ -8,12 +8,21 @@ struct(order, value), a lead the running minimum of what follows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexcorpus.staging import Stage
 
 
+#: Rows of a range at most, about.
+RANGE = 1_000_000
+
+
+def n_ranges(spark: SparkSession, rows: int, each: int = RANGE) -> int:
+    """Number of ranges for ``rows`` rows: the session's shuffle partitions, more where a range would hold over ``each`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def running(df: DataFrame, group: list[str], order: list[str], before: dict[str, Column] | None = None, after: dict[str, Column] | None = None) -> DataFrame:
     """``df`` and, per name, the maximum of an expression over all earlier rows of the group (``before``) or its minimum over all later rows (``after``); null where there are none.
 
@@ -21,9 +30,10 @@ def running(df: DataFrame, group: list[str], order: list[str], before: dict[str,
     """
     before, after = before or {}, after or {}
     stage = Stage(df.sparkSession, "scan")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = {f"__v{i}": c for i, c in enumerate([*before.values(), *after.values()])}
-    rows = stage.write(df.select("*", *[c.alias(k) for k, c in values.items()]).repartitionByRange(n, *group, *order).withColumn("__pid", F.spark_partition_id()), "ranges")
+    valued = df.select("*", *[c.alias(k) for k, c in values.items()])
+    n = n_ranges(df.sparkSession, df.count())
+    rows = stage.write(valued.repartitionByRange(n, *group, *order).withColumn("__pid", F.spark_partition_id()), "ranges")
     names = [*before, *after]
     keys = list(values)
     is_before = {k: i < len(before) for i, k in enumerate(keys)}
