@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lexcorpus.llm.mixing import mix, shares
+from lexcorpus.llm.mixing import goals, mix, shares
 from lexcorpus.llm.packing import fill, pack, plan
 from lexcorpus.llm.tokens import ranked, sized
 
@@ -75,10 +75,20 @@ def test_mix(spark):
     chosen = mix(df, targets).collect()
     caps = {"a": 1, "b": 3, "c": 2}
     assert all(1 <= r.copies <= caps[r.source] for r in chosen) and sum(r.doc_id >= 2000 for r in chosen) <= 1 and len({r.doc_id for r in chosen}) == len(chosen)
+    longest = {s: max(r.n_tokens for r in sized(df.where("trim(lower(source)) = '" + s + "'"), "text", ["doc_id"]).collect()) for s in caps}
     report = {r.source: r for r in shares(mix(df, targets), targets).collect()}
-    for s, want in (("a", 0.6), ("b", 0.3), ("c", 0.1)):
-        assert abs(report[s].actual_share - want) < 0.02
+    assert all(abs(report[s].n_tokens - report[s].goal_tokens) < longest[s] for s in caps)
     assert report["none"].actual_share == 0.0 and report["none"].n_texts == 0
-    small = shares(mix(df, targets, total_tokens=5000), targets).collect()
-    assert abs(sum(r.n_tokens for r in small) - 5000) < 500
-    assert mix(df.limit(0), targets).count() == 0
+    # a small total is reached by all sources: each gives its share
+    small = {r.source: r for r in shares(mix(df, targets, total_tokens=50000), targets).collect()}
+    assert all(abs(small[s].n_tokens - w * 50000) < longest[s] for s, w in (("a", 0.6), ("b", 0.3), ("c", 0.1)))
+    # more than all sources have: everything, as often as allowed
+    most = {r.doc_id: (r.source, r.copies) for r in mix(df, targets, total_tokens=10**9).collect()}
+    assert all(c == caps[s] for s, c in most.values()) and len(most) == 901
+    assert mix(df.limit(0), targets).count() == 0 and mix(df, targets, total_tokens=0).count() == 0
+
+
+def test_goals_fill_up_after_small_sources():
+    got = goals({"tiny": (0.5, 2, 100), "small": (0.2, 3, 500), "large": (0.3, 1, 10000)}, 4000)
+    assert got == {"tiny": 200.0, "small": 1500.0, "large": 2300.0}
+    assert goals({"a": (0.5, 1, 100), "b": (0.5, 1, 100)}, 100) == {"a": 50.0, "b": 50.0} and goals({"a": (1.0, 2, 10)}, 100) == {"a": 20.0} and goals({}, 5) == {}
