@@ -15,11 +15,15 @@ Scripts without case take ! and ? as ends but not dots (except the doubled CJK e
 blank between two letters ends a unit. Empty lines always do, single line breaks never.
 
 Defined cases: null, empty and blank texts have no units; a text without marks is one unit for
-each block; placeholders that occur in the input are ordinary characters of its text.
+each block; placeholders that occur in the input are ordinary characters of its text. Bounds of
+lookbehinds: a mail host has up to 60 characters before a dot, a leading number up to 15, a
+heading number is looked for behind up to 9 blanks at the beginning of a line.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +42,21 @@ C = r"»”’)\]」』）】》" + CLOSE
 HAN = r"぀-ヿ㐀-鿿豈-﫿"
 THAI = r"ก-ฺเ-๎"
 
-#: Abbreviations that call for what follows (fixed values): never an end.
-LEADING = ["проф", "акад", "тал", "т.е", "ж.нь", "им", "ст", "гл", "ул", "стр", "Art", "Arts", "Sec", "para", "paras", "cf", "e.g", "i.e", "v", "vs", "approx", "ch", "Ch", "Mr", "Mrs", "Ms", "Dr", "Prof", "No", "Nos", "St", "डॉ", "श्री", "सं", "रु"]
-#: Abbreviations that call for a number (fixed values): no end before one.
-NUMBERED = ["п", "ч", "т", "с", "s", "p", "pp", "r", "№", "зүйл", "хэс", "No"]
-#: Number words that stand before a heading (fixed values).
-NUMBER_WORDS = ["Нэг", "Хоёр", "Гурав", "Дөрөв", "Тав", "Зургаа", "Долоо", "Найм", "Ес", "Арав", "Арван нэг", "Арван хоёр", "Арван гурав", "Арван дөрөв", "Арван тав"]
+#: Code points of a chunk that sentences are cut from.
+CHUNK = 1024
+
+
+@dataclass(frozen=True)
+class Abbreviations:
+    """Word lists, a parameter (the values are fixed ones of the corpus' languages; others need lists of their own).
+
+    ``leading`` call for what follows and never end a unit, ``numbered`` call for a number and don't end one
+    before it, ``number_words`` stand with a dot before a heading (in Mongolian, up to fifteen).
+    """
+
+    leading: tuple[str, ...] = ("проф", "акад", "тал", "т.е", "ж.нь", "им", "ст", "гл", "ул", "стр", "Art", "Arts", "Sec", "para", "paras", "cf", "e.g", "i.e", "v", "vs", "approx", "ch", "Ch", "Mr", "Mrs", "Ms", "Dr", "Prof", "No", "Nos", "St", "डॉ", "श्री", "सं", "रु")
+    numbered: tuple[str, ...] = ("п", "ч", "т", "с", "s", "p", "pp", "r", "№", "зүйл", "хэс", "No")
+    number_words: tuple[str, ...] = ("Нэг", "Хоёр", "Гурав", "Дөрөв", "Тав", "Зургаа", "Долоо", "Найм", "Ес", "Арав", "Арван нэг", "Арван хоёр", "Арван гурав", "Арван дөрөв", "Арван тав")
 
 
 def _not(chars: str) -> str:
@@ -51,11 +64,11 @@ def _not(chars: str) -> str:
     return rf"[\u0400-\u04FFa-z [^{chars}]]"
 
 
-def _any(words: list[str]) -> str:
+def _any(words: tuple[str, ...]) -> str:
     return "|".join(w.replace(".", f"[.{MASK}]") for w in sorted(words, key=len, reverse=True))
 
 
-def masked(text: Column) -> Column:
+def masked(text: Column, words: Abbreviations = Abbreviations()) -> Column:
     """``text`` with every mark that ends nothing replaced by a placeholder, of the same length.
 
     Each step names its input once: the expression would double at every step otherwise. Steps for
@@ -78,12 +91,12 @@ def masked(text: Column) -> Column:
             rf"(?<=@[\w.{MASK}-]{{1,60}}\.)(?=\w)",
             r"(?<=(?<![\p{L}\p{N}])\p{Ll}\.)(?=\p{Ll})",
             rf"(?<=(?<![\p{{L}}\p{{N}}])\p{{Lu}}\.)(?=[{WS}]?\p{{Lu}})",
-            rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}.])(?:{_any(LEADING)})\.)(?=[{WS}(]*[\p{{L}}\p{{N}}])",
-            rf"(?<=(?<![\p{{L}}\p{{N}}.])(?:{_any(NUMBERED)})\.)(?=[{WS}]*[0-9])(?<!т\.[{WS}]?п\.)(?<!т[.{MASK}]п\.)",
+            rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}.])(?:{_any(words.leading)})\.)(?=[{WS}(]*[\p{{L}}\p{{N}}])",
+            rf"(?<=(?<![\p{{L}}\p{{N}}.])(?:{_any(words.numbered)})\.)(?=[{WS}]*[0-9])(?<!т\.[{WS}]?п\.)(?<!т[.{MASK}]п\.)",
         ]
     )
     c = F.regexp_replace(c, rf"\.(?:{dots})", MASK)
-    leading = rf"[0-9][0-9{MASK}]{{0,14}}|[IVXLC]{{1,7}}|{_any(NUMBER_WORDS)}"
+    leading = rf"[0-9][0-9{MASK}]{{0,14}}|[IVXLC]{{1,7}}|{_any(words.number_words)}"
     c = F.regexp_replace(c, rf"[.{MASK}](?=[{WS}]+[^{WS}{BLOCK}])(?<=(?:\A|[\n{BLOCK}]|[{T}][{C}]?[{WS}])[{H}]{{0,9}}[{O}]?(?:{leading})[.{MASK}])", NUMBER)
     # quotations and brackets in a running sentence; then all but the last mark in any of them
     inside, closed = rf"{_not(T + C + O + BLOCK)}*", rf"{_not(C + O + BLOCK)}*[{C}]"
@@ -105,7 +118,7 @@ def _where(c: Column, marks: str | list[str], pattern: str, to: str) -> Column:
             held = held | F.contains(x, F.lit(m))
         return F.when(held, F.regexp_replace(x, pattern, to)).otherwise(x)
 
-    return F.get(F.transform(F.array(c), step), F.lit(0))
+    return _named(c, step)
 
 
 _NEXT = rf"[{O}]*[\p{{Lu}}\p{{Lt}}\p{{N}}]|[-–—•][{WS}]*\p{{Lu}}"
@@ -114,28 +127,53 @@ _CASELESS = rf"(?<=[!?]|\p{{Ll}}\.|[{HAN}]…{{1,2}})[{T}]*[{C}]*[{WS}]*[{O}]*\p
 PIECE = rf"{BLOCK}+|{_not(T + BLOCK)}*+(?:[{T}]++[{C}]*+|(?={BLOCK})|\z)"
 
 
-def spans(text: Column) -> Column:
-    """array<struct<start_pos, end_pos>> of the units of ``text``, in code points from 0."""
-    pieces = F.regexp_extract_all(masked(text), F.lit(PIECE), F.lit(0))
-    sized = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), (F.length(p) - F.length(F.ltrim(p, F.lit(BLANK_CHARS + BLOCK)))).alias("lead"), F.length(F.trim(p, F.lit(BLANK_CHARS + BLOCK))).alias("body")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("out"))
-    walked = F.aggregate(
-        sized,
-        zero,
-        lambda a, x: F.struct(
-            (a["at"] + x["n"]).alias("at"),
-            F.when(x["body"] > 0, F.concat(a["out"], F.array(F.struct((a["at"] + x["lead"]).alias("start_pos"), (a["at"] + x["lead"] + x["body"]).alias("end_pos"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return walked
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of all numbers up to each, in log2(n) passes over the array: an array can't grow by appending without being copied each time."""
+
+    def added(step: int):
+        shifted = lambda a: F.transform(a, lambda x, i: x + F.when(i >= step, F.get(a, i - step)).otherwise(0))
+        return lambda a: F.when(F.size(a) > step, shifted(a)).otherwise(a)
+
+    out = numbers
+    for i in range(30):
+        out = _named(out, added(1 << i))
+    return out
+
+
+def spans(text: Column, abbreviations: Abbreviations = Abbreviations(), with_text: bool = False) -> Column:
+    """array<struct<start_pos, end_pos[, sentence]>> of the units of ``text``, in code points from 0."""
+    blanks = F.lit(BLANK_CHARS + BLOCK)
+
+    def units(pieces: Column, whole: Column | None) -> Column:
+        sized = lambda ends: F.zip_with(pieces, ends, lambda p, end: F.struct(
+            (end - F.length(F.ltrim(p, blanks))).alias("start_pos"),
+            (end - F.length(F.ltrim(p, blanks)) + F.length(F.trim(p, blanks))).alias("end_pos"),
+        ))
+        kept = F.filter(_named(running_sums(F.transform(pieces, F.length)), sized), lambda u: u["end_pos"] > u["start_pos"])
+        if whole is None:
+            return kept
+        # a cut counts code points from the start of a string: it is made from the chunks a unit lies in
+        chunks = F.regexp_extract_all(whole, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+        def cut(parts: Column) -> Column:
+            first = lambda u: F.floor(u["start_pos"] / CHUNK).cast("int")
+            last = lambda u: F.floor((u["end_pos"] - 1) / CHUNK).cast("int")
+            near = lambda u: F.array_join(F.slice(parts, first(u) + 1, last(u) - first(u) + 1), "")
+            return F.transform(kept, lambda u: F.struct(u["start_pos"], u["end_pos"], F.substring(near(u), u["start_pos"] - first(u) * CHUNK + 1, u["end_pos"] - u["start_pos"]).alias("sentence")))
+
+        return _named(chunks, cut)
+
+    cut_up = lambda t: _named(F.regexp_extract_all(masked(t, abbreviations), F.lit(PIECE), F.lit(0)), lambda pieces: units(pieces, t if with_text else None))
+    return _named(text, cut_up) if with_text else cut_up(text)
 
 
-def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, abbreviations: Abbreviations = Abbreviations()) -> DataFrame:
     """(doc_id, start_pos, end_pos[, sentence]): the sentence units of every text."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.select("doc_id", *(["text"] if with_text else []), F.explode(spans(F.col("text"))).alias("u"))
+    found = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(spans(F.col(text_col), abbreviations, with_text)).alias("u"))
     at = [F.col("u.start_pos").cast("bigint").alias("start_pos"), F.col("u.end_pos").cast("bigint").alias("end_pos")]
-    if with_text:
-        return found.select("doc_id", *at, F.expr("substring(text, u.start_pos + 1, u.end_pos - u.start_pos)").alias("sentence"))
-    return found.select("doc_id", *at)
+    return found.select("doc_id", *at, *(["u.sentence"] if with_text else []))
