@@ -8,10 +8,14 @@ reaches the threshold falls below ``miss`` (uniform prior, so the posterior afte
 is Beta(m + 1, n - m + 1), whose tail is a binomial sum). Survivors are verified exactly on their
 shingle sets.
 
-Scale: one row of a class per band is shuffled. Bands with more than ``HOT`` members are divided by
-a second, independent set of bands instead of being paired as a whole, so a phrase common to very
-many texts doesn't make all of them candidates; no member is dropped. Signatures and shingles are
-only shuffled for classes that occur in a candidate pair where those can be broadcast (counted).
+Scale: band keys are counted by a partial aggregate first; a bucket of two is a pair already, and only
+the members of larger ones are shuffled again. Where more than ``BLOCK`` classes share a band (a
+phrase common to very many texts), its classes are compared by an exact prefix filter instead: the
+shingles of each are ordered from the rarest on, and two sets with similarity t of n shingles share one of
+the first n - ceil(t n) + 1. So what is common to all makes no candidates, and no pair at the
+threshold is lost by it. A shingle that still is in very many texts is divided into pairs of blocks, so no task holds a
+whole bucket. Signatures and shingles are only shuffled for classes that occur in a candidate pair
+where those can be broadcast (counted).
 
 Defined cases: null and short texts (fewer than ``min_words`` words) belong to no class; repeated
 rows of an id are one record; records without a document are in no pair across documents.
@@ -25,13 +29,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexcorpus.staging import Stage
 from lexcorpus.tables import records
 
-HOT = 500
+#: Classes of a bucket that are compared in one piece.
+BLOCK = 500
+#: Pairs or buckets whose ids are broadcast at most.
 FEW = 500_000
 
 
@@ -50,12 +56,14 @@ class Similar:
     def rows(self) -> int:
         """Rows a band: the most that keep the chance to miss a pair at the threshold below 0.5 %."""
         fits = [r for r in range(1, 9) if (1 - self.threshold**r) ** self.bands <= 0.005]
-        return max(fits, default=1)
+        if not fits:
+            raise ValueError(f"{self.bands} bands are too few for a threshold of {self.threshold}")
+        return max(fits)
 
     @property
     def size(self) -> int:
-        """Hashes of a signature: two sets of bands."""
-        return 2 * self.bands * self.rows
+        """Hashes of a signature."""
+        return self.bands * self.rows
 
     def least_matches(self) -> list[tuple[int, int]]:
         """(n, m): after n hashes a pair with fewer than m matches is given up."""
@@ -87,14 +95,14 @@ def _signer(s: Similar):
     r = np.random.default_rng(7)
     a = r.integers(1, 2**63, s.size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     b = r.integers(0, 2**63, s.size, dtype=np.uint64)
-    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64())), ("finer", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
-    def keys(h: np.ndarray, first: int) -> np.ndarray:
+    def keys(h: np.ndarray) -> np.ndarray:
         out = np.empty((h.shape[1], s.bands), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for i in range(s.bands):
                 k = np.full(h.shape[1], i + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                for row in h[first + i * s.rows : first + (i + 1) * s.rows]:
+                for row in h[i * s.rows : (i + 1) * s.rows]:
                     k = (k ^ row) * np.uint64(0xD6E8FEB86659FD93)
                     k ^= k >> np.uint64(32)
                 out[:, i] = k
@@ -115,7 +123,7 @@ def _signer(s: Similar):
                     h[k] = np.minimum.reduceat(x * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(16), starts)
             sig = np.ascontiguousarray(h.T.astype(np.uint16))
             lists_of = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, s.bands, dtype=np.int32)), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), lists_of(keys(h, 0)), lists_of(keys(h, s.bands * s.rows))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), lists_of(keys(h))], schema=schema)
 
     return run
 
@@ -140,6 +148,19 @@ def _pruner(s: Similar):
     return run
 
 
+def _met(rows: DataFrame, key: str, fits: str = "true") -> DataFrame:
+    """(a, b): classes of ``rows`` (rep, n, ``key``) with the same key, n being the rows of the key.
+
+    Keys of more than ``BLOCK`` rows are divided into blocks; each pair of blocks is a group of its own.
+    """
+    n = F.ceil(F.col("n") / BLOCK)
+    blocks = rows.withColumn("own", F.pmod(F.xxhash64("rep"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+    blocks = blocks.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    x, y = blocks.alias("x"), blocks.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (key, "one", "two")]
+    return x.join(y, [*same, F.expr("x.rep < y.rep and (x.one = x.two or x.own <> y.own)"), F.expr(fits)]).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
 class NearDuplicates:
     """Classes of ``rows`` (id, doc, words) and the pairs of classes that are largely the same."""
 
@@ -157,14 +178,15 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """(a, b, similarity): class pairs at or above the threshold, a < b."""
         s, stage = self.similar, self.stage
-        signed = stage.write(self.classes.select("rep", "shingles").mapInArrow(_signer(s), "rep bigint, sig binary, bands array<bigint>, finer array<bigint>"), "signatures")
+        signed = stage.write(self.classes.select("rep", "shingles").mapInArrow(_signer(s), "rep bigint, sig binary, bands array<bigint>"), "signatures")
         bands = signed.select("rep", F.explode("bands").alias("band"))
-        several = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = stage.write(bands.join(several, "band"), "shared")
-        few = shared.where(f"n <= {HOT}").select("rep", "band")
-        many = shared.where(f"n > {HOT}").select("rep", "band").join(signed.select("rep", "finer"), "rep").select("rep", F.explode("finer").alias("f"), "band").select("rep", F.xxhash64("band", "f").alias("band"))
-        keyed = few.unionByName(many)
-        met = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        buckets = stage.write(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "buckets")
+        more = buckets.where("n > 2").select("band", "n")
+        members = stage.write(bands.join(F.broadcast(more) if more.count() <= FEW else more, "band"), "buckets-of-more")
+        met = buckets.where("n = 2").select("a", "b").unionByName(_met(members.where(f"n <= {BLOCK}"), "band"))
+        hot = members.where(f"n > {BLOCK}").select("rep")
+        if not hot.isEmpty():
+            met = met.unionByName(self._by_prefix(hot.distinct()))
         met = stage.write(met.distinct(), "candidates")
         near = self._with(met, signed.select("rep", "sig"), "sig").mapInArrow(_pruner(s), "a bigint, b bigint")
         near = stage.write(near, "survivors")
@@ -173,6 +195,18 @@ class NearDuplicates:
         j = (common / (F.size("a_shingles") + F.size("b_shingles") - common)).alias("similarity")
         return stage.write(both.select("a", "b", F.explode(F.array(j)).alias("similarity")).where(F.col("similarity") >= s.threshold), "pairs")
 
+    def _by_prefix(self, some: DataFrame) -> DataFrame:
+        """(a, b): all pairs of the classes ``some`` that can reach the threshold, by the rarest shingles of each."""
+        t = self.similar.threshold
+        sized = self.stage.write(self.classes.join(some, "rep", "left_semi").select("rep", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")), "hot-shingles")
+        often = sized.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+        # a window over the shingles of one text
+        rarest = Window.partitionBy("rep").orderBy("often", "shingle")
+        first = sized.join(often, "shingle").withColumn("at", F.row_number().over(rarest)).where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1)
+        first = self.stage.write(first.select("rep", "size", "shingle"), "prefixes")
+        several = first.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return _met(first.join(several, "shingle"), "shingle", f"least(x.size, y.size) >= greatest(x.size, y.size) * {t} - 1e-9")
+
     def _with(self, pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
         if pairs.count() <= FEW:  # so at most twice as many ids

@@ -20,7 +20,7 @@ def _near(spark: SparkSession, d: str, similar: Similar) -> NearDuplicates:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs_across_documents(_near(spark, d, Similar(words=3, threshold=0.5)))
+    return pairs_across_documents(_near(spark, d, Similar(words=3, threshold=0.5, bands=44)))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -46,9 +46,12 @@ def made(spark, rows, s):
     return NearDuplicates(word_rows(df, "id", "text", s.min_words, ["doc"]).dropDuplicates(["id"]), s)
 
 
-@pytest.mark.parametrize("s, hot", [(Similar(words=3, threshold=0.5), 500), (Similar(), 500), (Similar(words=3, threshold=0.5), 1)])
-def test_pairs_equal_brute_force(spark, monkeypatch, s, hot):
-    monkeypatch.setattr(N, "HOT", hot)
+LOW = Similar(words=3, threshold=0.5, bands=44)
+
+
+@pytest.mark.parametrize("s, block", [(LOW, 500), (Similar(), 500), (LOW, 2), (Similar(), 2)])
+def test_pairs_equal_brute_force(spark, monkeypatch, s, block):
+    monkeypatch.setattr(N, "BLOCK", block)
     rows = texts(120)
     want = brute(rows, s)
     got = {tuple(r) for r in pairs_across_documents(made(spark, rows, s)).collect()}
@@ -57,7 +60,7 @@ def test_pairs_equal_brute_force(spark, monkeypatch, s, hot):
 
 
 def test_groups(spark):
-    s = Similar(words=3, threshold=0.5)
+    s = LOW
     base = [f"w{i}" for i in range(40)]
     rows = []
     for k in range(6):  # a chain: each differs from the one before by three words
@@ -71,7 +74,23 @@ def test_groups(spark):
 
 
 def test_sequential_limits():
-    for s in (Similar(), Similar(words=3, threshold=0.5)):
+    for s in (Similar(), LOW):
         steps = s.least_matches()
         assert steps[-1][0] <= s.size and all(m <= s.threshold * n for n, m in steps) and all(a[1] <= b[1] for a, b in zip(steps, steps[1:]))
         assert (1 - s.threshold**s.rows) ** s.bands <= 0.005
+
+
+def test_phrase_common_to_all(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 20)
+    rng = random.Random(3)
+    phrase = [f"хэсэг{i}" for i in range(24)]
+    rows = []
+    for i in range(150):  # two fifths of each text are the phrase; every tenth has a near copy
+        own = [f"{rng.choice('абвгд')}{rng.randrange(10**6)}" for _ in range(36)]
+        rows.append((f"t{i:03}", f"d{i}", " ".join(phrase + own)))
+        if i % 10 == 0:
+            rows.append((f"u{i:03}", f"e{i}", " ".join(phrase + own[:30] + ["x", "y"])))
+    found = made(spark, rows, LOW)
+    assert {tuple(r) for r in pairs_across_documents(found).collect()} == brute(rows, LOW)
+    met = N._met(spark.createDataFrame([("k", i, 90) for i in range(90)], "key string, rep bigint, n bigint"), "key").collect()
+    assert len(met) == 90 * 89 // 2 == len(set(met)) and all(a < b for a, b in met)
