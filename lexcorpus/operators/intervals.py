@@ -1,13 +1,15 @@
 """Continuous periods and gaps of intervals per entity.
 
-Keyed state: an ordered map of disjoint intervals per entity. An insertion finds the intervals it
-touches by binary search, merges them and keeps the gaps between neighbours up to date.
+Keyed state: an ordered map of disjoint intervals per entity. An insertion, in any order, finds the
+intervals it touches by binary search and merges them; the gaps are those between neighbours.
 
 An entity may own a third of all rows, so rows are range-partitioned by (entity, start) and each
-partition keeps the map of one entity at a time, writing out the intervals that no later start can
-touch; a task never holds an entity that is larger than its partition. Only the entities at
-partition borders continue in the next partition: their reach (the greatest end so far) is carried
-over by a table of at most two rows per partition, which settles which pieces begin a period.
+partition keeps the map of one entity at a time; a task never holds an entity that is larger than its
+partition. Entities that lie in one partition are then finished. The others, at most two a partition,
+go on in a second keyed pass per (entity, partition): its map starts from the point reached by all earlier partitions (a
+table of at most two rows a partition), so the periods and gaps inside are final, and only its first
+and last period may be pieces of one that crosses the border. These, at most two a partition, are
+merged by a third map per entity.
 
 ``periods_stream`` keeps the same map as arbitrary state of Structured Streaming.
 
@@ -25,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexcorpus.operators.scan import n_ranges
 from lexcorpus.staging import Stage
 
 SECOND = 1_000_000
@@ -48,69 +51,88 @@ class IntervalMap:
     def gaps(self) -> list[tuple[int, int]]:
         return list(zip(self.ends, self.starts[1:]))
 
-    def settled(self, start: int) -> list[tuple[int, int]]:
-        """Take out the intervals that no interval from ``start`` on can touch."""
-        n = bisect_left(self.ends, start - self.slack)
-        out = list(zip(self.starts[:n], self.ends[:n]))
-        del self.starts[:n], self.ends[:n]
-        return out
+    def rows(self) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of all periods and gaps."""
+        return [("period", *x) for x in zip(self.starts, self.ends)] + [("gap", *x) for x in self.gaps()]
+
+
+_COLUMNS = ["entity", "kind", "s", "e"]
+_SCHEMA = "entity string, kind string, s bigint, e bigint"
 
 
-def _pieces(slack: int):
+def _fold(slack: int):
+    """Periods and gaps of the entities of a partition; the rows of an entity stand together, in any order."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entity, state, out = None, IntervalMap(slack), []
         for batch in batches:
             for e, s, t in zip(batch["entity"], batch["s"].tolist(), batch["e"].tolist()):
                 if e != entity:
-                    out += [(entity, *x) for x in zip(state.starts, state.ends)]
+                    out += [(entity, *x) for x in state.rows()]
                     entity, state = e, IntervalMap(slack)
-                else:
-                    out += [(entity, *x) for x in state.settled(s)]
                 state.insert(s, t)
-            yield pd.DataFrame(out, columns=["entity", "s", "e"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
             out = []
-        yield pd.DataFrame([(entity, *x) for x in zip(state.starts, state.ends)], columns=["entity", "s", "e"])
+        yield pd.DataFrame([(entity, *x) for x in state.rows()], columns=_COLUMNS)
+
+    return run
+
+
+def _carried(slack: int):
+    """Periods and gaps of one entity in one partition, going on from what earlier partitions reached; ``border``: a period that may cross into another."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state, carry = IntervalMap(slack), pdf["carry"].iloc[0]
+        begun = not pd.isna(carry)
+        if begun:
+            # the period that reached so far began before all of these
+            state.insert(min(int(carry), int(pdf["s"].min())), int(carry))
+        for s, e in zip(pdf["s"].tolist(), pdf["e"].tolist()):
+            state.insert(s, e)
+        out = pd.DataFrame([(key[0], *x) for x in state.rows()], columns=_COLUMNS)
+        n = len(state.starts)
+        out["border"] = [i == n - 1 or (begun and i == 0) for i in range(n)] + [False] * (n - 1)
+        return out
 
     return run
 
 
+def _merged(slack: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        state = IntervalMap(slack)
+        for s, e in zip(pdf["s"].tolist(), pdf["e"].tolist()):
+            state.insert(s, e)
+        return pd.DataFrame([(key[0], "period", *x) for x in zip(state.starts, state.ends)], columns=_COLUMNS)
+
+    return run
+
+
+def _micros(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
+    """(entity, s, e) of the rows that are intervals."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp"))
+    return df.select(F.col(entity).cast("string").alias("entity"), micros(start).alias("s"), micros(end).alias("e")).where("entity is not null and s < e")
+
+
 def periods(df: DataFrame, entity: str, start: str, end: str, slack: int = SECOND) -> DataFrame:
     """(entity, kind, start_at, end_at): the longest continuous ``period``s and the ``gap``s between them."""
     stage = Stage(df.sparkSession, "intervals")
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp"))
-    rows = df.select(F.col(entity).cast("string").alias("entity"), micros(start).alias("s"), micros(end).alias("e")).where("entity is not null and s < e")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "entity", "s", "e").sortWithinPartitions("entity", "s", "e")
-    pieces = ordered.mapInPandas(_pieces(slack), "entity string, s bigint, e bigint").withColumn("pid", F.spark_partition_id())
-    pieces = stage.write(pieces, "pieces")  # fixes pid
-
-    by_entity = Window.partitionBy("entity").orderBy("pid")
-    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
-    edges = pieces.groupBy("entity", "pid").agg(F.max("e").alias("reach"))
-    several = edges.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("last")).where("n > 1")
+    rows = _micros(df, entity, start, end)
+    n = n_ranges(df.sparkSession, rows.count())
+    ordered = rows.repartitionByRange(n, "entity", "s", "e").sortWithinPartitions("entity")
+    pieces = stage.write(ordered.mapInPandas(_fold(slack), _SCHEMA).withColumn("pid", F.spark_partition_id()), "pieces")  # fixes pid
+
+    reach = pieces.groupBy("entity", "pid").agg(F.max("e").alias("reach"))
+    several = reach.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
     # at most two entities of a partition go on elsewhere: 2 rows a partition
-    carried = edges.join(F.broadcast(several), "entity").select("entity", "pid", "last", F.max("reach").over(by_entity.rowsBetween(*before)).alias("carry"))
-    inside = Window.partitionBy("entity", "pid").orderBy("s")
-    heads = (
-        pieces.join(F.broadcast(carried), ["entity", "pid"], "left")
-        .withColumn("reached", F.greatest("carry", F.max("e").over(inside.rowsBetween(*before))))
-        .withColumn("top", F.max("e").over(Window.partitionBy("entity", "pid")))
-        .where(f"reached is null or s > reached + {slack}")
-    )
-    firsts = heads.groupBy("entity", "pid").agg(F.min_by("reached", "s").alias("reached"), F.first("last").alias("last")).where("last is not null")
-    nexts = firsts.select("entity", "pid", F.first("reached").over(by_entity.rowsBetween(*after)).alias("next_reached"))
-    whole = heads.join(F.broadcast(nexts), ["entity", "pid"], "left").select(
-        "entity",
-        "s",
-        "reached",
-        F.coalesce(F.lead("reached").over(inside), "next_reached", "last", "top").alias("e"),
-    )
+    before = Window.partitionBy("entity").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stage.write(reach.join(F.broadcast(several), "entity").select("entity", "pid", F.max("reach").over(before).alias("carry")), "carried")
+    alone = pieces.join(F.broadcast(carried.select("entity").distinct()), "entity", "left_anti").drop("pid")
+    crossing = pieces.where("kind = 'period'").join(F.broadcast(carried), ["entity", "pid"]).groupBy("entity", "pid").applyInPandas(_carried(slack), f"{_SCHEMA}, border boolean")
+    crossing = stage.write(crossing, "crossing")
+    joined = crossing.where("border").groupBy("entity").applyInPandas(_merged(slack), _SCHEMA)
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    both = F.array(
-        F.struct(F.lit("period").alias("kind"), F.col("s").alias("a"), F.col("e").alias("b")),
-        F.struct(F.lit("gap").alias("kind"), F.col("reached").alias("a"), F.col("s").alias("b")),
-    )
-    return whole.select("entity", F.inline(both)).where("a is not null").select("entity", "kind", at("a").alias("start_at"), at("b").alias("end_at"))
+    out = alone.unionByName(crossing.where("not border").drop("border")).unionByName(joined)
+    return out.select("entity", "kind", at("s").alias("start_at"), at("e").alias("end_at"))
 
 
 def periods_stream(df: DataFrame, entity: str, start: str, end: str, slack: int = SECOND) -> DataFrame:
@@ -126,6 +148,4 @@ def periods_stream(df: DataFrame, entity: str, start: str, end: str, slack: int
         n, g = len(kept.starts), kept.gaps()
         yield pd.DataFrame({"entity": [key[0]] * (n + len(g)), "kind": ["period"] * n + ["gap"] * len(g), "start_us": kept.starts + [a for a, _ in g], "end_us": kept.ends + [b for _, b in g]})
 
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp"))
-    rows = df.select(F.col(entity).cast("string").alias("entity"), micros(start).alias("s"), micros(end).alias("e")).where("entity is not null and s < e")
-    return rows.groupBy("entity").applyInPandasWithState(fold, "entity string, kind string, start_us bigint, end_us bigint", "starts array<bigint>, ends array<bigint>", "update", "NoTimeout")
+    return _micros(df, entity, start, end).groupBy("entity").applyInPandasWithState(fold, "entity string, kind string, start_us bigint, end_us bigint", "starts array<bigint>, ends array<bigint>", "update", "NoTimeout")
