@@ -1,3 +1,4 @@
+import os
 from datetime import datetime as D
 
 import pytest
@@ -163,4 +164,11 @@ def test_title_filter_and_staged_tables(spark, corpus):
     public = R.public_citations(corpus.citations, corpus.nodes, corpus.versions)
     assert {r.legal_node_id for r in R.of_title(public, corpus.documents, "ХӨДӨЛМӨР").collect()} == {"n2"}
     kept = staging.Stage(spark, "t").write(spark.range(3), "x")
-    assert kept.count() == 3 and staging.clear(spark) >= 1
+    place = kept.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
+    assert kept.count() == 3 and os.path.exists(place)
+    with staging.scope(spark):
+        own = staging.Stage(spark, "t")
+        gone = own.write(spark.range(3), "x").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(gone)
+    assert not os.path.exists(gone) and os.path.exists(place)
+    assert own.clear() == 1 and staging.clear(spark) >= 1 and not os.path.exists(place)
