@@ -1,15 +1,19 @@
 """Parent-child rows of unknown depth resolved by pointer doubling.
 
-Every row starts with a pointer to its parent and the path segment ``[id]``. A round joins the
-unresolved rows to the rows they point to and takes over their pointer, so the jump distance
-doubles and the segments are concatenated; rows pointing to a resolved row are resolved. A row
+Only nodes that have children can be on another node's way up, so the doubling runs on those alone;
+every node then takes over the result of its parent in one join.
+
+In the doubling every node starts with a pointer to its parent. A round joins the open rows to the
+rows they point to and takes over their pointer, so the jump distance doubles (and the path segments
+are concatenated, where paths are asked for); rows pointing to a resolved row are resolved. A row
 of depth d is resolved after about log2(d) rounds. Ancestors have every smaller depth, so the
 first round that resolves nothing proves that the rows still open never reach a root: they lie
 on a circle or below one.
 
-Resolved rows leave the loop. Each round shuffles the open rows and the table they look up; once
-the open rows are few (counted, at most ``few``), the table is first reduced to the rows pointed
-to, by a broadcast of exactly those counted pointers.
+Scale: what open rows point to after a round they or others pointed to before it, so the table that is
+looked up is cut down to those rows each round, and resolved rows nothing points to are never read
+again. Open rows and that table are shuffled; once the table has at most ``few`` rows (counted) it is
+broadcast, but for paths, whose size isn't bounded by the number of rows.
 
 Defined cases: a null or unknown parent makes a root of depth 0; a row that is its own parent
 is a circle; repeated rows of an id are one node (the one with the greatest ``newest`` columns,
@@ -19,6 +23,8 @@ result. Other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,62 +32,72 @@ from lexcorpus.staging import Stage
 from lexcorpus.tables import records
 
 
-def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", newest: list[str] = (), few: int = 200_000) -> DataFrame:
-    """(node_id, root_id, depth, path): path runs from the root to the node.
+def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", newest: list[str] = (), few: int = 200_000, paths: bool = True) -> DataFrame:
+    """(node_id, root_id, depth[, path]): path runs from the root to the node.
 
     Where the walk upwards never ends, root_id is '', depth -1 and path null.
     """
-    spark = nodes.sparkSession
-    stage = Stage(spark, "hierarchy")
-    edges = records(nodes.where(F.col(id_col).isNotNull()), id_col, [parent_col], newest)
-    state = edges.select(
-        F.col(id_col).alias("node"),
-        F.col(parent_col).alias("top"),
-        F.array(F.col(id_col)).alias("seg"),
-        F.col(parent_col).isNull().alias("done"),
+    stage = Stage(nodes.sparkSession, "hierarchy")
+    edges = records(nodes.where(F.col(id_col).isNotNull()), id_col, [parent_col], newest).select(F.col(id_col).alias("node"), F.col(parent_col).alias("top"))
+    edges = stage.write(edges, "edges")
+    inner = edges.join(edges.select(F.col("top").alias("node")).distinct(), "node", "left_semi")
+    inner, small = _doubled(stage, inner, few, paths)
+    path = [F.when(F.col("k").isNull(), F.array("node")).otherwise(F.concat("k_seg", F.array("node"))).alias("path")] if paths else []
+    known = inner.select(F.col("node").alias("k"), F.col("below").alias("k_root"), F.col("dist").alias("k_depth"), *([F.col("seg").alias("k_seg")] if paths else []))
+    joined = edges.join(F.broadcast(known) if small and not paths else known, F.col("top") == F.col("k"), "left")
+    return joined.select(
+        F.col("node").alias("node_id"),
+        F.when(F.col("k").isNull(), F.col("node")).otherwise(F.col("k_root")).alias("root_id"),
+        F.when(F.col("k").isNull(), 0).when(F.col("k_depth") < 0, -1).otherwise(F.col("k_depth") + 1).cast("bigint").alias("depth"),
+        *path,
     )
-    # a node is its own pointer's owner: once done, seg is the whole path and top is null
-    schema = "node string, top string, seg array<string>, done boolean"
-    state = stage.write(state.to(_ddl(spark, schema)), "r0", by=["done"])
-    parts, n = [state.where("done")], 0
-    open_rows = state.where("not done")
-    n_open = open_rows.count()
+
+
+def _doubled(stage: Stage, edges: DataFrame, few: int, paths: bool) -> tuple[DataFrame, bool]:
+    """(node, below, dist[, seg]) of the nodes of ``edges`` (node, top), and whether they are few: below is the root and dist the depth, '' and -1 where there is none.
+
+    While a row is open, top is the ancestor at distance dist and below the node just under it.
+    """
+    kept = ["node", "top", "below", "dist", *(["seg"] if paths else []), "done"]
+    start = {"below": F.col("node"), "dist": F.lit(1).cast("bigint"), "done": F.lit(False)} | ({"seg": F.array("node")} if paths else {})
+    state = stage.write(edges.withColumns(start).select(*kept), "r0")
+    parts: list[DataFrame] = []
+    known, open_rows = state, state
+    left = n_open = n_known = state.count()
+    small = n_open <= few
+    n = 0
     while n_open:
-        known = open_rows
-        for p in parts:
-            known = known.unionByName(p)
-        known = known.select(F.col("node").alias("k"), F.col("top").alias("k_top"), F.col("seg").alias("k_seg"), F.col("done").alias("k_done"))
-        if n_open <= few:
-            tops = F.broadcast(open_rows.select(F.col("top").alias("k")).distinct())
-            known = known.join(tops, "k", "left_semi")
-        joined = open_rows.drop("done").join(known, F.col("top") == F.col("k"), "left")
-        found = F.col("k").isNotNull()
+        k = known.select([F.col(c).alias(f"k_{c}") for c in kept])
+        joined = open_rows.drop("done").join(F.broadcast(k) if n_known <= few and not paths else k, F.col("top") == F.col("k_node"), "left")
+        found, ended = F.col("k_node").isNotNull(), F.col("k_node").isNull() | F.col("k_done")
         step = joined.select(
             "node",
-            F.when(found & ~F.col("k_done"), F.col("k_top")).alias("top"),
-            F.when(found, F.concat("k_seg", "seg")).otherwise(F.col("seg")).alias("seg"),
-            (~found | F.col("k_done")).alias("done"),
+            F.when(~ended, F.col("k_top")).alias("top"),
+            F.when(found, F.col("k_below")).otherwise(F.col("below")).alias("below"),
+            F.when(found, F.col("dist") + F.col("k_dist")).otherwise(F.col("dist") - 1).alias("dist"),
+            *([F.when(found, F.concat("k_seg", "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
+            ended.alias("done"),
         )
         n += 1
-        state = stage.write(step.to(_ddl(spark, schema)), f"r{n}", by=["done"])
+        state = stage.write(step, f"r{n}", by=["done"])
         parts.append(state.where("done"))
         open_rows = state.where("not done")
         left = open_rows.count()
-        if left == n_open:
+        if left in (0, n_open):
             break
         n_open = left
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.select(F.col("node").alias("node_id"), F.element_at("seg", 1).alias("root_id"), (F.size("seg").cast("bigint") - 1).alias("depth"), F.col("seg").alias("path"))
-    endless = open_rows.select(F.col("node").alias("node_id"), F.lit("").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("array<string>").alias("path"))
-    return out.unionByName(endless)
-
-
-def _ddl(spark, ddl: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
+        # what is pointed to now was pointed to before: it is in this state or was resolved in the table looked up
+        tops = open_rows.select(F.col("top").alias("node")).distinct()
+        known = state.unionByName(known.where("done")).join(F.broadcast(tops) if left <= few else tops, "node", "left_semi")
+        if left > few:
+            known = stage.write(known, f"known{n}")
+            n_known = known.count()
+        else:
+            n_known = min(n_known, left)
+    done = [p.select("node", "below", "dist", *(["seg"] if paths else [])) for p in parts]
+    if left:
+        done.append(open_rows.select("node", F.lit("").alias("below"), F.lit(-1).cast("bigint").alias("dist"), *([F.lit(None).cast("array<string>").alias("seg")] if paths else [])))
+    return reduce(DataFrame.unionByName, done) if done else state.select(*[c for c in kept if c not in ("top", "done")]), small
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

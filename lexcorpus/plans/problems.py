@@ -11,12 +11,12 @@ from lexcorpus.operators.references import Reference, Target, orphan_counts, orp
 from lexcorpus.tables import table
 
 
-def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(table(spark, d, "legal_nodes"), newest=["updated_at"])
+def _hierarchy(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(table(spark, d, "legal_nodes"), newest=["updated_at"], paths=paths)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).select("node_id", "root_id", "depth")
+    return _hierarchy(spark, d, paths=False).select("node_id", "root_id", "depth")
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_endless(spark: SparkSession, d: str) -> DataFrame:
-    return _hierarchy(spark, d).where("depth < 0").select("node_id")
+    return _hierarchy(spark, d, paths=False).where("depth < 0").select("node_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
