@@ -12,8 +12,9 @@ on a circle or below one.
 
 Scale: what open rows point to after a round they or others pointed to before it, so the table that is
 looked up is cut down to those rows each round, and resolved rows nothing points to are never read
-again. Open rows and that table are shuffled; once the table has at most ``few`` rows (counted) it is
-broadcast, but for paths, whose size isn't bounded by the number of rows.
+again. Open rows and that table are shuffled. Once at most ``few`` rows are open (counted), what they point
+to is settled by itself, with broadcasts of that table, but for paths, whose size isn't bounded by the
+number of rows.
 
 Defined cases: a null or unknown parent makes a root of depth 0; a row that is its own parent
 is a circle; repeated rows of an id are one node (the one with the greatest ``newest`` columns,
@@ -53,51 +54,67 @@ def hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id
     )
 
 
+def _kept(paths: bool) -> list[str]:
+    return ["node", "top", "below", "dist", *(["seg"] if paths else []), "done"]
+
+
+def _jump(rows: DataFrame, known: DataFrame, broadcast: bool) -> DataFrame:
+    """``rows`` after they took over the pointer of the row they point to; resolved rows stay as they are."""
+    paths = "seg" in rows.columns
+    k = known.select([F.col(c).alias(f"k_{c}") for c in _kept(paths)])
+    found = F.col("k_node").isNotNull()
+    ended = F.col("done") | ~found | F.col("k_done")
+    return rows.join(F.broadcast(k) if broadcast else k, F.col("top") == F.col("k_node"), "left").select(
+        "node",
+        F.when(~ended, F.col("k_top")).alias("top"),
+        F.when(found, F.col("k_below")).otherwise(F.col("below")).alias("below"),
+        F.when(found, F.col("dist") + F.col("k_dist")).when(F.col("done"), F.col("dist")).otherwise(F.col("dist") - 1).alias("dist"),
+        *([F.when(found, F.concat("k_seg", "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
+        ended.alias("done"),
+    )
+
+
 def _doubled(stage: Stage, edges: DataFrame, few: int, paths: bool) -> tuple[DataFrame, bool]:
     """(node, below, dist[, seg]) of the nodes of ``edges`` (node, top), and whether they are few: below is the root and dist the depth, '' and -1 where there is none.
 
     While a row is open, top is the ancestor at distance dist and below the node just under it.
     """
-    kept = ["node", "top", "below", "dist", *(["seg"] if paths else []), "done"]
     start = {"below": F.col("node"), "dist": F.lit(1).cast("bigint"), "done": F.lit(False)} | ({"seg": F.array("node")} if paths else {})
-    state = stage.write(edges.withColumns(start).select(*kept), "r0")
-    parts: list[DataFrame] = []
-    known, open_rows = state, state
-    left = n_open = n_known = state.count()
-    small = n_open <= few
-    n = 0
-    while n_open:
-        k = known.select([F.col(c).alias(f"k_{c}") for c in kept])
-        joined = open_rows.drop("done").join(F.broadcast(k) if n_known <= few and not paths else k, F.col("top") == F.col("k_node"), "left")
-        found, ended = F.col("k_node").isNotNull(), F.col("k_node").isNull() | F.col("k_done")
-        step = joined.select(
-            "node",
-            F.when(~ended, F.col("k_top")).alias("top"),
-            F.when(found, F.col("k_below")).otherwise(F.col("below")).alias("below"),
-            F.when(found, F.col("dist") + F.col("k_dist")).otherwise(F.col("dist") - 1).alias("dist"),
-            *([F.when(found, F.concat("k_seg", "seg")).otherwise(F.col("seg")).alias("seg")] if paths else []),
-            ended.alias("done"),
-        )
+    known = open_rows = stage.write(edges.withColumns(start).select(*_kept(paths)), "r0")
+    left = known.count()
+    if small := left <= few:
+        parts = [_settled(stage, known, paths)]
+    else:
+        parts, n, before = [], 0, -1
+        while left > few and left != before:
+            n += 1
+            before = left
+            state = stage.write(_jump(open_rows, known, False), f"r{n}", by=["done"])
+            parts.append(state.where("done"))
+            open_rows = state.where("not done")
+            left = open_rows.count()
+            # what is pointed to now was pointed to before: it is in this state or was resolved in the table looked up
+            tops = open_rows.select(F.col("top").alias("node")).distinct()
+            known = stage.write(state.unionByName(known.where("done")).join(tops, "node", "left_semi"), f"known{n}")
+        if left and left != before:  # few are left: what they point to is settled first
+            open_rows = _jump(open_rows, _settled(stage, known, paths), not paths)
+        parts.append(open_rows)
+    never = lambda c, value: F.when(F.col("done"), F.col(c)).otherwise(value).alias(c)
+    out = reduce(DataFrame.unionByName, [p.select(*_kept(paths)) for p in parts])
+    return out.select("node", never("below", F.lit("")), never("dist", F.lit(-1)), *([never("seg", F.lit(None))] if paths else [])), small
+
+
+def _settled(stage: Stage, state: DataFrame, paths: bool) -> DataFrame:
+    """``state`` of few rows that point to each other, doubled twice a round until a round resolves nothing."""
+    left, before, n = state.where("not done").count(), -1, 0
+    while left and left != before:
         n += 1
-        state = stage.write(step, f"r{n}", by=["done"])
-        parts.append(state.where("done"))
-        open_rows = state.where("not done")
-        left = open_rows.count()
-        if left in (0, n_open):
-            break
-        n_open = left
-        # what is pointed to now was pointed to before: it is in this state or was resolved in the table looked up
-        tops = open_rows.select(F.col("top").alias("node")).distinct()
-        known = state.unionByName(known.where("done")).join(F.broadcast(tops) if left <= few else tops, "node", "left_semi")
-        if left > few:
-            known = stage.write(known, f"known{n}")
-            n_known = known.count()
-        else:
-            n_known = min(n_known, left)
-    done = [p.select("node", "below", "dist", *(["seg"] if paths else [])) for p in parts]
-    if left:
-        done.append(open_rows.select("node", F.lit("").alias("below"), F.lit(-1).cast("bigint").alias("dist"), *([F.lit(None).cast("array<string>").alias("seg")] if paths else [])))
-    return reduce(DataFrame.unionByName, done) if done else state.select(*[c for c in kept if c not in ("top", "done")]), small
+        before, known = left, state
+        for _ in range(3):  # three jumps over pointers of one length: four times that length
+            state = _jump(state, known, not paths)
+        state = stage.write(state, f"s{n}")
+        left = state.where("not done").count()
+    return state
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

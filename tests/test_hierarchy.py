@@ -48,9 +48,11 @@ def test_deep_chain_and_random_forests(spark):
     chain = {f"n{i:03}": f"n{i - 1:03}" if i else None for i in range(150)}
     assert run(spark, [(n, p, 1) for n, p in chain.items()]) == brute(chain)
     rng = random.Random(3)
-    for few in (0, 10**6):
+    for few in (0, 12, 10**6):
         parents = {f"n{i}": rng.choice([None, "gone", *(f"n{j}" for j in range(60))]) if rng.random() < 0.3 else f"n{max(0, i - rng.randint(1, 3))}" for i in range(60)}
         assert run(spark, [(n, p, 1) for n, p in parents.items()], few=few) == brute(parents)
+        df = spark.createDataFrame(list(parents.items()), "id string, parent_id string")
+        assert {tuple(r) for r in hierarchy(df, few=few, paths=False).collect()} == {(n, r, d) for n, (r, d, _) in brute(parents).items()}
 
 
 def test_descendants_and_subtree(spark):
