@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lexcorpus.operators import retrieval, search
 from lexcorpus.operators.audit import nodes_once
-from lexcorpus.operators.versions import PUBLIC_EVER, PUBLIC_NOW, covers
+from lexcorpus.operators.versions import covers
+from lexcorpus.tables import records
 
 MAX_CITATIONS, MAX_QUESTION, MAX_AUTHORITIES = 50, 8000, 100
 
@@ -26,13 +27,13 @@ class Corpus:
 
 @dataclass(frozen=True)
 class Request:
-    """What is looked for; the first field given, in this order, decides."""
+    """What is looked for; the first field given, in this order, decides. A citation is a phrase, or a phrase and a node id."""
 
     node_id: str | None = None
     document_id: str | None = None
     citation_key: str | None = None
     locator: str | None = None
-    citations: tuple[str, ...] = ()
+    citations: tuple[str | tuple[str, str | None], ...] = ()
     question: str | None = None
     as_of: str | None = None
 
@@ -51,41 +52,43 @@ def clamp_limit(limit: int, needed: int, cap: int) -> int:
 def verify(corpus: Corpus, candidates: DataFrame, as_of: str | None = None) -> DataFrame:
     """(candidate_id, verdict, document_version_id, legal_node_id, reasons) for every candidate."""
     public = retrieval.public_citations(corpus.citations, corpus.nodes, corpus.versions, as_of)
-    out = retrieval.verify(candidates, public)
-    reasons = F.array_compact(F.array(F.lower("verdict"), F.when((F.col("verdict") == "UNRESOLVED") & F.lit(as_of is not None), "as_of_unavailable")))
-    return out.withColumn("reasons", reasons)
+    return retrieval.verify(candidates, public, corpus.documents).withColumn("reasons", retrieval.reasons(F.col("verdict"), as_of is not None))
+
+
+def _cited(corpus: Corpus, asked: list[tuple], as_of: str | None) -> DataFrame:
+    """Authorities that (candidate_id, query, node_id, locator, citation_key) name, with the titles of their documents."""
+    candidates = corpus.nodes.sparkSession.createDataFrame(asked, "candidate_id int, query string, node_id string, locator string, citation_key string")
+    public = retrieval.public_citations(corpus.citations, corpus.nodes, corpus.versions, as_of)
+    titles = records(corpus.documents, "id", ["title"], ["updated_at"]).select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    found = retrieval.retrieve_batch(candidates, public, corpus.documents).join(titles, "document_id", "left")
+    return found.select("candidate_id", F.col("legal_node_id").alias("node_id"), "document_id", "document_version_id", "title", "excerpt", "locator", "document_title")
 
 
 def retrieve(corpus: Corpus, request: Request) -> tuple[DataFrame, str]:
     """(authorities, status): ``ok``, or ``AS_OF_UNAVAILABLE`` if nothing is known to have been in force then."""
-    spark = corpus.nodes.sparkSession
     found = retrieval.authorities(corpus.nodes, corpus.versions, corpus.documents)
     at = request.as_of
     if request.node_id:
         rows = found.where(F.col("node_id") == request.node_id)  # whatever its version's status
     else:
-        ok = corpus.versions.where(F.col("status").isin(PUBLIC_EVER if at else PUBLIC_NOW)).select(F.col("id").alias("document_version_id")).distinct()
-        public = found.join(ok, "document_version_id", "left_semi")
         if request.document_id:
             from lexcorpus.operators.versions import as_of, current
 
             v = as_of(corpus.versions, at) if at else current(corpus.versions)
             rows = found.join(v.where(F.col("document_id") == request.document_id).select(F.col("id").alias("document_version_id")), "document_version_id", "left_semi")
         elif request.citation_key or request.locator:
-            col, value = ("citation_key", request.citation_key) if request.citation_key else ("locator", request.locator)
-            ids = corpus.citations.where(F.col(col) == value).select(F.col("legal_node_id").alias("node_id")).distinct()
-            rows = public.join(ids, "node_id", "left_semi")
+            rows = _cited(corpus, [(0, request.citation_key or request.locator, None, request.locator, request.citation_key)], at)
         elif request.citations:
-            keys = spark.createDataFrame([(c,) for c in request.citations], "citation_key string")
-            ids = keys.join(corpus.citations.select("citation_key", F.col("legal_node_id").alias("node_id")).distinct(), "citation_key")
-            rows = public.join(ids.select("node_id"), "node_id")
+            rows = _cited(corpus, [(i, *(c if isinstance(c, tuple) else (c, None)), None, None) for i, c in enumerate(request.citations)], at)
         elif request.question and request.question.strip():
             best = search.open_question(nodes_once(corpus.nodes), corpus.versions, request.question, at)
-            rows = found.join(best.select(F.col("id").alias("node_id"), "score"), "node_id").orderBy(F.desc("score"), "node_id").drop("score")
+            rows = found.join(best.select(F.col("id").alias("node_id"), "score"), "node_id")
         else:
             rows = found.limit(0)
     if at and not request.node_id:
         rows = rows.join(corpus.versions.where(covers(at)).select(F.col("id").alias("document_version_id")).distinct(), "document_version_id", "left_semi")
-    rows = rows.limit(MAX_AUTHORITIES)
+    # the best first where there is a score, else by version and place
+    order = [c for c in ("candidate_id",) if c in rows.columns] + (["score"] if "score" in rows.columns else ["document_version_id", "locator"])
+    rows = rows.orderBy(*[F.desc(c) if c == "score" else c for c in order], "node_id").drop("score", "candidate_id").limit(MAX_AUTHORITIES)
     status = "AS_OF_UNAVAILABLE" if at and rows.isEmpty() else "ok"
     return rows, status

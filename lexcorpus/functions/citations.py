@@ -15,6 +15,8 @@ from lexcorpus.tables import BLANKS
 
 #: "N[.M] [ordinal suffix] article" (fixed value).
 PHRASE = r"(?iu)([0-9]+)\s*(?:\.\s*([0-9]+))?\s*(?:дүгээр|дугаар|дэх)?\s*зүйл"
+#: The act a phrase names: what stands before the word "of the law" (fixed value).
+HINT = r"(?iu)^(.+?)\s+хуулийн(?:[^\p{L}\p{N}_]|$)"
 #: N.M between characters that are no ASCII word characters (fixed value).
 DOTTED = r"(?<![A-Za-z0-9_])([0-9]+)\.([0-9]+)(?![A-Za-z0-9_])"
 
@@ -25,7 +27,7 @@ def collapsed(col: Column) -> Column:
 
 
 def parse_phrase(query: Column) -> Column:
-    """struct<article, paragraph, locator> of a citation phrase; all null where there is none."""
+    """struct<article, paragraph, locator, title_hint> of a citation phrase; null what it doesn't hold."""
     once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  names a value, so that it is computed once
     number = lambda m, pattern, k: F.nullif(F.regexp_extract(m, pattern, k), F.lit(""))
 
@@ -34,7 +36,8 @@ def parse_phrase(query: Column) -> Column:
         dotted = once(F.regexp_extract(q, DOTTED, 0), lambda m: F.struct(number(m, DOTTED, 1).alias("article"), number(m, DOTTED, 2).alias("paragraph")))
         both = once(F.struct(phrase.alias("p"), dotted.alias("d")), lambda x: F.struct(*[F.coalesce(x["p"][c], x["d"][c]).alias(c) for c in ("article", "paragraph")]))
         place = lambda x: F.when(x["article"].isNotNull(), F.concat(F.lit("art-"), x["article"], F.coalesce(F.concat(F.lit("/p-"), x["paragraph"]), F.lit(""))))
-        return once(both, lambda x: F.struct(x["article"].alias("article"), x["paragraph"].alias("paragraph"), place(x).alias("locator")))
+        hint = F.nullif(F.regexp_extract(q, HINT, 1), F.lit(""))
+        return once(both, lambda x: F.struct(x["article"].alias("article"), x["paragraph"].alias("paragraph"), place(x).alias("locator"), hint.alias("title_hint")))
 
     return once(collapsed(query), parts)
 

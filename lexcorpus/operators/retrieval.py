@@ -1,19 +1,20 @@
 """Authorities, citation index and batch verification.
 
-Verification of a batch is a set of equi-joins, one per way to name a provision, instead of one
-disjunctive join. The corpus side of each is aggregated to the least and greatest (version, node)
-of a key first: that is all the verdict needs, and it keeps a key that names very many provisions
-from multiplying the batch.
+A candidate may name a provision in several ways: by citation key, locator, node or article number. All
+ways are brought into one long form (way, key) on both sides, so a batch is one equi-join instead of a
+disjunctive one. Where a candidate names an act as well, by id or by words of its title, the document
+joins the key; words are resolved to documents once per batch, through the rarest run of three
+characters. For a verdict the corpus side is aggregated to the least and greatest (version, node) of a
+key first: that is all the verdict needs, and it keeps a key that names very many provisions from
+multiplying the batch.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexcorpus.functions.citations import citation_key, collapsed, parse_phrase
+from lexcorpus.functions.citations import citation_key, parse_phrase
 from lexcorpus.functions.urls import law_id
 from lexcorpus.operators.audit import nodes_once
 from lexcorpus.operators.versions import PUBLIC_EVER, PUBLIC_NOW, covers
@@ -67,42 +68,112 @@ def missing_citations(nodes: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def public_citations(citations: DataFrame, nodes: DataFrame, versions: DataFrame, instant: str | None = None) -> DataFrame:
-    """Citations of public versions with the place of their node."""
+    """Citations of public versions with the place of their node, whatever the status of the citation."""
     v = versions.where(F.col("status").isin(PUBLIC_EVER if instant else PUBLIC_NOW) & (covers(instant) if instant else F.lit(True)))
     v = v.select(F.col("id").alias("document_version_id"), "document_id").distinct()
-    n = nodes_once(nodes, ["article", "title"]).select(F.col("id").alias("legal_node_id"), "article", F.col("title").alias("node_title"))
-    c = citations.where("status = 'VALID'").select("citation_key", "locator", "legal_node_id", "document_version_id", "exact_text").distinct()
+    n = nodes_once(nodes, ["node_type", "article", "paragraph", "title"]).select(F.col("id").alias("legal_node_id"), "node_type", "article", "paragraph", F.col("title").alias("node_title"))
+    c = citations.select("citation_key", "locator", "legal_node_id", "document_version_id", "exact_text").distinct()
     return c.join(v, "document_version_id").join(n, "legal_node_id")
 
 
-def of_title(public: DataFrame, documents: DataFrame, title: str) -> DataFrame:
-    """Those of ``public`` whose document's title contains ``title``, in any case."""
-    d = documents.where(F.contains(F.lower("title"), F.lit(title.lower()))).select(F.col("id").alias("document_id")).distinct()
-    return public.join(d, "document_id", "left_semi")
+def titled(hints: DataFrame, documents: DataFrame) -> DataFrame:
+    """(hint, document_id): documents whose title contains each of ``hints`` (hint), in any case."""
+    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k)))))
+    d = records(documents, "id", ["title"], ["updated_at"]).select(F.col("id").alias("document_id"), F.lower("title").alias("low")).where("low is not null")
+    of_title = d.select("document_id", "low", F.explode(grams(F.col("low"))).alias("gram"))
+    h = hints.select("hint").where("hint <> ''").distinct().withColumn("part", F.lower("hint"))
+    longest = F.filter(grams(F.col("part")), lambda g: F.length(g) == F.least(F.length("part"), F.lit(3)))
+    often = of_title.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    # a run that no title has makes the hint fit none
+    rarest = h.select("hint", "part", F.explode(longest).alias("gram")).join(often, "gram", "left").groupBy("hint", "part").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("r"))
+    rarest = rarest.where("r.often > 0").select("hint", "part", "r.gram")
+    return rarest.join(of_title, "gram").where("contains(low, part)").select("hint", "document_id")
+
+
+_PAIR = "\u0001"
+
+
+def _asked(candidates: DataFrame) -> DataFrame:
+    """(candidate_id, way, key, document_id, hint): every way in which a candidate names a provision."""
+    have = lambda c: F.col(c) if c in candidates.columns else F.lit(None).cast("string").alias(c)
+    rows = candidates.select("candidate_id", "query", "node_id", "locator", have("document_id"), have("citation_key"), F.explode(F.array(parse_phrase(F.col("query")))).alias("p"))
+    way = lambda name, key: F.struct(F.lit(name).alias("way"), key.alias("key"))
+    # a locator of its own goes before that of the phrase
+    ways = [way("key", F.col("query")), way("locator", F.col("query")), way("node", F.col("node_id")), way("locator", F.coalesce("locator", "p.locator")), way("key", F.col("citation_key")), way("place", F.concat_ws(_PAIR, "p.article", "p.paragraph"))]
+    return rows.select("candidate_id", F.col("p.title_hint").alias("hint"), "document_id", F.inline(F.array(*ways))).where("key <> ''").distinct()
 
 
-def verify(candidates: DataFrame, public: DataFrame) -> DataFrame:
+def _named(public: DataFrame) -> DataFrame:
+    """(way, key, document_id, document_version_id, legal_node_id): the names of every public provision."""
+    way = lambda name, key: F.struct(F.lit(name).alias("way"), key.alias("key"))
+    place = F.when(F.col("node_type") == "ARTICLE", F.col("article")).when((F.col("node_type") == "PARAGRAPH") & F.col("paragraph").isNotNull(), F.concat(F.col("article"), F.lit(_PAIR), F.col("paragraph")))
+    ways = [way("key", F.col("citation_key")), way("locator", F.col("locator")), way("node", F.col("legal_node_id")), way("place", place)]
+    return public.select("document_id", "document_version_id", "legal_node_id", F.inline(F.array(*ways))).where("key is not null")
+
+
+def _within(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """(way, key, document_id, hint, in_document): the documents that each way to ask is restricted to."""
+    keys = asked.where("document_id is not null or hint is not null").select("way", "key", "document_id", "hint").distinct()
+    by_title = keys.where("hint is not null").join(titled(keys.where("hint is not null"), documents).withColumnRenamed("document_id", "in_document"), "hint").where("document_id is null or document_id = in_document")
+    return keys.where("hint is null").withColumn("in_document", F.col("document_id")).unionByName(by_title)
+
+
+def _met(asked: DataFrame, documents: DataFrame, named: DataFrame, ends: bool) -> DataFrame:
+    """Candidates with the provisions they name, or only the ``ends`` lo and hi of them."""
+    place = F.struct("document_version_id", "legal_node_id")
+    limits = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    least = lambda keys: named.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    free = asked.where("document_id is null and hint is null").select("candidate_id", "way", "key")
+    bound = asked.where("document_id is not null or hint is not null")
+    there = (least(["way", "key", "document_id"]) if ends else named).withColumnRenamed("document_id", "in_document")
+    inside = _within(asked, documents).join(there, ["way", "key", "in_document"])
+    if ends:
+        inside = inside.groupBy("way", "key", "document_id", "hint").agg(*limits)
+    got = ["lo", "hi"] if ends else ["document_version_id", "legal_node_id"]
+    r = inside.select(*[F.col(c).alias(f"r_{c}") for c in ("way", "key", "document_id", "hint")], *got)
+    same = (F.col("way") == F.col("r_way")) & (F.col("key") == F.col("r_key")) & F.col("document_id").eqNullSafe(F.col("r_document_id")) & F.col("hint").eqNullSafe(F.col("r_hint"))
+    return free.join(least(["way", "key"]) if ends else named, ["way", "key"]).select("candidate_id", *got).unionByName(bound.join(r, same).select("candidate_id", *got))
+
+
+def verify(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
     """(candidate_id, verdict, document_version_id, legal_node_id): VALID if exactly one provision fits, CONFLICT if several, UNRESOLVED if none.
 
-    ``candidates``: candidate_id, query, node_id, locator (any may be null). Every row gets a verdict.
+    ``candidates``: candidate_id, query, node_id, locator and, if need be, document_id, citation_key (any
+    may be null). A provision fits if it bears the query as its key or locator, the node, the locator (its
+    own, else the phrase's), the key, or the article (and paragraph) number of the phrase; its document
+    must be the one given, and its title contain what the phrase says before the law. Every row gets a verdict.
     """
-    parsed = candidates.select("candidate_id", collapsed(F.col("query")).alias("query"), "node_id", "locator", parse_phrase(F.col("query"))["locator"].alias("parsed"))
-    place = F.struct("document_version_id", "legal_node_id")
-    ways = [("query", "citation_key"), ("query", "locator"), ("locator", "locator"), ("parsed", "locator"), ("node_id", "legal_node_id")]
-    hits = []
-    for mine, theirs in ways:
-        ends = public.groupBy(F.col(theirs).alias("key")).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-        hits.append(parsed.where(f"{mine} is not null and {mine} <> ''").select("candidate_id", F.col(mine).alias("key")).join(ends, "key").select("candidate_id", "lo", "hi"))
-    found = reduce(DataFrame.unionByName, hits).groupBy("candidate_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = _met(_asked(candidates), documents, _named(public), True).groupBy("candidate_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     verdict = F.when(F.col("lo").isNull(), "UNRESOLVED").when(F.col("lo") == F.col("hi"), "VALID").otherwise("CONFLICT")
     sure = lambda c: F.when(F.col("verdict") == "VALID", F.col(f"lo.{c}")).alias(c)
     return candidates.select("candidate_id").join(found, "candidate_id", "left").withColumn("verdict", verdict).select("candidate_id", "verdict", sure("document_version_id"), sure("legal_node_id"))
 
 
-def retrieve_batch(keys: DataFrame, public: DataFrame) -> DataFrame:
-    """(request, citation_key, title, excerpt): all matches of every requested key, as a bag: a provision asked for twice comes twice."""
-    title = F.coalesce("node_title", "locator")
-    return keys.join(public.select("citation_key", title.alias("title"), F.substring("exact_text", 1, EXCERPT).alias("excerpt"), "document_version_id", "legal_node_id").distinct(), "citation_key").select("request", "citation_key", "title", "excerpt", "legal_node_id")
+#: Reasons of a verdict (fixed values).
+REASONS = {"UNRESOLVED": "citation_unresolved", "CONFLICT": "citation_conflict", "VALID": "citation_unique"}
+
+
+def reasons(verdict: Column, as_of: bool) -> Column:
+    """array<string>: why a verdict is what it is."""
+    said = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    return F.array_compact(F.array(F.element_at(said, verdict), F.when((verdict == "UNRESOLVED") & F.lit(as_of), "as_of_unavailable")))
+
+
+def find(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
+    """(candidate_id, document_version_id, legal_node_id): every provision that fits a candidate of :func:`verify`, once."""
+    return _met(_asked(candidates), documents, _named(public), False).distinct()
+
+
+def retrieve_batch(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
+    """(candidate_id, document_id, document_version_id, legal_node_id, locator, title, excerpt): all matches of every candidate, as a bag: a provision asked for twice comes twice.
+
+    Of several citations of one provision the one with the least key counts.
+    """
+    pick = F.min(F.struct("citation_key", "locator", "node_title", "exact_text", "document_id")).alias("c")
+    once = public.groupBy("document_version_id", "legal_node_id").agg(pick)
+    return find(candidates, public, documents).join(once, ["document_version_id", "legal_node_id"]).select(
+        "candidate_id", "c.document_id", "document_version_id", "legal_node_id", "c.locator", F.coalesce("c.node_title", "c.locator").alias("title"), F.substring("c.exact_text", 1, EXCERPT).alias("excerpt")
+    )
 
 
 def amendments(versions: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ QUERIES = {
     )
 }
 
-_N = "n AS (SELECT id, unnest(arg_max(struct_pack(document_version_id, parent_id, node_type, chapter, article, title, text, source_locator, content_hash), updated_at)) FROM legal_nodes WHERE id IS NOT NULL GROUP BY id)"
+_N = "n AS (SELECT id, unnest(arg_max(struct_pack(document_version_id, parent_id, node_type, chapter, article, paragraph, title, text, source_locator, content_hash), updated_at)) FROM legal_nodes WHERE id IS NOT NULL GROUP BY id)"
 _BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _PAIRS = ", ".join(f"('{c}', '{p}')" for c, ps in audit.ALLOWED_PARENTS.items() for p in ps)
 _REPORT = f"""{_N},

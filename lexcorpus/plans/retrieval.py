@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcorpus.functions import citations as C
@@ -10,7 +10,7 @@ from lexcorpus.operators import retrieval as R
 from lexcorpus.operators import search as S
 from lexcorpus.operators.audit import nodes_once
 from lexcorpus.plans.corpus import _BLANK, _N
-from lexcorpus.tables import table
+from lexcorpus.tables import records, table
 
 QUESTION = "хариуцлага хүлээлгэх журам"
 TERMS = "хууль хяналт гэрээ"
@@ -41,27 +41,53 @@ def _public(s: SparkSession, d: str, instant: str | None = None) -> DataFrame:
     return R.public_citations(*_t(s, d, "citation_entries", "legal_nodes", "legal_document_versions"), instant)
 
 
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _verified(s: SparkSession, d: str, asked: DataFrame, instant: str | None = None) -> DataFrame:
+    out = R.verify(asked, _public(s, d, instant), table(s, d, "legal_documents"))
+    return out.withColumn("reasons", F.concat_ws(",", R.reasons(F.col("verdict"), instant is not None)))
+
+
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "citation_entries").select(F.col("id").alias("candidate_id"), F.col("citation_key").alias("query")).distinct().select("candidate_id", "query", F.lit(None).cast("string").alias("node_id"), F.lit(None).cast("string").alias("locator"))
+    return table(s, d, "citation_entries").select(F.col("id").alias("candidate_id"), F.col("citation_key").alias("query")).distinct().select("candidate_id", "query", _none().alias("node_id"), _none().alias("locator"))
 
 
 def verify_batch(s: SparkSession, d: str) -> DataFrame:
-    return R.verify(_asked(s, d), _public(s, d))
+    return _verified(s, d, _asked(s, d))
 
 
 def verify_batch_asof(s: SparkSession, d: str) -> DataFrame:
-    return R.verify(_asked(s, d), _public(s, d, "2015-06-01"))
+    return _verified(s, d, _asked(s, d), "2015-06-01")
+
+
+def _phrases(s: SparkSession, d: str) -> DataFrame:
+    """Every article as a phrase names it: (candidate_id, query, document_id, article, source_locator)."""
+    n = nodes_once(table(s, d, "legal_nodes"), ["document_version_id", "article", "source_locator"]).where("article is not null")
+    v = table(s, d, "legal_document_versions").select(F.col("id").alias("document_version_id"), "document_id").distinct()
+    t = records(table(s, d, "legal_documents"), "id", ["title"], ["updated_at"]).select(F.col("id").alias("document_id"), "title")
+    said = F.concat(F.coalesce("title", F.lit("")), F.lit(" хуулийн "), "article", F.lit(" дүгээр  зүйл"))
+    return n.join(v, "document_version_id").join(t, "document_id").select(F.col("id").alias("candidate_id"), said.alias("query"), "document_id", "article", "source_locator")
 
 
 def verify_phrases(s: SparkSession, d: str) -> DataFrame:
-    n = nodes_once(table(s, d, "legal_nodes")).where("article is not null")
-    asked = n.select(F.col("id").alias("candidate_id"), F.concat(F.coalesce("title", F.lit("")), F.lit(" хуулийн "), "article", F.lit(" дүгээр  зүйл")).alias("query"), F.col("id").alias("node_id"), F.lit(None).cast("string").alias("locator"))
-    return R.verify(asked, _public(s, d)).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    return _verified(s, d, _phrases(s, d).select("candidate_id", "query", _none().alias("node_id"), _none().alias("locator")))
+
+
+def verify_candidates(s: SparkSession, d: str) -> DataFrame:
+    p = _phrases(s, d)
+    short = F.concat("article", F.lit(" дүгээр зүйл"))
+    kinds = [
+        ("d", short, _none(), F.col("document_id"), _none()), ("l", F.col("query"), _none(), _none(), F.concat("source_locator", F.lit("/p-1"))), ("n", F.lit("?"), F.col("candidate_id"), _none(), _none()), ("x", F.col("query"), F.col("candidate_id"), F.lit("no document"), _none()),
+        ("p", F.concat("article", F.lit(".1")), _none(), F.col("document_id"), _none()),
+    ]
+    each = F.array(*[F.struct(F.concat(F.lit(k), "candidate_id").alias("candidate_id"), q.alias("query"), n.alias("node_id"), o.alias("document_id"), at.alias("locator")) for k, q, n, o, at in kinds])
+    return _verified(s, d, p.select(F.inline(each)))
 
 
 def retrieve_citations_batch(s: SparkSession, d: str) -> DataFrame:
-    asked = table(s, d, "citation_entries").select(F.col("id").alias("request"), "citation_key").distinct()
-    return R.retrieve_batch(asked, _public(s, d))
+    return R.retrieve_batch(_asked(s, d), _public(s, d), table(s, d, "legal_documents")).select("candidate_id", "document_version_id", "legal_node_id", "title", "excerpt")
 
 
 def relation_edges(s: SparkSession, d: str) -> DataFrame:
@@ -123,7 +149,7 @@ def fold_citation(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieve_authorities, citation_index, citation_backfill, missing_citations, verify_batch, verify_batch_asof, verify_phrases, retrieve_citations_batch, relation_edges, relation_scope, fts_candidates, fts_websearch, trigram_titles,
+        retrieve_authorities, citation_index, citation_backfill, missing_citations, verify_batch, verify_batch_asof, verify_phrases, verify_candidates, retrieve_citations_batch, relation_edges, relation_scope, fts_candidates, fts_websearch, trigram_titles,
         trigram_title_topk, token_overlap_score, open_question, open_question_asof, parse_citation, normalize_citation, fold_citation,
     )
 }
@@ -136,8 +162,9 @@ _INDEX = f"""SELECT n.document_version_id, n.id AS legal_node_id, coalesce(nulli
 
 
 def _pub(where: str) -> str:
-    return f"""pub AS (SELECT DISTINCT c.citation_key, c.locator, c.legal_node_id, c.document_version_id, c.exact_text, n.title FROM citation_entries c
-  JOIN (SELECT DISTINCT id FROM legal_document_versions WHERE {where}) v ON v.id = c.document_version_id JOIN n ON n.id = c.legal_node_id WHERE c.status = 'VALID')"""
+    return f"""t AS (SELECT id, arg_max(title, (updated_at, title)) AS title FROM legal_documents GROUP BY id),
+pub AS (SELECT DISTINCT c.citation_key, c.locator, c.legal_node_id, c.document_version_id, c.exact_text, n.title, n.node_type, n.article, n.paragraph, v.document_id, t.title AS act FROM citation_entries c
+  JOIN (SELECT DISTINCT id, document_id FROM legal_document_versions WHERE {where}) v ON v.id = c.document_version_id JOIN n ON n.id = c.legal_node_id LEFT JOIN t ON t.id = v.document_id)"""
 
 
 _NOW, _THEN = _pub("status = 'PUBLISHED'"), _pub("status IN ('PUBLISHED', 'SUPERSEDED') AND effective_from <= TIMESTAMP '2015-06-01' AND TIMESTAMP '2015-06-01' < effective_to")
@@ -153,26 +180,37 @@ _DOT = "\\b([0-9]+)\\.([0-9]+)\\b"
 
 def _parsed(q: str) -> str:
     x = lambda k: f"coalesce(nullif(regexp_extract({q}, '{_PH}', {k}), ''), nullif(regexp_extract({q}, '{_DOT}', {k}), ''))"
-    return f"{x(1)} AS article, {x(2)} AS paragraph"
+    return f"{x(1)} AS article, {x(2)} AS paragraph, nullif(regexp_extract({q}, '(?i)^(.+?)\\s+хуулийн(?:[^\\p{{L}}\\p{{N}}_]|$)', 1), '') AS title_hint"
 
 
 _LOC = "'art-' || article || coalesce('/p-' || paragraph, '')"
 
 
-def _verdicts(asked: str) -> str:
-    return f"""a AS ({asked}), q AS (SELECT candidate_id, {_spaced('query')} AS query, node_id FROM a), p AS (SELECT *, {_parsed('query')} FROM q),
-m AS (
-  SELECT candidate_id, document_version_id, legal_node_id FROM p JOIN pub ON pub.citation_key = p.query WHERE query <> ''
-  UNION SELECT candidate_id, document_version_id, legal_node_id FROM p JOIN pub ON pub.locator = p.query WHERE query <> ''
-  UNION SELECT candidate_id, document_version_id, legal_node_id FROM p JOIN pub ON pub.locator = {_LOC}
-  UNION SELECT candidate_id, document_version_id, legal_node_id FROM p JOIN pub ON pub.legal_node_id = p.node_id
+def _matches(asked: str) -> str:
+    """m: the provisions each candidate (candidate_id, query, node_id, document_id, locator) names."""
+    return f"""a AS ({asked}), q AS (SELECT *, {_spaced('query')} AS said FROM a), p AS (SELECT * EXCLUDE (locator), coalesce(locator, {_LOC}) AS locator FROM (SELECT *, {_parsed('said')} FROM q)),
+u AS (
+  SELECT candidate_id, p.document_id AS only_in, title_hint, pub.* FROM p JOIN pub ON pub.citation_key = p.query
+  UNION ALL SELECT candidate_id, p.document_id, title_hint, pub.* FROM p JOIN pub ON pub.locator = p.query
+  UNION ALL SELECT candidate_id, p.document_id, title_hint, pub.* FROM p JOIN pub ON pub.locator = p.locator
+  UNION ALL SELECT candidate_id, p.document_id, title_hint, pub.* FROM p JOIN pub ON pub.legal_node_id = p.node_id
+  UNION ALL SELECT candidate_id, p.document_id, title_hint, pub.* FROM p JOIN pub ON pub.article = p.article AND CASE WHEN p.paragraph IS NULL THEN pub.node_type = 'ARTICLE' ELSE pub.node_type = 'PARAGRAPH' AND pub.paragraph = p.paragraph END
 ),
+m AS (SELECT DISTINCT candidate_id, document_version_id, legal_node_id FROM u WHERE (only_in IS NULL OR only_in = document_id) AND (title_hint IS NULL OR contains(lower(act), lower(title_hint))))"""
+
+
+def _verdicts(asked: str, unavailable: str = "") -> str:
+    return f"""{_matches(asked)},
 g AS (SELECT a.candidate_id, count(document_version_id) AS k, min(document_version_id) AS dv, min(legal_node_id) AS nd FROM a LEFT JOIN m USING (candidate_id) GROUP BY 1),
-w AS (SELECT candidate_id, CASE k WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'VALID' ELSE 'CONFLICT' END AS verdict, CASE WHEN k = 1 THEN dv END AS document_version_id, CASE WHEN k = 1 THEN nd END AS legal_node_id FROM g)"""
+w AS (SELECT candidate_id, CASE k WHEN 0 THEN 'UNRESOLVED' WHEN 1 THEN 'VALID' ELSE 'CONFLICT' END AS verdict, CASE WHEN k = 1 THEN dv END AS document_version_id, CASE WHEN k = 1 THEN nd END AS legal_node_id,
+  CASE k WHEN 0 THEN 'citation_unresolved{unavailable}' WHEN 1 THEN 'citation_unique' ELSE 'citation_conflict' END AS reasons FROM g)"""
 
 
-_ASK = "SELECT DISTINCT id AS candidate_id, citation_key AS query, NULL :: VARCHAR AS node_id FROM citation_entries"
-_PHRASES = "SELECT id AS candidate_id, coalesce(title, '') || ' хуулийн ' || article || ' дүгээр  зүйл' AS query, id AS node_id FROM n WHERE article IS NOT NULL"
+_ASK = "SELECT DISTINCT id AS candidate_id, citation_key AS query, NULL :: VARCHAR AS node_id, NULL :: VARCHAR AS document_id, NULL :: VARCHAR AS locator FROM citation_entries"
+_ARTICLES = f"""SELECT n.id, coalesce(t.title, '') || ' хуулийн ' || article || ' дүгээр  зүйл' AS said, v.document_id, article, source_locator FROM n JOIN (SELECT DISTINCT id, document_id FROM legal_document_versions) v ON v.id = n.document_version_id JOIN t ON t.id = v.document_id WHERE article IS NOT NULL"""
+_PHRASES = f"SELECT id AS candidate_id, said AS query, NULL :: VARCHAR AS node_id, NULL :: VARCHAR AS document_id, NULL :: VARCHAR AS locator FROM ({_ARTICLES})"
+_CANDIDATES = f"""WITH r AS ({_ARTICLES}) SELECT 'd' || id AS candidate_id, article || ' дүгээр зүйл' AS query, NULL :: VARCHAR AS node_id, document_id, NULL :: VARCHAR AS locator FROM r
+  UNION ALL SELECT 'l' || id, said, NULL, NULL, source_locator || '/p-1' FROM r UNION ALL SELECT 'n' || id, '?', id, NULL, NULL FROM r UNION ALL SELECT 'x' || id, said, id, 'no document', NULL FROM r UNION ALL SELECT 'p' || id, article || '.1', NULL, document_id, NULL FROM r"""
 _WORDS = "regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 _EDGES = "SELECT DISTINCT amendment_document_id AS from_document, document_id AS to_document, 'AMENDS' AS relation FROM legal_document_versions WHERE amendment_document_id IS NOT NULL"
 
@@ -190,9 +228,10 @@ ORACLE = {
     "citation_backfill": f"WITH {_N}, a AS (SELECT document_version_id, count(*) AS n_nodes FROM n WHERE node_type <> 'DOCUMENT' GROUP BY 1), c AS (SELECT document_version_id, count(DISTINCT id) AS k FROM citation_entries GROUP BY 1) SELECT document_version_id, n_nodes, coalesce(k, 0) AS n_citations, n_nodes = coalesce(k, 0) AS complete FROM a LEFT JOIN c USING (document_version_id)",
     "missing_citations": f"WITH {_N} SELECT id, document_version_id FROM n WHERE node_type <> 'DOCUMENT' AND NOT EXISTS (SELECT 1 FROM citation_entries c WHERE c.legal_node_id = n.id AND c.document_version_id = n.document_version_id)",
     "verify_batch": f"WITH {_N}, {_NOW}, {_verdicts(_ASK)} SELECT * FROM w",
-    "verify_batch_asof": f"WITH {_N}, {_THEN}, {_verdicts(_ASK)} SELECT * FROM w",
-    "verify_phrases": f"WITH {_N}, {_NOW}, {_verdicts(_PHRASES)} SELECT verdict, count(*) AS n FROM w GROUP BY 1",
-    "retrieve_citations_batch": f"WITH {_N}, {_NOW}, r AS (SELECT DISTINCT id AS request, citation_key FROM citation_entries), p AS (SELECT DISTINCT citation_key, coalesce(title, locator) AS title, substring(exact_text, 1, 500) AS excerpt, document_version_id, legal_node_id FROM pub) SELECT request, citation_key, title, excerpt, legal_node_id FROM r JOIN p USING (citation_key)",
+    "verify_batch_asof": f"WITH {_N}, {_THEN}, {_verdicts(_ASK, ',as_of_unavailable')} SELECT * FROM w",
+    "verify_phrases": f"WITH {_N}, {_NOW}, {_verdicts(_PHRASES)} SELECT * FROM w",
+    "verify_candidates": f"WITH {_N}, {_NOW}, {_verdicts(_CANDIDATES)} SELECT * FROM w",
+    "retrieve_citations_batch": f"WITH {_N}, {_NOW}, {_matches(_ASK)}, o AS (SELECT document_version_id, legal_node_id, unnest(arg_min(struct_pack(locator, title, exact_text), (citation_key, locator, title, exact_text))) FROM pub GROUP BY 1, 2) SELECT candidate_id, document_version_id, legal_node_id, coalesce(title, locator) AS title, substring(exact_text, 1, 500) AS excerpt FROM m JOIN o USING (document_version_id, legal_node_id)",
     "relation_edges": _EDGES,
     "relation_scope": f"WITH e AS ({_EDGES}), r AS (SELECT id FROM legal_documents WHERE status = 'REPEALED') SELECT * FROM e WHERE from_document IN (SELECT id FROM r) OR to_document IN (SELECT id FROM r)",
     "fts_candidates": f"WITH {_N} SELECT id, document_version_id, source_locator FROM n WHERE list_has_all({_WORDS}, ['хууль', 'хяналт', 'гэрээ'])",
@@ -200,5 +239,5 @@ ORACLE = {
     "trigram_titles": f"WITH x AS (SELECT DISTINCT id, title FROM legal_documents), y AS (SELECT id, title, {_tri('title')} AS t, {_tri(repr(QUESTION))} AS q FROM x) SELECT id, title, {_SIM} AS sim FROM y WHERE {_SIM} > 0",
     "trigram_title_topk": f"WITH {_N}, y AS (SELECT id, title, {_tri('title')} AS t, {_tri(repr(QUESTION))} AS q FROM n WHERE title IS NOT NULL) SELECT id, title, {_SIM} AS sim FROM y WHERE {_SIM} >= 0.3 ORDER BY sim DESC, id LIMIT 20",
     "token_overlap_score": "WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT doc_id, " + " + ".join(f"contains(t, '{w}') :: INT" for w in [*QUESTION.split(), QUESTION]) + " AS score FROM x) SELECT * FROM y WHERE score > 0",
-    "parse_citation": f"WITH c AS (SELECT DISTINCT id, {_spaced('exact_text')} AS q FROM citation_entries), p AS (SELECT id, {_parsed('q')} FROM c) SELECT id, article, paragraph, {_LOC} AS locator FROM p WHERE article IS NOT NULL",
+    "parse_citation": f"WITH c AS (SELECT DISTINCT id, {_spaced('exact_text')} AS q FROM citation_entries), p AS (SELECT id, {_parsed('q')} FROM c) SELECT id, article, paragraph, {_LOC} AS locator, title_hint FROM p WHERE article IS NOT NULL",
 }

@@ -8,13 +8,13 @@ from lexcorpus.operators import audit, ingest
 from lexcorpus.sources import archive, listing, snapshot
 from lexcorpus.streaming import pipelines
 
-NODE = "id string, document_version_id string, parent_id string, node_type string, chapter string, article string, title string, text string, source_locator string, content_hash string, updated_at timestamp_ntz"
+NODE = "id string, document_version_id string, parent_id string, node_type string, chapter string, article string, paragraph string, title string, text string, source_locator string, content_hash string, updated_at timestamp_ntz"
 VERSION = "id string, document_id string, version_number int, effective_from timestamp_ntz, effective_to timestamp_ntz, content_hash string, parser_id string, status string, archive_record_id string, amendment_document_id string"
 T = D(2020, 1, 1)
 
 
-def node(i, v, parent, kind, locator, title=None, text="x", article=None):
-    return (i, v, parent, kind, None, article, title, text, locator, "h", T)
+def node(i, v, parent, kind, locator, title=None, text="x", article=None, paragraph=None):
+    return (i, v, parent, kind, None, article, paragraph, title, text, locator, "h", T)
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +33,29 @@ def corpus(spark):
 
 
 def verdicts(spark, corpus, rows, as_of=None):
-    return {r.candidate_id: (r.verdict, r.legal_node_id, r.reasons) for r in verify(corpus, spark.createDataFrame(rows, "candidate_id string, query string, node_id string, locator string"), as_of).collect()}
+    schema = "candidate_id string, query string, node_id string, locator string, document_id string, citation_key string"
+    return {r.candidate_id: (r.verdict, r.legal_node_id, r.reasons) for r in verify(corpus, spark.createDataFrame([(*r, *[None] * (6 - len(r))) for r in rows], schema), as_of).collect()}
 
 
 def test_verify(spark, corpus):
     rows = [("a", "7:art-1", None, None), ("b", "missing", None, None), ("c", None, None, "art-1"), ("d", None, "n3", None), ("e", None, None, None), ("f", " 1 дүгээр зүйл ", None, None)]
     got = verdicts(spark, corpus, rows)
-    assert got["a"] == ("VALID", "n2", ["valid"]) and got["b"][:2] == ("UNRESOLVED", None) and got["c"][:2] == ("CONFLICT", None) and got["d"][1] == "n3" and got["e"][0] == "UNRESOLVED" and got["f"][0] == "CONFLICT"
-    assert verdicts(spark, corpus, rows[:2], "2016-01-01") == {"a": ("VALID", "n1", ["valid"]), "b": ("UNRESOLVED", None, ["unresolved", "as_of_unavailable"])}
+    assert got["a"] == ("VALID", "n2", ["citation_unique"]) and got["b"] == ("UNRESOLVED", None, ["citation_unresolved"]) and got["c"] == ("CONFLICT", None, ["citation_conflict"])
+    assert got["d"][1] == "n3" and got["e"][0] == "UNRESOLVED" and got["f"][0] == "CONFLICT"
+    assert verdicts(spark, corpus, rows[:2], "2016-01-01") == {"a": ("VALID", "n1", ["citation_unique"]), "b": ("UNRESOLVED", None, ["citation_unresolved", "as_of_unavailable"])}
+
+
+def test_verify_two_acts_with_the_same_article(spark, corpus):
+    rows = [
+        ("act", "ХӨДӨЛМӨРИЙН хуулийн 1 дүгээр зүйл", None, None), ("part", "лмөри  хуулийн 1 дүгээр зүйл", None, None), ("short", "Бу хуулийн 1 дүгээр зүйл", None, None), ("none", "Газрын хуулийн 1 дүгээр зүйл", None, None), ("no-law", "Хөдөлмөр 1 дүгээр зүйл", None, None),
+        ("doc", "1 дүгээр зүйл", None, None, "d2"), ("both", "Хөдөлмөрийн хуулийн 1 дүгээр зүйл", None, None, "d2"), ("own", "Хөдөлмөрийн хуулийн 9 дүгээр зүйл", None, "art-1"), ("own-first", "Хөдөлмөрийн хуулийн 1.1 дүгээр зүйл", None, "art-7"),
+        ("key", "?", None, None, None, "7:art-1"), ("node-elsewhere", "?", "n3", None, "d1"), ("blank-key", "7:art-1 ", None, None),
+    ]
+    got = {k: v[:2] for k, v in verdicts(spark, corpus, rows).items()}
+    assert got == {
+        "act": ("VALID", "n2"), "part": ("VALID", "n2"), "short": ("VALID", "n3"), "none": ("UNRESOLVED", None), "no-law": ("CONFLICT", None), "doc": ("VALID", "n3"), "both": ("UNRESOLVED", None), "own": ("VALID", "n2"), "own-first": ("UNRESOLVED", None),
+        "key": ("VALID", "n2"), "node-elsewhere": ("UNRESOLVED", None), "blank-key": ("UNRESOLVED", None),
+    }
 
 
 def test_retrieve(spark, corpus):
@@ -50,7 +65,8 @@ def test_retrieve(spark, corpus):
 
     assert ids(node_id="n1", question="ignored") == (["n1"], "ok")
     assert sorted(ids(document_id="d1")[0]) == ["n2", "r2"] and sorted(ids(document_id="d1", as_of="2016-01-01")[0]) == ["n1", "r1"]
-    assert ids(citation_key="7:art-1") == (["n2"], "ok") and ids(citations=("7:art-1", "7:art-1", "key"))[0].count("n2") == 2
+    assert ids(citation_key="7:art-1") == (["n2"], "ok") and ids(citations=("7:art-1", "7:art-1", "key"))[0] == ["n2", "n2", "n3"]
+    assert ids(citation_key="Хөдөлмөрийн хуулийн 1 дүгээр зүйл")[0] == ["n2"] and ids(citations=("Бусад хуулийн 1 дүгээр зүйл", ("?", "n2")))[0] == ["n3", "n2"]
     assert ids(question="Намайг ажлаас үндэслэлгүй халах")[0] == ["n2"] and ids(question="quantum zzqqxx") == ([], "ok") and ids(question="  ") == ([], "ok")
     assert ids(question="ажлаас халах эрх", as_of="2017-01-01")[0] == ["n1"] and ids(citation_key="key", as_of="2017-01-01") == ([], "AS_OF_UNAVAILABLE")
     assert retrieve(corpus, Request(node_id="n3"))[0].first().title == "Article 1"
@@ -161,8 +177,8 @@ def test_title_filter_and_staged_tables(spark, corpus):
     from lexcorpus import staging
     from lexcorpus.operators import retrieval as R
 
-    public = R.public_citations(corpus.citations, corpus.nodes, corpus.versions)
-    assert {r.legal_node_id for r in R.of_title(public, corpus.documents, "ХӨДӨЛМӨР").collect()} == {"n2"}
+    hints = spark.createDataFrame([("ХӨДӨЛМӨР",), ("у",), ("ий",), ("zzz",), ("",), (None,)], "hint string")
+    assert {tuple(r) for r in R.titled(hints, corpus.documents).collect()} == {("ХӨДӨЛМӨР", "d1"), ("у", "d1"), ("у", "d2"), ("ий", "d1")}
     kept = staging.Stage(spark, "t").write(spark.range(3), "x")
     place = kept.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://")
     assert kept.count() == 3 and os.path.exists(place)
