@@ -32,6 +32,11 @@ WORD_ARTICLE = rf"(?iu)^{_ORDINAL}\s+ЗҮЙЛ(?:[.\s:—-]*(.*))?$"
 ARTICLE = r"(?iu)^([0-9]+(?:\.[0-9]+)?)(?:\^([0-9]+))?\s*(?:дүгээр|дугаар|дэх)\s*зүйл(?:[.\s:—-]+(.*))?$"
 QUALIFIED = r"^([0-9]+)(?:\^([0-9]+))?\.([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?\.?\s*(.*)$"
 SIMPLE = r"^([0-9]+)(?:[.)]|/)\s*(.*)$"
+ANNEX = r"(?iu)^хавсралт(?![\w])"
+SIGNATURE = r"(?iu)^монгол улсын их хурлын дарга(?![\w])"
+#: What stands before the dates of an act (fixed values).
+ADOPTED = r"(?iu)батлагдсан[:\s]*([0-9]{4}-[0-9]{2}-[0-9]{2})"
+EFFECTIVE = r"(?iu)хүчин\s*төгөлдөр(?:\s*болсон)?[:\s]*([0-9]{4}-[0-9]{2}-[0-9]{2})"
 
 
 def _decoded(c: Column) -> Column:
@@ -50,21 +55,32 @@ def lines(html: Column) -> Column:
     c = _decoded(F.regexp_replace(c, "<[^>]+>", " "))
     each = F.split(c, "\n+")
     each = F.transform(each, lambda x: F.trim(F.regexp_replace(x, f"[{BLANKS}]+", " ")))
-    each = F.transform(each, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"(?iu)^(?:хэвлэх|pdf|word) +", "")), r"([0-9]+)\s+\.(?=[0-9])", "$1."))
+    each = F.transform(each, lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"(?iu)^(?:хэвлэх|pdf|word) +", "")), r'(?i)^text-align\s*:\s*center">', "")), r"([0-9]+)\s+\.(?=[0-9])", "$1."))
     return F.filter(each, lambda x: x != "")
 
 
-def title(html: Column) -> Column:
-    """The page title of three characters or more, else the first heading, else the first line, else Untitled."""
-    inside = lambda tag: F.trim(F.regexp_replace(_decoded(F.regexp_replace(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", " ")), f"[{BLANKS}]+", " "))
-    page = inside("title")
-    return F.coalesce(F.when(F.length(page) >= 3, page), F.nullif(inside("h1"), F.lit("")), F.get(lines(html), 0), F.lit("Untitled"))
+def title(html: Column, act: Column | None = None) -> Column:
+    """The page title of three characters or more, else the first heading, else the first line in capitals that ends in "law", else the first line, else Untitled.
+
+    Headings and lines are those of ``act``, the part of the page that holds the act (by default all of it).
+    """
+    act = html if act is None else act
+    inside = lambda page, tag: F.trim(F.regexp_replace(_decoded(F.regexp_replace(F.regexp_extract(page, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", " ")), f"[{BLANKS}]+", " "))
+    page = inside(html, "title")
+    named = lambda ls: F.coalesce(F.get(F.filter(ls, lambda x: F.rlike(x, F.lit("(?iu)хууль$")) & (x == F.upper(x))), 0), F.get(ls, 0))
+    of_lines = F.get(F.transform(F.array(lines(act)), named), F.lit(0))
+    return F.coalesce(F.when(F.length(page) >= 3, page), F.nullif(inside(act, "h1"), F.lit("")), of_lines, F.lit("Untitled"))
+
+
+def labelled_date(html: Column, label: str) -> Column:
+    """The date behind ``label`` (:data:`ADOPTED` or :data:`EFFECTIVE`), null where there is none or none such day."""
+    return F.try_to_date(F.nullif(F.regexp_extract(html, label, 1), F.lit("")), "yyyy-MM-dd")
 
 
 def line_class(line: Column) -> Column:
     """What a line of an act is."""
     is_ = lambda p: F.rlike(line, F.lit(p))
-    return F.when(is_(CHROME_LINE), "chrome").when(is_(CHAPTER), "chapter").when(is_(WORD_ARTICLE) | is_(ARTICLE), "article").when(is_(QUALIFIED), "qualified").when(is_(SIMPLE), "simple").otherwise("text")
+    return F.when(is_(CHROME_LINE), "chrome").when(is_(CHAPTER), "chapter").when(is_(WORD_ARTICLE) | is_(ARTICLE), "article").when(is_(ANNEX), "annex").when(is_(SIGNATURE), "signature").when(is_(QUALIFIED), "qualified").when(is_(SIMPLE), "simple").otherwise("text")
 
 
 def line_context(lines_: DataFrame) -> DataFrame:
@@ -103,13 +119,14 @@ class Outline:
     State is the innermost open provision of each level. A line N.M[.K[.L]] goes to article N if
     there is one, otherwise to the open article; it is clause M of paragraph N if that paragraph
     was numbered plainly before, otherwise paragraph M. Other lines continue the innermost
-    provision, unless it holds them already.
+    provision, unless it holds them already. An annex ends the open provision: lines below its heading
+    belong to none. The line of the signature is no text of the act.
     """
 
-    _RE = {k: re.compile(v) for k, v in {"chrome": CHROME_LINE, "chapter": CHAPTER, "word": WORD_ARTICLE, "article": ARTICLE, "qualified": QUALIFIED, "simple": SIMPLE}.items()}
+    _RE = {k: re.compile(v) for k, v in {"chrome": CHROME_LINE, "chapter": CHAPTER, "word": WORD_ARTICLE, "article": ARTICLE, "qualified": QUALIFIED, "simple": SIMPLE, "annex": ANNEX, "signature": SIGNATURE}.items()}
 
-    def __init__(self, heading: str, annexes: bool = False):
-        self.annexes = annexes  # off by default: the pages' annexes are not provisions of the act
+    def __init__(self, heading: str, annexes: bool = True):
+        self.annexes = annexes
         self.rows = [self._row("doc", None, "DOCUMENT", heading, title=heading)]
         self.under: dict[tuple[int, str], int] = {}
         self.articles: dict[str, int] = {}
@@ -156,7 +173,7 @@ class Outline:
 
     def feed(self, line: str) -> None:
         r = self._RE
-        if r["chrome"].match(line) or "Lang::lineCode" in line:
+        if r["chrome"].match(line) or "Lang::lineCode" in line or r["signature"].match(line):
             return
         if m := r["chapter"].match(line):
             bis = m[3] or m[4]
@@ -166,7 +183,7 @@ class Outline:
             self._article(self._ordinal(m), m[3], line)  # an inserted number serves as the title here
         elif m := r["article"].match(line):
             self._article(m[1] + (f"^{m[2]}" if m[2] else ""), (m[3] or "").strip(), line)
-        elif self.annexes and re.match(r"(?iu)хавсралт\b", line):
+        elif self.annexes and r["annex"].match(line):
             self._add(f"annex-{sum(x['parent'] == 0 for x in self.rows) + 1}", self.open["CHAPTER"] or 0, "ANNEX", line, title=line[:120])
             self.open.update(ARTICLE=None, PARAGRAPH=None, CLAUSE=None)
         elif (m := r["qualified"].match(line)) and self.open["ARTICLE"] is not None:
@@ -204,6 +221,24 @@ class Outline:
 PROVISIONS = "doc_id string, ordinal int, parent_ordinal int, locator string, node_type string, number string, title string, text string, content_hash string"
 
 
+def isolated(pages: DataFrame) -> DataFrame:
+    """``pages`` (doc_id, html) and act, the part of the page that holds the act: one Python pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(act=[None if h is None else isolate(h) for h in b["html"]])
+
+    return pages.select(F.col("doc_id").cast("string").alias("doc_id"), "html").mapInPandas(run, "doc_id string, html string, act string")
+
+
+def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Acts (doc_id, title, adopted_at, effective_from, content_hash) and PROVISIONS of ``pages`` (doc_id, html): the whole way from a page to its tree."""
+    p = isolated(pages)
+    page_title = title(F.col("html"), F.col("act"))
+    acts = p.select("doc_id", page_title.alias("title"), labelled_date(F.col("html"), ADOPTED).alias("adopted_at"), labelled_date(F.col("html"), EFFECTIVE).alias("effective_from"), F.sha2("html", 256).alias("content_hash"))
+    return acts, provisions(p.select("doc_id", page_title.alias("title"), lines(F.col("act")).alias("lines")))
+
+
 def provisions(pages: DataFrame) -> DataFrame:
     """PROVISIONS of ``pages`` (doc_id, title, lines): one Python pass per page; a null or empty page has only its root."""
 

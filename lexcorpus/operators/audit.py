@@ -58,8 +58,8 @@ def assign_locators(articles: DataFrame) -> DataFrame:
     return rows.join(first, ["document_id", "base"]).select("id", "document_id", F.when(keeps, F.col("base")).otherwise(F.concat("base", F.lit("__legacyId-"), "id")).alias("source_locator"), (F.col("n") > 1).alias("collides"))
 
 
-def locator_collisions(articles: DataFrame, sample: int = 5) -> DataFrame:
-    """(document_id, article_number, n_rows, excess, same_text, same_title, sample_ids) of numbers used more than once in a document."""
+def locator_collisions(articles: DataFrame) -> DataFrame:
+    """(document_id, article_number, n_rows, excess, same_text, same_title, winner_id) of numbers used more than once in a document."""
     rows = articles.where("article_number is not null").select("id", "document_id", "article_number", "ord", "text", "title").distinct()
     same = lambda c: F.min(F.sha2(F.coalesce(c, F.lit("")), 256)) == F.max(F.sha2(F.coalesce(c, F.lit("")), 256))
     stats = rows.groupBy("document_id", "article_number").agg(F.count(F.lit(1)).alias("n_rows"), same("text").alias("same_text"), same("title").alias("same_title"), F.min_by("id", F.struct("ord", "id")).alias("winner_id"))
@@ -71,12 +71,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def parent_report(nodes: DataFrame) -> DataFrame:
-    """(id, document_version_id, source_locator, node_type, orphan, foreign_parent, invalid_parent, incompatible): each node against its parent.
+def parent_report(nodes: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(id, document_version_id, source_locator, node_type, orphan, foreign_parent, invalid_parent, incompatible[, root, keep]): each node against its parent.
 
-    The parent must be a node of the same version; a parent elsewhere is a foreign one.
+    The parent must be a node of the same version; a parent elsewhere is a foreign one. With ``keep``,
+    other columns and whether the node has no parent come along.
     """
-    n = nodes_once(nodes, PLACE)
+    n = nodes_once(nodes, [*PLACE, *keep])
     p = n.select(F.col("id").alias("up"), F.col("node_type").alias("p_type"), F.col("document_version_id").alias("p_version"))
     # roots get a key of their own: as null keys they would all meet in one task
     j = n.withColumn("up", F.coalesce("parent_id", F.concat(F.lit("\u0000"), "id"))).join(p, "up", "left")
@@ -92,17 +93,22 @@ def parent_report(nodes: DataFrame) -> DataFrame:
         (found & ~F.coalesce(same, F.lit(False))).alias("foreign_parent"),
         (orphan | (~has & ~allowed_parent(F.col("node_type"), F.lit(None).cast("string")))).alias("invalid_parent"),
         (F.coalesce(same, F.lit(False)) & ~allowed_parent(F.col("node_type"), F.coalesce("p_type", F.lit("")))).alias("incompatible"),
+        *([(~has).alias("root"), *keep] if keep else []),
     )
 
 
 def version_structure(nodes: DataFrame) -> DataFrame:
     """One row per version: counts of nodes, roots and offenders, and PASS or FAIL (circles: see hierarchy)."""
-    r = parent_report(nodes)
-    n = nodes_once(nodes, PLACE)
-    extra = n.groupBy("document_version_id").agg((F.count(F.lit(1)) - F.countDistinct("source_locator")).alias("duplicate_locators"), F.count_if((F.col("node_type") == "DOCUMENT") & F.col("parent_id").isNull()).alias("document_parents"))
-    s = r.groupBy("document_version_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("orphan").alias("orphans"), F.count_if("invalid_parent").alias("invalid_parents"), F.count_if("incompatible").alias("incompatible_types"))
+    s = parent_report(nodes.withColumn("__", F.lit(True)), ["__"]).groupBy("document_version_id").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if("orphan").alias("orphans"),
+        F.count_if("invalid_parent").alias("invalid_parents"),
+        F.count_if("incompatible").alias("incompatible_types"),
+        (F.count(F.lit(1)) - F.countDistinct("source_locator")).alias("duplicate_locators"),
+        F.count_if((F.col("node_type") == "DOCUMENT") & F.col("root")).alias("document_parents"),
+    )
     ok = (F.col("document_parents") == 1) & (F.col("orphans") + F.col("invalid_parents") + F.col("incompatible_types") + F.col("duplicate_locators") == 0)
-    return s.join(extra, "document_version_id").withColumn("result", F.when(ok, "PASS").otherwise("FAIL"))
+    return s.withColumn("result", F.when(ok, "PASS").otherwise("FAIL"))
 
 
 def parse_shape(nodes: DataFrame) -> DataFrame:

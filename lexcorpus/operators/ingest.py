@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from lexcorpus.functions.payload import archive_key
 from lexcorpus.operators.audit import LOCATOR, PLACE, nodes_once, parent_report
-from lexcorpus.tables import stripped
+from lexcorpus.tables import records, stripped
+
+#: Nodes that are only controls of the page (fixed value).
+CHROME_ONLY = r"(?i)^(хэвлэх|pdf|word|сонсох(?:\s*/\s*сонгосон.*)?|хуваалцах|-->)$"
 
 
 def put_if_absent(payloads: DataFrame, key: str, text: str, catalogue: DataFrame | None = None) -> DataFrame:
@@ -122,40 +125,101 @@ def pending(documents: DataFrame, archives: DataFrame) -> DataFrame:
     return documents.select("id", F.lower(stripped(F.col("archive_id"))).alias("key")).distinct().join(a, "key", "left_anti").select("id")
 
 
-def gate_reasons(nodes: DataFrame, versions: DataFrame) -> DataFrame:
-    """(document_version_id, reasons): structural reasons against a version, in a fixed order, joined by commas; empty if there are none."""
-    n = nodes_once(nodes, [*PLACE, "article", "chapter", "text"])
-    report = parent_report(nodes).groupBy("document_version_id").agg(F.bool_or("orphan").alias("orphan"), F.bool_or(F.col("invalid_parent") | F.col("incompatible")).alias("wrong"))
-    text = F.coalesce(stripped(F.col("text")), F.lit(""))
+def gate_facts(nodes: DataFrame, versions: DataFrame) -> DataFrame:
+    """One row per version with nodes: what :func:`confidence` and :func:`gate_reasons` judge by.
+
+    The texts are reduced to marks where they are read; the nodes are de-duplicated once and
+    meet their parents in one join.
+    """
+    blank = lambda c: F.coalesce(stripped(F.col(c)), F.lit(""))
+    chrome = lambda c: F.rlike(blank(c), F.lit(CHROME_ONLY.replace("(?i)", "(?iu)")))
     inner = F.col("node_type") != "DOCUMENT"
-    chrome = F.lower(text).isin("хэвлэх", "pdf", "word", "сонсох", "хуваалцах", "-->")
-    facts = n.groupBy("document_version_id").agg(
-        F.count_if(F.col("node_type") == "ARTICLE").alias("articles"),
+    marks = {
+        "has_text": inner & (blank("text") != ""),
+        "chrome": inner & (chrome("text") | chrome("title")),
+        "malformed": (F.col("node_type") == "ARTICLE") & F.coalesce("article", F.lit("0")).isin("", "0"),
+        "invented": ~F.coalesce(F.rlike("source_locator", F.lit(LOCATOR)), F.lit(False)) | F.coalesce(F.col("chapter") == "0", F.lit(False)),
+        "unsound": (blank("source_locator") == "") | (blank("content_hash") == ""),
+    }
+    r = parent_report(nodes.select("id", "updated_at", *PLACE, *[F.coalesce(c, F.lit(False)).alias(m) for m, c in marks.items()]), list(marks))
+    facts = r.groupBy("document_version_id").agg(
         F.count(F.lit(1)).alias("nodes"),
+        F.count_if(F.col("node_type") == "ARTICLE").alias("articles"),
         F.countDistinct("source_locator").alias("locators"),
-        F.bool_or((F.col("node_type") == "ARTICLE") & (F.coalesce("article", F.lit("0")).isin("", "0"))).alias("malformed"),
-        F.bool_or(inner & (text != "")).alias("has_text"),
-        F.count_if((F.col("node_type") == "DOCUMENT") & F.col("parent_id").isNull()).alias("roots"),
-        F.bool_or(~F.coalesce(F.rlike("source_locator", F.lit(LOCATOR)), F.lit(False)) | F.coalesce(F.col("chapter") == "0", F.lit(False))).alias("invented"),
+        F.countDistinct(F.when(inner, F.col("source_locator"))).alias("cited_locators"),
+        F.count_if(inner).alias("cited"),
+        F.count_if((F.col("node_type") == "DOCUMENT") & F.col("root")).alias("roots"),
         F.bool_or(F.col("node_type").isin("BOOK", "PART", "SECTION")).alias("levels"),
-        F.bool_or(inner & chrome).alias("chrome"),
+        F.bool_or("orphan").alias("orphan"),
+        F.bool_or(F.col("invalid_parent") | F.col("incompatible")).alias("wrong"),
+        *[F.bool_or(m).alias(m) for m in marks],
     )
-    ends = versions.groupBy(F.col("id").alias("document_version_id")).agg(F.max("effective_to").isNotNull().alias("ends"))
-    no: Column = ~F.coalesce("has_text", F.lit(False))
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("articles") == 0, "no_recognizable_provisions"),
-            F.when(F.col("nodes") < 2, "suspiciously_low_node_count"),
-            F.when(F.col("locators") < F.col("nodes"), "duplicate_locators"),
-            F.when(F.col("malformed"), "malformed_numbering"),
-            F.when(no, "empty_legal_text"),
-            F.when(F.col("orphan"), "orphan_nodes"),
-            F.when(F.col("wrong"), "invalid_parent_relationships"),
-            F.when(F.col("roots") != 1, "broken_article_hierarchy"),
-            F.when(F.col("invented"), "invented_locator"),
-            F.when(F.col("levels"), "invented_structural_level"),
-            F.when(F.col("chrome"), "chrome_or_toc_node"),
-            F.when(F.coalesce("ends", F.lit(False)), "unsafe_effective_to"),
-        )
-    )
-    return facts.join(report, "document_version_id").join(ends, "document_version_id", "left").select("document_version_id", F.array_join(reasons, ",").alias("reasons"))
+    v = versions.groupBy(F.col("id").alias("document_version_id")).agg(F.min("document_id").alias("document_id"), F.max("effective_to").isNotNull().alias("ends"))
+    return facts.join(v, "document_version_id", "left")
+
+
+def _confidence_reasons() -> list[Column]:
+    """Reasons against trusting a parse, in order; of :func:`gate_facts` with title and act_type."""
+    broken = (F.col("locators") < F.col("nodes")) | F.col("orphan") | F.col("unsound")
+    return [
+        F.when((F.length(F.coalesce(F.trim("title"), F.lit(""))) < 3) | (F.col("title") == "Untitled"), "missing_title"),
+        F.when(F.coalesce("act_type", F.lit("")) == "", "missing_act_type"),
+        F.when(F.col("nodes").isNull(), "missing_version"),
+        F.when(broken, "broken_article_hierarchy"),
+        F.when(F.col("articles") == 0, "no_recognizable_provisions"),
+        F.when(F.col("nodes") < 2, "suspiciously_low_node_count"),
+        F.when(F.col("locators") < F.col("nodes"), "duplicate_locators"),
+        F.when(F.col("malformed"), "malformed_numbering"),
+        F.when(~F.col("has_text"), "empty_legal_text"),
+    ]
+
+
+def _acts(documents: DataFrame) -> DataFrame:
+    return records(documents, "id", ["title", "document_type"], ["updated_at"]).select(F.col("id").alias("document_id"), "title", F.col("document_type").alias("act_type"))
+
+
+def confidence(nodes: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document_id, document_version_id, reasons): nine reasons against trusting the parse of a version, joined by commas, empty if there are none; acts without a version with nodes have a row without version."""
+    facts = gate_facts(nodes, versions)
+    j = _acts(documents).join(facts, "document_id", "left")
+    return j.select("document_id", "document_version_id", F.array_join(F.array_compact(F.array(*_confidence_reasons())), ",").alias("reasons"))
+
+
+def gate_reasons(nodes: DataFrame, versions: DataFrame, documents: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(document_version_id, reasons): all reasons against publishing a version, each once, in a fixed order, joined by commas; empty if there are none.
+
+    ``hashes`` (document_version_id, archive_sha256, bytes_sha256): what is archived and what was parsed.
+    """
+    facts = gate_facts(nodes, versions).join(_acts(documents), "document_id", "left")
+    if hashes is None:
+        facts = facts.withColumn("other_bytes", F.lit(False))
+    else:
+        other = hashes.groupBy("document_version_id").agg(F.bool_or(~F.col("archive_sha256").eqNullSafe(F.col("bytes_sha256"))).alias("other_bytes"))
+        facts = facts.join(other, "document_version_id", "left")
+    own = [
+        F.when(F.col("other_bytes"), "archive_hash_mismatch"),
+        F.when(F.col("locators") < F.col("nodes"), "duplicate_locators"),
+        F.when(F.col("orphan"), "orphan_nodes"),
+        F.when(F.col("wrong"), "invalid_parent_relationships"),
+        F.when(F.col("roots") != 1, "broken_article_hierarchy"),
+        F.when(F.col("cited_locators") < F.col("cited"), "duplicate_citation_locators"),
+        F.when(F.col("invented"), "invented_locator"),
+        F.when(F.col("levels"), "invented_structural_level"),
+        F.when(F.col("chrome"), "chrome_or_toc_node"),
+        F.when(F.coalesce("ends", F.lit(False)), "unsafe_effective_to"),
+    ]
+    return facts.select("document_version_id", F.array_join(F.array_distinct(F.array_compact(F.array(*_confidence_reasons(), *own))), ",").alias("reasons"))
+
+
+def rule_reasons(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(document_version_id, law_id, reason): rules of single acts that a version breaks.
+
+    ``nodes``: rows of :func:`nodes_once` with law_id. ``rules`` (law_id, reason, check, argument, n) is a parameter table:
+    ``locator`` wants a node whose locator matches the pattern ``argument``, ``text`` a text that does; ``least`` and ``most`` want so many
+    nodes of the type ``argument``. Versions of acts without rules have no rows.
+    """
+    r = F.broadcast(rules.withColumn("rule", F.struct("reason", "check", "argument", "n")))
+    met = F.when(F.col("rule.check") == "locator", F.expr("rlike(source_locator, rule.argument)")).when(F.col("rule.check") == "text", F.expr("rlike(text, rule.argument)")).otherwise(F.col("node_type") == F.col("rule.argument"))
+    counted = nodes.join(r.select("law_id", "rule"), "law_id").groupBy("document_version_id", "law_id", "rule").agg(F.count_if(met).alias("k"))
+    fits = F.when(F.col("rule.check") == "most", F.col("k") <= F.col("rule.n")).when(F.col("rule.check") == "least", F.col("k") >= F.col("rule.n")).otherwise(F.col("k") > 0)
+    return counted.where(~fits).select("document_version_id", "law_id", "rule.reason").distinct()

@@ -84,7 +84,28 @@ def pending_download(s: SparkSession, d: str) -> DataFrame:
 
 
 def gate_reasons(s: SparkSession, d: str) -> DataFrame:
-    return I.gate_reasons(table(s, d, "legal_nodes"), table(s, d, "legal_document_versions"))
+    v = table(s, d, "legal_document_versions").select("id", "archive_record_id", "version_number", "content_hash").distinct()
+    # an archive's hash is that of the first version made from it
+    first = v.groupBy("archive_record_id").agg(F.min_by("content_hash", F.struct("version_number", "id")).alias("archive_sha256"))
+    hashes = v.join(first, "archive_record_id", "left").select(F.col("id").alias("document_version_id"), "archive_sha256", F.col("content_hash").alias("bytes_sha256")).where("archive_sha256 is not null")
+    return I.gate_reasons(table(s, d, "legal_nodes"), table(s, d, "legal_document_versions"), table(s, d, "legal_documents"), hashes)
+
+
+def parse_confidence(s: SparkSession, d: str) -> DataFrame:
+    return I.confidence(table(s, d, "legal_nodes"), table(s, d, "legal_document_versions"), table(s, d, "legal_documents"))
+
+
+def labelled_dates(s: SparkSession, d: str) -> DataFrame:
+    t = table(s, d, "legal_documents").select("id", "title", "adopted_at").distinct()
+    day = F.date_format("adopted_at", "yyyy-MM-dd")
+    html = F.concat(F.lit("<p>"), F.coalesce("title", F.lit("")), F.lit("</p>БАТЛАГДСАН: "), F.coalesce(day, F.lit("-")), F.lit(" хүчин  төгөлдөр болсон\n"), F.coalesce(F.replace(day, F.lit("-11-"), F.lit("-31-")), F.lit("")))
+    return t.select("id", F.date_format(H.labelled_date(html, H.ADOPTED), "yyyy-MM-dd").alias("adopted"), F.date_format(H.labelled_date(html, H.EFFECTIVE), "yyyy-MM-dd").alias("effective")).distinct()
+
+
+def parsed_pages(s: SparkSession, d: str) -> DataFrame:
+    page = F.concat(F.lit('<title>t</title><div class="menu">menu</div><div id="bordered-tab1"><div><div class="x law_content"><div>'), F.col("html"), F.lit('</div></div></div></div><div>footer</div>'))
+    acts, rows = H.parsed(_pages(s, d).select(F.col("id").alias("doc_id"), page.alias("html")))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.max(F.when(F.col("ordinal") == 0, F.col("text"))).alias("root")).join(acts.select("doc_id", "title"), "doc_id")
 
 
 def type_mapping(s: SparkSession, d: str) -> DataFrame:
@@ -212,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         archive_put_if_absent, catalog_reuse, archive_integrity, discover_classify, run_counters, merge_upsert, insert_missing, replace_version, publish_decision, reconcile, reconcile_totals, shared_targets, job_lifecycle, pending_download,
-        gate_reasons, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
+        gate_reasons, parse_confidence, labelled_dates, parsed_pages, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
         line_classes, line_context, parse_provisions, page_links,
     )
 }
@@ -232,6 +253,19 @@ x AS (SELECT c.id AS citation_id, CASE WHEN n.id IS NULL THEN 'missing_node' WHE
   WHEN n.text IS DISTINCT FROM exact_text THEN CASE WHEN starts_with(n.text, exact_text) THEN 'shortened_text' ELSE 'other_text' END ELSE 'matched' END AS outcome FROM c LEFT JOIN n ON n.id = c.legal_node_id)"""
 
 
+_FACTS = f"""t AS (SELECT *, coalesce(regexp_replace(regexp_replace(text, '^{_BLANK}+', ''), '{_BLANK}+$', ''), '') AS x, coalesce(regexp_replace(regexp_replace(title, '^{_BLANK}+', ''), '{_BLANK}+$', ''), '') AS tx FROM n),
+f AS (SELECT document_version_id, count(*) FILTER (node_type = 'ARTICLE') AS articles, count(*) AS nodes, count(DISTINCT source_locator) AS locators, count(DISTINCT source_locator) FILTER (node_type <> 'DOCUMENT') AS cited_locators, count(*) FILTER (node_type <> 'DOCUMENT') AS cited,
+  bool_or(node_type = 'ARTICLE' AND coalesce(article, '0') IN ('', '0')) AS malformed, coalesce(bool_or(node_type <> 'DOCUMENT' AND x <> ''), false) AS has_text, count(*) FILTER (node_type = 'DOCUMENT' AND parent_id IS NULL) AS roots,
+  bool_or(NOT coalesce(regexp_matches(source_locator, '{LOCATOR}'), false) OR coalesce(chapter = '0', false)) AS invented, bool_or(node_type IN ('BOOK', 'PART', 'SECTION')) AS levels, bool_or(node_type <> 'DOCUMENT' AND (regexp_matches(x, '{I.CHROME_ONLY}') OR regexp_matches(tx, '{I.CHROME_ONLY}'))) AS chrome,
+  bool_or(coalesce(trim(source_locator), '') = '' OR coalesce(trim(content_hash), '') = '') AS unsound FROM t GROUP BY 1),
+o AS (SELECT document_version_id, bool_or(orphan) AS orphan, bool_or(invalid_parent OR incompatible) AS wrong FROM r GROUP BY 1),
+e AS (SELECT id AS document_version_id, min(document_id) AS document_id, max(effective_to) IS NOT NULL AS ends FROM legal_document_versions GROUP BY 1),
+acts AS (SELECT id AS document_id, unnest(arg_max(struct_pack(title, document_type), (updated_at, title, document_type))) FROM legal_documents GROUP BY 1)"""
+_CONF = """CASE WHEN length(coalesce(trim(title), '')) < 3 OR title = 'Untitled' THEN 'missing_title' END, CASE WHEN coalesce(document_type, '') = '' THEN 'missing_act_type' END, CASE WHEN nodes IS NULL THEN 'missing_version' END,
+  CASE WHEN locators < nodes OR orphan OR unsound THEN 'broken_article_hierarchy' END, CASE WHEN articles = 0 THEN 'no_recognizable_provisions' END, CASE WHEN nodes < 2 THEN 'suspiciously_low_node_count' END, CASE WHEN locators < nodes THEN 'duplicate_locators' END,
+  CASE WHEN malformed THEN 'malformed_numbering' END, CASE WHEN NOT has_text THEN 'empty_legal_text' END"""
+
+
 def _sql_lines(html: str) -> str:
     c = html
     for p in H.CHROME:
@@ -242,7 +276,7 @@ def _sql_lines(html: str) -> str:
     for a, b in H.ENTITIES:
         c = f"replace({c}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     each = f"list_transform(string_split({c}, chr(10)), lambda x: trim(regexp_replace(x, '{_BLANK}+', ' ', 'g')))"
-    each = f"list_transform({each}, lambda x: regexp_replace(trim(regexp_replace(x, '(?i)^(?:хэвлэх|pdf|word) +', '')), '([0-9]+)\\s+\\.([0-9])', '\\1.\\2', 'g'))"
+    each = f"list_transform({each}, lambda x: regexp_replace(trim(regexp_replace(trim(regexp_replace(x, '(?i)^(?:хэвлэх|pdf|word) +', '')), '(?i)^text-align\\s*:\\s*center.>', '')), '([0-9]+)\\s+\\.([0-9])', '\\1.\\2', 'g'))"
     return f"list_filter({each}, lambda x: x <> '')"
 
 
@@ -263,17 +297,16 @@ UNION ALL SELECT DISTINCT id, 'empty' FROM a WHERE coalesce(byte_size, 0) <= 0 U
     "shared_targets": "SELECT legal_node_id, count(DISTINCT id) AS n FROM citation_entries WHERE trim(legal_node_id) <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "job_lifecycle": "SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) AS last_kind, count(*) FILTER (event_type = 'error') AS retry_count, count(*) AS n_events, arg_max(event_type, (ts, event_id)) = 'purchase' AS finished FROM events GROUP BY 1",
     "pending_download": "SELECT DISTINCT id FROM legal_knowledge_documents k WHERE NOT EXISTS (SELECT 1 FROM legal_source_archives a WHERE lower(trim(a.id)) = lower(trim(k.archive_id)))",
-    "gate_reasons": f"""WITH {_REPORT},
-t AS (SELECT *, coalesce(regexp_replace(regexp_replace(text, '^{_BLANK}+', ''), '{_BLANK}+$', ''), '') AS x FROM n),
-f AS (SELECT document_version_id, count(*) FILTER (node_type = 'ARTICLE') AS articles, count(*) AS nodes, count(DISTINCT source_locator) AS locators, bool_or(node_type = 'ARTICLE' AND coalesce(article, '0') IN ('', '0')) AS malformed,
-  coalesce(bool_or(node_type <> 'DOCUMENT' AND x <> ''), false) AS has_text, count(*) FILTER (node_type = 'DOCUMENT' AND parent_id IS NULL) AS roots, bool_or(NOT coalesce(regexp_matches(source_locator, '{LOCATOR}'), false) OR coalesce(chapter = '0', false)) AS invented,
-  bool_or(node_type IN ('BOOK', 'PART', 'SECTION')) AS levels, bool_or(node_type <> 'DOCUMENT' AND lower(x) IN ('хэвлэх', 'pdf', 'word', 'сонсох', 'хуваалцах', '-->')) AS chrome FROM t GROUP BY 1),
-o AS (SELECT document_version_id, bool_or(orphan) AS orphan, bool_or(invalid_parent OR incompatible) AS wrong FROM r GROUP BY 1),
-e AS (SELECT id AS document_version_id, max(effective_to) IS NOT NULL AS ends FROM legal_document_versions GROUP BY 1)
-SELECT document_version_id, concat_ws(',', CASE WHEN articles = 0 THEN 'no_recognizable_provisions' END, CASE WHEN nodes < 2 THEN 'suspiciously_low_node_count' END, CASE WHEN locators < nodes THEN 'duplicate_locators' END, CASE WHEN malformed THEN 'malformed_numbering' END,
-  CASE WHEN NOT has_text THEN 'empty_legal_text' END, CASE WHEN orphan THEN 'orphan_nodes' END, CASE WHEN wrong THEN 'invalid_parent_relationships' END, CASE WHEN roots <> 1 THEN 'broken_article_hierarchy' END, CASE WHEN invented THEN 'invented_locator' END,
-  CASE WHEN levels THEN 'invented_structural_level' END, CASE WHEN chrome THEN 'chrome_or_toc_node' END, CASE WHEN coalesce(ends, false) THEN 'unsafe_effective_to' END) AS reasons
-FROM f JOIN o USING (document_version_id) LEFT JOIN e USING (document_version_id)""",
+    "gate_reasons": f"""WITH {_REPORT}, {_FACTS}, av AS (SELECT DISTINCT id, archive_record_id, version_number, content_hash FROM legal_document_versions WHERE archive_record_id IS NOT NULL),
+af AS (SELECT archive_record_id, arg_min(content_hash, (version_number, id)) AS h FROM av GROUP BY 1), ah AS (SELECT id AS document_version_id, bool_or(h IS DISTINCT FROM content_hash) AS other FROM av JOIN af USING (archive_record_id) WHERE h IS NOT NULL GROUP BY 1),
+l AS (SELECT document_version_id, [{_CONF},
+  CASE WHEN coalesce(other, false) THEN 'archive_hash_mismatch' END, CASE WHEN locators < nodes THEN 'duplicate_locators' END, CASE WHEN orphan THEN 'orphan_nodes' END, CASE WHEN wrong THEN 'invalid_parent_relationships' END, CASE WHEN roots <> 1 THEN 'broken_article_hierarchy' END,
+  CASE WHEN cited_locators < cited THEN 'duplicate_citation_locators' END, CASE WHEN invented THEN 'invented_locator' END, CASE WHEN levels THEN 'invented_structural_level' END, CASE WHEN chrome THEN 'chrome_or_toc_node' END, CASE WHEN coalesce(ends, false) THEN 'unsafe_effective_to' END] AS x
+  FROM f JOIN o USING (document_version_id) LEFT JOIN e USING (document_version_id) LEFT JOIN acts USING (document_id) LEFT JOIN ah USING (document_version_id))
+SELECT document_version_id, array_to_string(list_filter(x, lambda y, i: y IS NOT NULL AND NOT list_contains(x[1:i - 1], y)), ',') AS reasons FROM l""",
+    "parse_confidence": f"""WITH {_REPORT}, {_FACTS} SELECT acts.document_id, document_version_id, array_to_string(list_filter([{_CONF}], lambda y: y IS NOT NULL), ',') AS reasons
+FROM acts LEFT JOIN (f JOIN o USING (document_version_id) JOIN e USING (document_version_id)) USING (document_id)""",
+    "labelled_dates": "SELECT DISTINCT id, strftime(adopted_at, '%Y-%m-%d') AS adopted, CASE WHEN month(adopted_at) <> 11 THEN strftime(adopted_at, '%Y-%m-%d') END AS effective FROM legal_documents",
     "type_mapping": f"SELECT DISTINCT id, {_MAPPED} AS mapped, {_KNOWN} AS known FROM legal_source_archives",
     "unmapped_types": f"SELECT lower(trim(source_type)) AS source_type, count(DISTINCT id) AS n FROM legal_source_archives WHERE NOT {_KNOWN} GROUP BY 1",
     "title_types": "SELECT id, CASE WHEN contains(lower(title), 'тогтоол') THEN 'GOVERNMENT_RESOLUTION' WHEN contains(lower(title), 'тушаал') THEN 'MINISTERIAL_ORDER' ELSE 'LAW' END AS document_type FROM (SELECT DISTINCT id, title FROM legal_documents)",
@@ -292,7 +325,7 @@ SELECT id, kind, CASE WHEN length(body) = 0 THEN 'empty_body' WHEN kind = 'unkno
     "url_guard": f"WITH k AS (SELECT DISTINCT id, canonical_url, {_HOST.format('canonical_url')} AS h FROM legal_documents) SELECT id, regexp_matches(canonical_url, '(?i)^https://[^/?#@]+(?:[/?#]|$)') AND (h IN ({', '.join(repr(h) for h in HOSTS)}) OR ends_with(h, '{SUFFIXES[0]}')) AS allowed, regexp_matches(length(canonical_url) || '.0.0.1', '{U.PRIVATE_IPV4}') AS private FROM k",
     "backoff": "SELECT user_id, count(*) AS attempt, least(16000, 500 * power(2, least(count(*), 20) - 1)) :: BIGINT AS wait_ms FROM events WHERE event_type = 'error' GROUP BY 1",
     "html_lines": f"WITH {_N}, {_PAGES}, l AS (SELECT id, {_sql_lines('html')} AS ls FROM p) SELECT id, (i - 1) :: INT AS line_no, ls[i] AS line FROM l, unnest(range(1, len(ls) + 1)) AS u(i)",
-    "html_title": f"WITH {_N}, {_PAGES}, t AS (SELECT id, trim(regexp_replace(title, '{_BLANK}+', ' ', 'g')) AS t, {_sql_lines('html')} AS ls, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM p) SELECT id, coalesce(CASE WHEN length(t) >= 3 THEN t END, nullif(trim(h), ''), ls[1], 'Untitled') AS title FROM t",
+    "html_title": f"WITH {_N}, {_PAGES}, t AS (SELECT id, trim(regexp_replace(title, '{_BLANK}+', ' ', 'g')) AS t, {_sql_lines('html')} AS ls, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM p) SELECT id, coalesce(CASE WHEN length(t) >= 3 THEN t END, nullif(trim(h), ''), list_filter(ls, lambda x: regexp_matches(x, '(?i)хууль$') AND x = upper(x))[1], ls[1], 'Untitled') AS title FROM t",
     "line_classes": "WITH l AS (SELECT doc_id, (i - 1) :: INT AS line_no, trim(x[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), unnest(range(1, len(x) + 1)) AS u(i)), k AS (SELECT doc_id, line_no, CASE "
     + " ".join(f"WHEN regexp_matches(line, '{p.replace('(?iu)', '(?i)')}') THEN '{n}'" for p, n in ((H.CHROME_LINE, "chrome"), (H.CHAPTER, "chapter"), (H.WORD_ARTICLE, "article"), (H.ARTICLE, "article"), (H.QUALIFIED, "qualified"), (H.SIMPLE, "simple")))
     + " ELSE 'text' END AS kind FROM l) SELECT * FROM k WHERE kind <> 'text'",

@@ -27,7 +27,7 @@ def corpus(spark):
         NODE,
     )
     versions = spark.createDataFrame([("v1", "d1", 1, D(2015, 1, 1), D(2020, 1, 1), "a", "p", "SUPERSEDED", "x", None), ("v2", "d1", 2, D(2020, 1, 1), None, "b", "p", "PUBLISHED", "x", "d2"), ("v3", "d2", 1, None, None, "c", "p", "PUBLISHED", "x", None)], VERSION)
-    documents = spark.createDataFrame([("d1", "Хөдөлмөрийн хууль", "12", "https://a.example/mn/detail?lawId=7", T), ("d2", "Бусад", None, "https://a.example/x", T)], "id string, title string, document_number string, canonical_url string, updated_at timestamp_ntz")
+    documents = spark.createDataFrame([("d1", "Хөдөлмөрийн хууль", "12", "https://a.example/mn/detail?lawId=7", T, "LAW"), ("d2", "Бусад", None, "https://a.example/x", T, "LAW")], "id string, title string, document_number string, canonical_url string, updated_at timestamp_ntz, document_type string")
     citations = spark.createDataFrame([("c1", "v1", "n1", "7:art-1", "art-1", "t", "h", "VALID"), ("c2", "v2", "n2", "7:art-1", "art-1", "t", "h", "VALID"), ("c3", "v3", "n3", "key", "art-1", "t", "h", "VALID")], "id string, document_version_id string, legal_node_id string, citation_key string, locator string, exact_text string, content_hash string, status string")
     return Corpus(nodes, versions, documents, citations)
 
@@ -79,8 +79,20 @@ def test_retrieve(spark, corpus):
 def test_structure_and_gate(spark, corpus):
     got = {r.document_version_id: r for r in audit.version_structure(corpus.nodes).collect()}
     assert got["v1"].result == "PASS" and (got["v3"].result, got["v3"].orphans, got["v3"].duplicate_locators) == ("FAIL", 1, 1)
-    reasons = {r.document_version_id: r.reasons for r in ingest.gate_reasons(corpus.nodes, corpus.versions).collect()}
-    assert reasons["v2"] == "" and reasons["v1"] == "unsafe_effective_to" and "orphan_nodes" in reasons["v3"] and "duplicate_locators" in reasons["v3"]
+    hashes = spark.createDataFrame([("v2", "a", "a"), ("v3", "a", "b")], "document_version_id string, archive_sha256 string, bytes_sha256 string")
+    reasons = {r.document_version_id: r.reasons for r in ingest.gate_reasons(corpus.nodes, corpus.versions, corpus.documents, hashes).collect()}
+    assert reasons["v2"] == "" and reasons["v1"] == "unsafe_effective_to"
+    assert reasons["v3"] == "broken_article_hierarchy,duplicate_locators,archive_hash_mismatch,orphan_nodes,invalid_parent_relationships,duplicate_citation_locators"
+    odd = spark.createDataFrame([node("r", "w", None, "DOCUMENT", "doc"), node("a", "w", "r", "ARTICLE", "article-1", text=" Сонсох / сонгосон хэсэг", article="0"), node("s", "w", "r", "SECTION", "sec-1", text=" ")], NODE)
+    parts = {(r.document_id, r.document_version_id): r.reasons for r in ingest.confidence(odd, spark.createDataFrame([("w", "d2", 1, None, None, "c", "p", "DRAFT", "x", None)], VERSION), corpus.documents).collect()}
+    assert parts == {("d1", None): "missing_version", ("d2", "w"): "malformed_numbering"}
+    gate = ingest.gate_reasons(odd, corpus.versions.where("false"), corpus.documents).first().reasons
+    assert gate == "missing_title,missing_act_type,malformed_numbering,invented_locator,invented_structural_level,chrome_or_toc_node"
+    rules = spark.createDataFrame([("7", "no_annex", "most", "ANNEX", 0), ("7", "two_articles", "least", "ARTICLE", 2), ("7", "inserted", "locator", r"^art-1\^1$", 0), ("7", "said", "text", "Сонсох", 0), ("8", "x", "text", "x", 0)], "law_id string, reason string, check string, argument string, n int")
+    from pyspark.sql import functions as F
+
+    broken = ingest.rule_reasons(audit.nodes_once(odd.drop("paragraph")).withColumn("law_id", F.lit("7")), rules)
+    assert {r.reason for r in broken.collect()} == {"two_articles", "inserted"}
     trip = {(r.citation_id, r.reason) for r in audit.citation_round_trip(corpus.citations, corpus.nodes).collect()}
     assert trip == set()
 

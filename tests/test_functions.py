@@ -39,7 +39,7 @@ def test_catalogue():
 def test_columns_take_nulls(spark):
     df = spark.createDataFrame([("Эрүүгийн хуулийн 17.1 дүгээр зүйл",), (None,), ("",), ("x 5.6 y",)], "t string")
     got = [tuple(r.p) for r in df.select(C.parse_phrase(F.col("t")).alias("p")).collect()]
-    assert got == [("17", "1", "art-17/p-1"), (None,) * 3, (None,) * 3, ("5", "6", "art-5/p-6")]
+    assert got == [("17", "1", "art-17/p-1", "Эрүүгийн"), (None,) * 4, (None,) * 4, ("5", "6", "art-5/p-6", None)]
     assert [r.n.code for r in df.select(C.normalizer()("t").alias("n")).collect()] == ["CRIMINAL_CODE", None, None, None]
     assert [r.f for r in df.select(C.folder()("t").alias("f")).collect()][1] is None
     assert spark.range(1).select(C.citation_key(F.lit("1622"), F.lit("article-17")).alias("k"), C.citation_key(F.lit(""), F.lit("x")).alias("e")).first() == ("1622:article-17", "x")
@@ -93,6 +93,19 @@ def test_headings_in_words():
     assert [r["locator"] for r in o.rows][1:5] == ["ch-12", "art-3", "ch-7^1", "art-1.10"]
 
 
+def test_annex_signature_and_the_whole_way_from_a_page(spark):
+    o = H.Outline("t")
+    for line in ("1 дүгээр зүйл. A", "1.1. нэг", "МОНГОЛ УЛСЫН ИХ ХУРЛЫН ДАРГА Ж. Нэр", "үргэлжлэл", "Хавсралт 1", "хүснэгт", "2 дугаар зүйл. B", "Хавсралтын тухай"):
+        o.feed(line)
+    got = {r["locator"]: r for r in o.rows}
+    assert got["art-1/p-1"]["text"] == "нэг үргэлжлэл" and got["annex-2"]["text"] == "Хавсралт 1" and got["annex-2"]["parent"] == 0 and got["art-2"]["text"].endswith("Хавсралтын тухай")
+    page = '<title>x</title><div>Хэвлэх</div><div id="bordered-tab1"><p>БАТЛАГДСАН: 2006-07-06</p><div class="a law_content"><p>НЭР ХУУЛЬ</p><div><p>1 дүгээр зүйл. A</p></div><p>1.1. нэг</p></div>after</div><p>хүчин төгөлдөр болсон 2006-13-01</p>'
+    acts, rows = H.parsed(spark.createDataFrame([("a", page), ("b", None), ("c", "plain")], "doc_id string, html string"))
+    a = {r.doc_id: r for r in acts.collect()}
+    assert (a["a"].title, str(a["a"].adopted_at), a["a"].effective_from) == ("НЭР ХУУЛЬ", "2006-07-06", None) and a["b"].title == "Untitled" and a["c"].title == "plain"
+    assert [(r.locator, r.text) for r in rows.where("doc_id = 'a'").orderBy("ordinal").collect()] == [("doc", "НЭР ХУУЛЬ"), ("art-1", "1 дүгээр зүйл. A"), ("art-1/p-1", "нэг")]
+
+
 def test_search_pieces(spark):
     df = spark.createDataFrame([("two words",), ("",), (None,)], "t string")
     assert [round(r.s, 4) for r in df.select(S.similarity(F.col("t"), "word").alias("s")).collect()] == [0.3636, 0.0, 0.0]
