@@ -71,6 +71,13 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def repeats(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, id, first_id): every row (id) but the first in ``order`` of those with the same key; the first comes from an aggregate, not from a window over the group."""
+    rows = df.select("id", *keys, *[c for c in order if c != "id"]).distinct()
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, F.col("id").alias("_id"))).alias("f"))
+    return rows.join(first, keys).where("id <> f._id").select(*keys, "id", F.col("f._id").alias("first_id")).distinct()
+
+
 def parent_report(nodes: DataFrame, keep: list[str] = ()) -> DataFrame:
     """(id, document_version_id, source_locator, node_type, orphan, foreign_parent, invalid_parent, incompatible[, root, keep]): each node against its parent.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.functions.payload import archive_key
-from lexcorpus.operators.audit import LOCATOR, PLACE, nodes_once, parent_report
+from lexcorpus.operators.audit import LOCATOR, PLACE, assign_locators, nodes_once, parent_report
 from lexcorpus.tables import records, stripped
 
 #: Nodes that are only controls of the page (fixed value).
@@ -69,8 +69,9 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, newest: list[str]) ->
 
 
 def insert_missing(base: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """``base`` and the rows whose natural key it lacks; existing rows stay as they are."""
-    return base.unionByName(rows.select(*base.columns).join(base.select(*key).distinct(), key, "left_anti"))
+    """``base`` and the rows whose natural key it lacks; existing rows stay as they are. Keys compare null-safe."""
+    there = base.select(*[F.col(k).alias(f"there_{k}") for k in key]).distinct()
+    return base.unionByName(rows.select(*base.columns).join(there, [F.col(k).eqNullSafe(F.col(f"there_{k}")) for k in key], "left_anti"))
 
 
 def replace_versions(base: DataFrame, rows: DataFrame, version: str = "document_version_id") -> DataFrame:
@@ -78,6 +79,14 @@ def replace_versions(base: DataFrame, rows: DataFrame, version: str = "document_
     return base.join(rows.select(version).distinct(), version, "left_anti").select(*base.columns).unionByName(rows.select(*base.columns))
 
 
+def replace_relations(relations: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
+    """``relations`` (from_node, to_node, ...) without those that touch a node of ``gone`` (id) that isn't in ``kept`` (id)."""
+    lost = gone.select("id").distinct().join(kept.select("id").distinct(), "id", "left_anti")
+    for end in ("from_node", "to_node"):
+        relations = relations.join(lost.select(F.col("id").alias(end)), end, "left_anti").select(*relations.columns)
+    return relations
+
+
 def publish_decisions(versions: DataFrame) -> DataFrame:
     """(id, document_id, version_number, decision) of each version against those before it.
 
@@ -108,9 +117,44 @@ def reconcile(citations: DataFrame, nodes: DataFrame) -> DataFrame:
     return c.join(n, "legal_node_id", "left").select(F.col("id").alias("citation_id"), outcome.alias("outcome"))
 
 
+def reconcile_migration(articles: DataFrame, migrated: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(article_id, document_id, expected_locator, outcome): legacy articles against the nodes made from them.
+
+    ``migrated`` (legacy_id, document_version_id) says which version a legacy document became. The outcome is the first that holds of:
+    document_not_found, missing (no node with the locator), other_text, other_number, matched.
+    """
+    a = assign_locators(articles).select(F.col("id").alias("article_id"), "document_id", F.col("source_locator").alias("expected_locator"))
+    own = articles.groupBy(F.col("id").alias("article_id")).agg(F.max(F.struct("text", "article_number")).alias("a"))
+    m = migrated.select(F.col("legacy_id").alias("document_id"), "document_version_id").distinct()
+    n = nodes_once(nodes, ["document_version_id", "source_locator", "content_hash", "article"]).select("document_version_id", F.col("source_locator").alias("expected_locator"), "content_hash", "article", F.lit(True).alias("there"))
+    j = a.join(own, "article_id").join(m, "document_id", "left").join(n, ["document_version_id", "expected_locator"], "left")
+    outcome = (
+        F.when(F.col("document_version_id").isNull(), "document_not_found")
+        .when(F.col("there").isNull(), "missing")
+        .when(~F.col("content_hash").eqNullSafe(F.sha2(F.coalesce("a.text", F.lit("")), 256)), "other_text")
+        .when(~F.col("article").eqNullSafe(F.col("a.article_number")), "other_number")
+        .otherwise("matched")
+    )
+    return j.select("article_id", "document_id", "expected_locator", outcome.alias("outcome"))
+
+
+def archived_bytes(rows: DataFrame, archives: DataFrame, archive: str, sha256: str) -> DataFrame:
+    """(id, expected_sha256, archive_sha256, ok): each row (id, ``archive``, ``sha256``) against the archive it names.
+
+    An archive delivered several times has its latest hash; keys compare without surrounding blanks and case.
+    """
+    fold = lambda c: F.nullif(F.lower(stripped(F.col(c))), F.lit(""))
+    a = archives.where(fold("id").isNotNull()).groupBy(fold("id").alias("key")).agg(F.max(F.struct("fetched_at", "sha256")).alias("a"))
+    r = rows.select("id", fold(archive).alias("key"), F.col(sha256).alias("expected_sha256")).distinct()
+    # rows without an archive get a key of their own: as null keys they would all meet in one task
+    r = r.withColumn("key", F.coalesce("key", F.concat(F.lit("\u0000"), "id")))
+    return r.join(a, "key", "left").select("id", "expected_sha256", F.col("a.sha256").alias("archive_sha256"), F.coalesce(F.col("a.sha256") == F.col("expected_sha256"), F.lit(False)).alias("ok"))
+
+
 def shared_targets(citations: DataFrame) -> DataFrame:
-    """(legal_node_id, n): nodes that more than one citation leads to."""
-    return citations.select("id", "legal_node_id").where("trim(legal_node_id) <> ''").distinct().groupBy("legal_node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(legal_node_id, n): nodes that more than one citation leads to; keys compare without surrounding blanks and case."""
+    key = F.lower(stripped(F.col("legal_node_id")))
+    return citations.select("id", key.alias("legal_node_id")).where("legal_node_id <> ''").distinct().groupBy("legal_node_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def lifecycle(events: DataFrame, job: str, kind: str, at: str, failure: str, done: str) -> DataFrame:

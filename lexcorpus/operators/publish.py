@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexcorpus.operators.audit import assign_locators, nodes_once
 from lexcorpus.operators.hierarchy import hierarchy
 from lexcorpus.operators.versions import succession
-from lexcorpus.tables import stripped
+from lexcorpus.tables import records, stripped
 
 STATE = ["id", "document_id", "version_number", "effective_from", "effective_to", "content_hash", "parser_id", "status"]
 
@@ -39,7 +39,7 @@ def publish(versions: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
     )
     number = F.coalesce("top", F.lit(0)) + 1
     made = decided.where("decision <> 'unchanged'").select(
-        F.substring(F.sha2(F.concat_ws("|", "document_id", number.cast("string")), 256), 1, 12).alias("id"),
+        F.sha2(F.concat_ws("|", "document_id", number.cast("string")), 256).alias("id"),
         "document_id",
         number.alias("version_number"),
         F.when(F.col("decision") != "canonicalization", F.col("n_from")).alias("effective_from"),
@@ -65,6 +65,33 @@ def migrate(documents: DataFrame, articles: DataFrame, archives: DataFrame, kind
     return j.select("document_id", F.when(migrated, "migrated").otherwise("no_matching_archive").alias("outcome"), "document_type", F.when(migrated, F.coalesce("n", F.lit(0)) + 1).otherwise(0).alias("n_nodes"), F.when(migrated, F.col("first_locator")).alias("first_locator"))
 
 
+def migrated_rows(documents: DataFrame, articles: DataFrame, archives: DataFrame, kind: Column) -> dict[str, DataFrame]:
+    """The rows that :func:`migrate` makes of the documents it accepts: ``sources``, ``documents``, ``versions``, ``nodes``, ``audit``.
+
+    Ids are hashes of the legacy ids, so running it again gives the same rows. Bounds of versions are
+    unknown. A root node and one article for each legacy article make the tree; ``audit`` says what became of each document.
+    """
+    made = lambda mark, c: F.sha2(F.concat(F.lit(f"{mark}|"), c), 256)
+    outcome = migrate(documents, articles, archives, kind)
+    key = F.lower(stripped(F.col("archive_id")))
+    d = records(documents.where("id is not null"), "id", ["title", "law_id", "source_url", "jurisdiction", "content_sha256", "archive_id"], ["ingested_at"])
+    d = d.join(outcome.where("outcome = 'migrated'").select(F.col("document_id").alias("id"), "document_type"), "id")
+    a = archives.where("id is not null").groupBy(F.lower(stripped(F.col("id"))).alias("key")).agg(F.max(F.struct("fetched_at", "authority", "source_type", "jurisdiction")).alias("a"))
+    sources = d.select(key.alias("key")).distinct().join(a, "key").select("a.authority", "a.source_type", "a.jurisdiction").distinct()
+    nothing = F.lit(None).cast("timestamp_ntz")
+    out_documents = d.select(made("d", F.col("id")).alias("id"), F.col("id").alias("legacy_id"), "document_type", "title", F.col("law_id").alias("document_number"), "jurisdiction", F.col("source_url").alias("canonical_url"), F.lit("IN_FORCE").alias("status"))
+    versions = d.select(
+        made("v", F.col("id")).alias("id"), made("d", F.col("id")).alias("document_id"), F.lit(1).alias("version_number"), nothing.alias("effective_from"), nothing.alias("effective_to"), F.col("content_sha256").alias("content_hash"), F.lit("legacy-import").alias("parser_id"), F.lit("PUBLISHED").alias("status"), key.alias("archive_record_id")
+    )
+    roots = d.select(made("r", F.col("id")).alias("id"), made("v", F.col("id")).alias("document_version_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("DOCUMENT").alias("node_type"), F.lit(None).cast("string").alias("article"), "title", F.col("title").alias("text"), F.lit("doc").alias("source_locator"))
+    text = records(articles.where("id is not null"), "id", ["text", "title", "article_number"]).select(F.col("id"), "text", "title", "article_number")
+    placed = assign_locators(articles).select("id", "document_id", "source_locator").join(d.select(F.col("id").alias("document_id")), "document_id", "left_semi").join(text, "id")
+    leaves = placed.select(made("n", F.concat_ws("|", "document_id", "id")).alias("id"), made("v", F.col("document_id")).alias("document_version_id"), made("r", F.col("document_id")).alias("parent_id"), F.lit("ARTICLE").alias("node_type"), F.col("article_number").alias("article"), "title", "text", "source_locator")
+    nodes = roots.unionByName(leaves).withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    audit = outcome.select(F.col("document_id").alias("legacy_id"), F.when(F.col("outcome") == "migrated", made("d", F.col("document_id"))).alias("entity_id"), F.lit("legacy_backfill").alias("action"), "outcome")
+    return {"sources": sources, "documents": out_documents, "versions": versions, "nodes": nodes, "audit": audit}
+
+
 def locator_changes(nodes: DataFrame, versions: DataFrame) -> DataFrame:
     """(id, replaces_id, n_missing, n_unexpected): locators a version lost and gained against the one before it."""
     pairs = succession(versions).where("replaces_id is not null").select("id", "replaces_id")
@@ -87,8 +114,11 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
 def cascade(nodes: DataFrame, doomed: DataFrame) -> DataFrame:
     """(node_id): what goes with the nodes ``doomed`` (id): they and everything below them."""
-    walked = hierarchy(nodes, newest=["updated_at"])
-    below = walked.where("path is not null").select("node_id", F.explode("path").alias("id")).join(doomed.select("id").distinct(), "id", "left_semi").select("node_id")
+    ids = doomed.select("id").distinct()
+    walked = hierarchy(nodes, newest=["updated_at"]).where("path is not null")
+    # only trees with a doomed node are spread out
+    trees = walked.join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi").select("root_id").distinct()
+    below = walked.join(trees, "root_id", "left_semi").select("node_id", F.explode("path").alias("id")).join(ids, "id", "left_semi").select("node_id")
     return below.unionByName(doomed.select(F.col("id").alias("node_id"))).distinct()
 
 

@@ -81,8 +81,32 @@ def version_structure(s: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_totals(s: SparkSession, d: str) -> DataFrame:
+    """One row: sums over the structure of all versions, citations that lead back and don't, and what dates of published versions allow."""
     v = version_structure(s, d)
-    return v.agg(F.count(F.lit(1)).alias("versions"), *[F.sum(c).alias(c) for c in ("nodes", "orphans", "invalid_parents", "incompatible_types", "duplicate_locators")], F.count_if(F.col("result") == "PASS").alias("passed"))
+    sums = v.agg(F.count(F.lit(1)).alias("versions"), *[F.sum(c).alias(c) for c in ("nodes", "orphans", "invalid_parents", "incompatible_types", "duplicate_locators")], F.count_if(F.col("result") == "PASS").alias("passed"))
+    failing = citation_roundtrip(s, d).agg(F.countDistinct("citation_id").alias("roundtrip_failing"))
+    citations = table(s, d, "citation_entries").agg(F.countDistinct("id").alias("citations"))
+    dated = F.col("effective_from").isNotNull() & F.col("effective_to").isNotNull()
+    published = F.col("status") == "PUBLISHED"
+    dates = _v(s, d).distinct().agg(F.count_if(published).alias("published"), F.count_if(published & ~dated).alias("as_of_gaps"), F.count_if(F.col("status") == "SUPERSEDED").alias("superseded"))
+    # four rows of totals as one
+    four = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [sums, failing, citations, dates])
+    one = four.agg(*[F.max(c).alias(c) for c in four.columns])
+    available = lambda c: F.when(c, "available").otherwise("unavailable")
+    return one.withColumns({
+        "roundtrip_ok": F.col("citations") - F.col("roundtrip_failing"),
+        "current": available(F.col("published") > 0),
+        "historical": available((F.col("published") > 0) & (F.col("as_of_gaps") == 0)),
+        "gaps": F.concat_ws(",", F.when(F.col("as_of_gaps") > 0, "as_of_gap"), F.when(F.col("superseded") == 0, "version_history_gap")),
+    })
+
+
+def orphan_citations(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "citation_entries").join(_v(s, d).select(F.col("id").alias("document_version_id")).distinct(), "document_version_id", "left_anti").select("id", "document_version_id").distinct()
+
+
+def repeated_articles(s: SparkSession, d: str) -> DataFrame:
+    return audit.repeats(table(s, d, "legal_knowledge_articles").where("article_number is not null"), ["document_id", "article_number"], ["ord", "id"])
 
 
 def parent_violations(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_version, current_version, published_overlap, published_overlap_half_open, supersede_chain, next_version, version_violations, version_provenance, locator_assign, locator_collisions, collision_detail, duplicate_locators, orphan_versions,
-        data_quality, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, offenders, table_counts,
+        data_quality, orphan_citations, repeated_articles, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, offenders, table_counts,
     )
 }
 
@@ -193,7 +217,14 @@ UNION ALL SELECT 'versions_without_document', (SELECT count(*) FROM v WHERE docu
 UNION ALL SELECT 'duplicate_version_numbers', (SELECT count(*) FROM (SELECT 1 FROM v GROUP BY document_id, version_number HAVING count(*) > 1))
 UNION ALL SELECT 'nodes_delivered_twice', (SELECT count(*) FROM (SELECT 1 FROM legal_nodes GROUP BY id HAVING count(*) > 1))""",
     "version_structure": f"WITH {_STRUCTURE} SELECT * FROM z",
-    "corpus_totals": f"WITH {_STRUCTURE} SELECT count(*) AS versions, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(orphans) AS BIGINT) AS orphans, CAST(sum(invalid_parents) AS BIGINT) AS invalid_parents, CAST(sum(incompatible_types) AS BIGINT) AS incompatible_types, CAST(sum(duplicate_locators) AS BIGINT) AS duplicate_locators, count(*) FILTER (result = 'PASS') AS passed FROM z",
+    "corpus_totals": f"""WITH {_STRUCTURE}, q AS (WITH {_TRIP} SELECT count(DISTINCT citation_id) AS failing FROM f), c AS (SELECT count(DISTINCT id) AS citations FROM citation_entries),
+w AS (SELECT count(*) FILTER (status = 'PUBLISHED') AS published, count(*) FILTER (status = 'PUBLISHED' AND (effective_from IS NULL OR effective_to IS NULL)) AS as_of_gaps, count(*) FILTER (status = 'SUPERSEDED') AS superseded FROM (SELECT DISTINCT * FROM legal_document_versions)),
+s AS (SELECT count(*) AS versions, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(orphans) AS BIGINT) AS orphans, CAST(sum(invalid_parents) AS BIGINT) AS invalid_parents, CAST(sum(incompatible_types) AS BIGINT) AS incompatible_types, CAST(sum(duplicate_locators) AS BIGINT) AS duplicate_locators, count(*) FILTER (result = 'PASS') AS passed FROM z)
+SELECT s.*, failing AS roundtrip_failing, citations, published, as_of_gaps, superseded, citations - failing AS roundtrip_ok, CASE WHEN published > 0 THEN 'available' ELSE 'unavailable' END AS current, CASE WHEN published > 0 AND as_of_gaps = 0 THEN 'available' ELSE 'unavailable' END AS historical,
+  concat_ws(',', CASE WHEN as_of_gaps > 0 THEN 'as_of_gap' END, CASE WHEN superseded = 0 THEN 'version_history_gap' END) AS gaps FROM s, q, c, w""",
+    "orphan_citations": "SELECT DISTINCT id, document_version_id FROM citation_entries c WHERE NOT EXISTS (SELECT 1 FROM legal_document_versions v WHERE v.id = c.document_version_id)",
+    "repeated_articles": """WITH r AS (SELECT DISTINCT id, document_id, article_number, ord FROM legal_knowledge_articles WHERE article_number IS NOT NULL), f AS (SELECT document_id, article_number, arg_min(id, (ord, id)) AS first_id FROM r GROUP BY 1, 2)
+SELECT DISTINCT document_id, article_number, id, first_id FROM r JOIN f USING (document_id, article_number) WHERE id <> first_id""",
     "parent_violations": f"WITH {_REPORT} SELECT * FROM r WHERE orphan OR foreign_parent OR invalid_parent OR incompatible",
     "parse_shape": f"WITH {_N} SELECT document_version_id, count(*) AS n_nodes, " + ", ".join(f"count(*) FILTER (node_type = '{t}') AS n_{t.lower()}" for t in ("BOOK", "CHAPTER", "ARTICLE", "PARAGRAPH", "CLAUSE", "SUB_CLAUSE", "ANNEX")) + ", count(*) FILTER (node_type = 'ARTICLE' AND contains(article, '^')) AS n_inserted, count(*) - count(DISTINCT source_locator) AS n_surplus_locators FROM n GROUP BY 1",
     "citation_roundtrip": f"WITH {_TRIP} SELECT * FROM f",

@@ -19,6 +19,10 @@ SUFFIXES = [".test"]
 SPLIT = "2019-06-01"
 
 
+#: Numbers that say nothing (fixed values).
+UNKNOWN = ["", "0", "n/a", "тодорхойгүй"]
+
+
 def archive_put_if_absent(s: SparkSession, d: str) -> DataFrame:
     return I.put_if_absent(table(s, d, "documents"), "doc_id", "text")
 
@@ -34,7 +38,10 @@ def archive_integrity(s: SparkSession, d: str) -> DataFrame:
 def discover_classify(s: SparkSession, d: str) -> DataFrame:
     k = table(s, d, "legal_knowledge_documents")
     at = F.lit(SPLIT).cast("timestamp_ntz")
-    return I.classify(k.where(F.col("ingested_at") >= at), k.where(F.col("ingested_at") < at), ["law_id"], "content_sha256")
+    # an unknown number doesn't make one act of all: there the address is the key
+    number = F.trim("law_id")
+    k = k.withColumn("act", F.when(F.coalesce(number, F.lit("")).isin(*UNKNOWN), F.concat(F.lit("at "), F.coalesce("source_url", "id"))).otherwise(number))
+    return I.classify(k.where(F.col("ingested_at") >= at), k.where(F.col("ingested_at") < at), ["act"], "content_sha256")
 
 
 def run_counters(s: SparkSession, d: str) -> DataFrame:
@@ -59,6 +66,14 @@ def replace_version(s: SparkSession, d: str) -> DataFrame:
     return I.replace_versions(n.where("updated_at = created_at").select(*c), n.where("updated_at > created_at").select(*c)).groupBy("document_version_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
 
 
+def publish_counters(s: SparkSession, d: str) -> DataFrame:
+    return publish_decision(s, d).groupBy("decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def archive_link(s: SparkSession, d: str) -> DataFrame:
+    return I.archived_bytes(table(s, d, "legal_knowledge_documents"), table(s, d, "legal_source_archives"), "archive_id", "content_sha256")
+
+
 def publish_decision(s: SparkSession, d: str) -> DataFrame:
     return I.publish_decisions(table(s, d, "legal_document_versions"))
 
@@ -233,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         archive_put_if_absent, catalog_reuse, archive_integrity, discover_classify, run_counters, merge_upsert, insert_missing, replace_version, publish_decision, reconcile, reconcile_totals, shared_targets, job_lifecycle, pending_download,
-        gate_reasons, parse_confidence, labelled_dates, parsed_pages, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
+        gate_reasons, publish_counters, archive_link, parse_confidence, labelled_dates, parsed_pages, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
         line_classes, line_context, parse_provisions, page_links,
     )
 }
@@ -245,9 +260,10 @@ _LAWID = "coalesce(nullif(regexp_extract({0}, '(?i)[?&]lawid=([^&#]+)', 1), ''),
 _ORIGIN = "coalesce(lower(nullif(regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), '')), {0})"
 _HOST = "lower(nullif(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), ''))"
 _PAGES = "p AS (SELECT id, coalesce(title, '') AS title, '<html><head><title> ' || coalesce(title, '') || '</title><style>p {color: red}</style></head><body><nav>menu</nav><h1>' || coalesce(article, '') || '</h1><p>' || coalesce(source_locator, '') || '</p><div>' || coalesce(text, '') || ' 11 .1<sup>2</sup>&nbsp;&amp; <b>end</b></div><br/>Word list<script>x()</script></body></html>' AS html FROM n)"
-_CLASSIFIED = f"""i AS (SELECT law_id, max(content_sha256) AS s FROM legal_knowledge_documents WHERE ingested_at >= TIMESTAMP '{SPLIT}' GROUP BY 1),
-o AS (SELECT law_id, list(content_sha256) AS l FROM legal_knowledge_documents WHERE ingested_at < TIMESTAMP '{SPLIT}' GROUP BY 1),
-x AS (SELECT i.law_id, CASE WHEN l IS NULL THEN 'inserted' WHEN list_contains(l, s) THEN 'duplicate' ELSE 'updated' END AS outcome FROM i LEFT JOIN o ON i.law_id IS NOT DISTINCT FROM o.law_id)"""
+_CLASSIFIED = f"""k AS (SELECT *, CASE WHEN coalesce(trim(law_id), '') IN ({", ".join(repr(x) for x in UNKNOWN)}) THEN 'at ' || coalesce(source_url, id) ELSE trim(law_id) END AS act FROM legal_knowledge_documents),
+i AS (SELECT act, max(content_sha256) AS s FROM k WHERE ingested_at >= TIMESTAMP '{SPLIT}' GROUP BY 1),
+o AS (SELECT act, list(content_sha256) AS l FROM k WHERE ingested_at < TIMESTAMP '{SPLIT}' GROUP BY 1),
+x AS (SELECT i.act, CASE WHEN l IS NULL THEN 'inserted' WHEN list_contains(l, s) THEN 'duplicate' ELSE 'updated' END AS outcome FROM i LEFT JOIN o USING (act))"""
 _RECON = f"""{_N}, c AS (SELECT DISTINCT id, legal_node_id, document_version_id, locator, exact_text FROM citation_entries),
 x AS (SELECT c.id AS citation_id, CASE WHEN n.id IS NULL THEN 'missing_node' WHEN n.document_version_id <> c.document_version_id THEN 'other_version' WHEN source_locator <> locator THEN 'other_locator'
   WHEN n.text IS DISTINCT FROM exact_text THEN CASE WHEN starts_with(n.text, exact_text) THEN 'shortened_text' ELSE 'other_text' END ELSE 'matched' END AS outcome FROM c LEFT JOIN n ON n.id = c.legal_node_id)"""
@@ -292,9 +308,12 @@ UNION ALL SELECT DISTINCT id, 'empty' FROM a WHERE coalesce(byte_size, 0) <= 0 U
     "insert_missing": f"WITH t AS (SELECT DISTINCT id, source_type, jurisdiction, base_url FROM legal_sources), a AS (SELECT min(source_id) AS id, {_MAPPED} AS st, jurisdiction, {_ORIGIN.format('original_url')} AS base_url FROM legal_source_archives GROUP BY 2, 3, 4) SELECT * FROM t UNION ALL SELECT id, st, jurisdiction, base_url FROM a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.source_type = a.st AND t.jurisdiction = a.jurisdiction AND t.base_url = a.base_url)",
     "replace_version": "WITH n AS (SELECT DISTINCT id, document_version_id, source_locator, content_hash, created_at, updated_at FROM legal_nodes), u AS (SELECT * FROM n WHERE updated_at > created_at), r AS (SELECT * FROM n WHERE updated_at = created_at AND document_version_id NOT IN (SELECT document_version_id FROM u) UNION ALL SELECT * FROM u) SELECT document_version_id, count(*) AS n, min(id) AS first_id FROM r GROUP BY 1",
     "publish_decision": "WITH v AS (SELECT DISTINCT id, document_id, version_number, content_hash, parser_id FROM legal_document_versions), w AS (SELECT *, min(version_number) OVER (PARTITION BY document_id) AS a, min(version_number) OVER (PARTITION BY document_id, content_hash) AS b, min(version_number) OVER (PARTITION BY document_id, content_hash, parser_id) AS c FROM v) SELECT id, document_id, version_number, CASE WHEN version_number = a THEN 'new_document' WHEN c < version_number THEN 'unchanged' WHEN b < version_number THEN 'canonicalization' ELSE 'source_update' END AS decision FROM w",
+    "publish_counters": "SELECT decision, count(*) AS n FROM (WITH v AS (SELECT DISTINCT id, document_id, version_number, content_hash, parser_id FROM legal_document_versions), w AS (SELECT *, min(version_number) OVER (PARTITION BY document_id) AS a, min(version_number) OVER (PARTITION BY document_id, content_hash) AS b, min(version_number) OVER (PARTITION BY document_id, content_hash, parser_id) AS c FROM v) SELECT id, document_id, version_number, CASE WHEN version_number = a THEN 'new_document' WHEN c < version_number THEN 'unchanged' WHEN b < version_number THEN 'canonicalization' ELSE 'source_update' END AS decision FROM w) GROUP BY 1",
+    "archive_link": """WITH a AS (SELECT lower(trim(id)) AS key, arg_max(sha256, (fetched_at, sha256)) AS h FROM legal_source_archives GROUP BY 1), k AS (SELECT DISTINCT id, lower(trim(archive_id)) AS key, content_sha256 FROM legal_knowledge_documents)
+SELECT id, content_sha256 AS expected_sha256, h AS archive_sha256, coalesce(h = content_sha256, false) AS ok FROM k LEFT JOIN a USING (key)""",
     "reconcile": f"WITH {_RECON} SELECT * FROM x",
     "reconcile_totals": f"WITH {_RECON} SELECT outcome, count(*) AS n FROM x GROUP BY 1",
-    "shared_targets": "SELECT legal_node_id, count(DISTINCT id) AS n FROM citation_entries WHERE trim(legal_node_id) <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1",
+    "shared_targets": "SELECT lower(trim(legal_node_id)) AS legal_node_id, count(DISTINCT id) AS n FROM citation_entries WHERE trim(legal_node_id) <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "job_lifecycle": "SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) AS last_kind, count(*) FILTER (event_type = 'error') AS retry_count, count(*) AS n_events, arg_max(event_type, (ts, event_id)) = 'purchase' AS finished FROM events GROUP BY 1",
     "pending_download": "SELECT DISTINCT id FROM legal_knowledge_documents k WHERE NOT EXISTS (SELECT 1 FROM legal_source_archives a WHERE lower(trim(a.id)) = lower(trim(k.archive_id)))",
     "gate_reasons": f"""WITH {_REPORT}, {_FACTS}, av AS (SELECT DISTINCT id, archive_record_id, version_number, content_hash FROM legal_document_versions WHERE archive_record_id IS NOT NULL),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexcorpus.functions import payload as P
+from lexcorpus.operators import ingest as I
 from lexcorpus.operators import publish as P2
 from lexcorpus.operators.hierarchy import descendants, hierarchy
 from lexcorpus.plans.corpus import _BLANK, _N
@@ -26,6 +27,28 @@ def migrate_corpus(s: SparkSession, d: str) -> DataFrame:
     return P2.migrate(table(s, d, "legal_knowledge_documents"), table(s, d, "legal_knowledge_articles"), table(s, d, "legal_source_archives"), P.title_type(F.col("title")))
 
 
+def _migrated(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return P2.migrated_rows(table(s, d, "legal_knowledge_documents"), table(s, d, "legal_knowledge_articles"), table(s, d, "legal_source_archives"), P.title_type(F.col("title")))
+
+
+def migrate_nodes(s: SparkSession, d: str) -> DataFrame:
+    return _migrated(s, d)["nodes"].select("id", "document_version_id", "parent_id", "node_type", "article", "source_locator", "content_hash")
+
+
+def migrate_audit(s: SparkSession, d: str) -> DataFrame:
+    rows = _migrated(s, d)
+    kept = rows["documents"].join(rows["versions"].select(F.col("document_id").alias("id"), F.col("id").alias("version_id")), "id")
+    return rows["audit"].join(kept.select("legacy_id", "version_id", "document_number"), "legacy_id", "left")
+
+
+def migrate_reconcile(s: SparkSession, d: str) -> DataFrame:
+    rows = _migrated(s, d)
+    mapping = rows["documents"].select("legacy_id", F.col("id").alias("document_id")).join(rows["versions"].select("document_id", F.col("id").alias("document_version_id")), "document_id")
+    # what became of the articles once every blank text was dropped and the numbers were tidied
+    later = rows["nodes"].where("trim(text) <> ''").withColumn("article", F.trim(F.regexp_replace("article", "[^0-9]+$", ""))).withColumn("updated_at", F.lit(0))
+    return I.reconcile_migration(table(s, d, "legal_knowledge_articles"), mapping, later)
+
+
 def locator_changes(s: SparkSession, d: str) -> DataFrame:
     return P2.locator_changes(table(s, d, "legal_nodes"), table(s, d, "legal_document_versions"))
 
@@ -53,12 +76,26 @@ def latest_editions(s: SparkSession, d: str) -> DataFrame:
     return P2.latest_editions(table(s, d, "legal_knowledge_documents"))
 
 
-QUERIES = {f.__name__: f for f in (publish_apply, migrate_corpus, locator_changes, tree_preorder, cascade_closure, subtree_sizes, node_violations, latest_editions)}
+QUERIES = {f.__name__: f for f in (publish_apply, migrate_corpus, migrate_nodes, migrate_audit, migrate_reconcile, locator_changes, tree_preorder, cascade_closure, subtree_sizes, node_violations, latest_editions)}
 
 _PAIRS = """e AS (SELECT id, arg_max(parent_id, (updated_at, parent_id)) AS parent_id FROM legal_nodes GROUP BY id),
 t AS (SELECT e.id, [] :: VARCHAR[] AS up FROM e LEFT JOIN e p ON e.parent_id = p.id WHERE p.id IS NULL UNION ALL SELECT e.id, list_prepend(t.id, t.up) FROM e JOIN t ON e.parent_id = t.id)"""
 
+_MIGRATED = """k AS (SELECT id, unnest(arg_max(struct_pack(title, law_id, source_url, jurisdiction, content_sha256, archive_id), (ingested_at, title, law_id, source_url, jurisdiction, content_sha256, archive_id))) FROM legal_knowledge_documents WHERE id IS NOT NULL GROUP BY id),
+b AS (SELECT id FROM legal_knowledge_documents GROUP BY id HAVING max(lower(trim(archive_id))) IN (SELECT lower(trim(id)) FROM legal_source_archives)),
+m AS (SELECT k.* FROM k JOIN b USING (id)),
+r AS (SELECT DISTINCT id, document_id, ord, 'article-' || coalesce(article_number, CAST(ord AS VARCHAR)) AS base FROM legal_knowledge_articles),
+w AS (SELECT *, row_number() OVER (PARTITION BY document_id, base ORDER BY ord, id) AS i FROM r),
+l AS (SELECT id, document_id, CASE WHEN i = 1 THEN base ELSE base || '__legacyId-' || id END AS source_locator FROM w),
+x AS (SELECT id, unnest(arg_max(struct_pack(text, title, article_number), (text, title, article_number))) FROM legal_knowledge_articles GROUP BY id)"""
+
 ORACLE = {
+    "migrate_nodes": f"""WITH {_MIGRATED} SELECT sha256('r|' || id) AS id, sha256('v|' || id) AS document_version_id, NULL :: VARCHAR AS parent_id, 'DOCUMENT' AS node_type, NULL :: VARCHAR AS article, 'doc' AS source_locator, sha256(coalesce(title, '')) AS content_hash FROM m
+UNION ALL SELECT sha256('n|' || l.document_id || '|' || l.id), sha256('v|' || l.document_id), sha256('r|' || l.document_id), 'ARTICLE', article_number, source_locator, sha256(coalesce(text, '')) FROM l JOIN x USING (id) WHERE l.document_id IN (SELECT id FROM m)""",
+    "migrate_audit": f"""WITH {_MIGRATED}, o AS (SELECT DISTINCT id FROM legal_knowledge_documents) SELECT o.id AS legacy_id, CASE WHEN m.id IS NOT NULL THEN sha256('d|' || o.id) END AS entity_id, 'legacy_backfill' AS action, CASE WHEN m.id IS NOT NULL THEN 'migrated' ELSE 'no_matching_archive' END AS outcome,
+  CASE WHEN m.id IS NOT NULL THEN sha256('v|' || o.id) END AS version_id, m.law_id AS document_number FROM o LEFT JOIN m USING (id)""",
+    "migrate_reconcile": f"""WITH {_MIGRATED} SELECT l.id AS article_id, l.document_id, source_locator AS expected_locator, CASE WHEN m.id IS NULL THEN 'document_not_found' WHEN trim(coalesce(x.text, '')) = '' THEN 'missing'
+  WHEN trim(regexp_replace(x.article_number, '[^0-9]+$', '')) IS DISTINCT FROM x.article_number THEN 'other_number' ELSE 'matched' END AS outcome FROM l JOIN x USING (id) LEFT JOIN m ON m.id = l.document_id""",
     "publish_apply": f"""WITH v AS (SELECT DISTINCT id, document_id, version_number, effective_from, effective_to, content_hash, parser_id, status FROM legal_document_versions),
 l AS (SELECT document_id, max(version_number) AS top, arg_max(CASE WHEN status = 'PUBLISHED' THEN content_hash ELSE sha256(content_hash) END, (version_number, id)) AS h FROM v GROUP BY 1),
 c AS (SELECT l.document_id, top, h, CASE WHEN bool_or(v.content_hash = h AND parser_id = 'reparsed') THEN 'unchanged' WHEN bool_or(v.content_hash = h) THEN 'canonicalization' ELSE 'source_update' END AS decision FROM l JOIN v USING (document_id) GROUP BY 1, 2, 3)

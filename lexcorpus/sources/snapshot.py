@@ -35,18 +35,17 @@ def read(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(f"{table}/{state}") if state else None
 
 
-def write(df: DataFrame, table: str, checks: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
-    """Write ``df`` as the next state. Each check gives the offending rows; if any gives a row, nothing changes and ValueError is raised."""
-    spark = df.sparkSession
-    state = f"state-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{state}")
-    written = spark.read.schema(df.schema).parquet(f"{table}/{state}")
-    for check in checks:
-        bad = check(written).take(5)
+def _reject(spark: SparkSession, state: str, found: dict[str, DataFrame]) -> None:
+    """Remove the new state and raise ValueError if a check gave a row."""
+    for name, rows in found.items():
+        bad = rows.take(5)
         if bad:
-            fs, p = _fs(spark, f"{table}/{state}")
+            fs, p = _fs(spark, state)
             fs.delete(p, True)
-            raise ValueError(f"rejected: {bad}")
+            raise ValueError(f"rejected by {name}: {bad}")
+
+
+def _switch(spark: SparkSession, table: str, state: str) -> None:
     fs, part = _fs(spark, f"{table}/{state}.part")
     out = fs.create(part, True)
     out.write(bytearray(state.encode()))
@@ -56,4 +55,33 @@ def write(df: DataFrame, table: str, checks: list[Callable[[DataFrame], DataFram
     options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
     options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
     context.rename(part, current, options)
+
+
+def write(df: DataFrame, table: str, checks: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """Write ``df`` as the next state. Each check gives the offending rows; if any gives a row, nothing changes and ValueError is raised."""
+    spark = df.sparkSession
+    state = f"state-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/{state}")
+    written = spark.read.schema(df.schema).parquet(f"{table}/{state}")
+    _reject(spark, f"{table}/{state}", {f"check {i}": check(written) for i, check in enumerate(checks)})
+    _switch(spark, table, state)
+    return written
+
+
+def read_all(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame] | None:
+    """The tables of the current state written by :func:`write_all`; None where there is none."""
+    state = _current(spark, folder)
+    return {n: spark.read.parquet(f"{folder}/{state}/{n}") for n in names} if state else None
+
+
+def write_all(tables: dict[str, DataFrame], folder: str, checks: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """Write several tables as one next state: readers see all of them change, or none. Checks as in :func:`write`, over all tables."""
+    spark = next(iter(tables.values())).sparkSession
+    state = f"state-{uuid.uuid4().hex}"
+    written = {}
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{state}/{name}")
+        written[name] = spark.read.schema(df.schema).parquet(f"{folder}/{state}/{name}")
+    _reject(spark, f"{folder}/{state}", {name: check(written) for name, check in (checks or {}).items()})
+    _switch(spark, folder, state)
     return written

@@ -117,6 +117,48 @@ def test_write_paths(spark):
     assert {r.k: r.outcome for r in got.collect()} == {"a": "duplicate", "b": "updated", "c": "inserted", None: "duplicate"}
 
 
+def test_null_keys_shared_targets_and_repeats(spark):
+    base = spark.createDataFrame([("a", None), ("b", "k")], "id string, k string")
+    rows = spark.createDataFrame([("c", None), ("d", "k"), ("e", "n")], base.schema)
+    assert {r.id for r in ingest.insert_missing(base, rows, ["k"]).collect()} == {"a", "b", "e"}
+    cites = spark.createDataFrame([("c1", "N1"), ("c2", " n1 "), ("c2", " n1 "), ("c3", "n2"), ("c4", " "), ("c5", None)], "id string, legal_node_id string")
+    assert [tuple(r) for r in ingest.shared_targets(cites).collect()] == [("n1", 2)]
+    arts = spark.createDataFrame([("x", "d", 2), ("y", "d", 1), ("y", "d", 1), ("z", "e", 1)], "id string, k string, ord int")
+    assert [tuple(r) for r in audit.repeats(arts, ["k"], ["ord", "id"]).collect()] == [("d", "x", "y")]
+    dup = spark.createDataFrame([node("a", "v", None, "DOCUMENT", "doc"), node("b", "v", "a", "ARTICLE", "art-1"), node("c", "v", "a", "ARTICLE", "art-1")], NODE)
+    assert [tuple(r) for r in audit.duplicate_keys(audit.nodes_once(dup, audit.PLACE), ["document_version_id", "source_locator"]).collect()] == [("v", "art-1", 2)]
+    links = spark.createDataFrame([("a", "b", "r"), ("b", "c", "r"), ("c", "d", "r")], "from_node string, to_node string, relation string")
+    gone, kept = spark.createDataFrame([("b",), ("d",)], "id string"), spark.createDataFrame([("d",)], "id string")
+    assert [tuple(r) for r in ingest.replace_relations(links, gone, kept).collect()] == [("c", "d", "r")]
+    docs = spark.createDataFrame([("k1", " A1", "h"), ("k2", "a1", "g"), ("k3", None, "h"), ("k4", "none", None)], "id string, archive_id string, h string")
+    kept = spark.createDataFrame([("a1", "old", D(2020, 1, 1)), ("a1", "h", D(2021, 1, 1))], "id string, sha256 string, fetched_at timestamp_ntz")
+    assert {(r.id, r.archive_sha256, r.ok) for r in ingest.archived_bytes(docs, kept, "archive_id", "h").collect()} == {("k1", "h", True), ("k2", "h", False), ("k3", None, False), ("k4", None, False)}
+
+
+def test_persist_is_all_or_nothing(spark, tmp_path):
+    from lexcorpus.sources import corpus_store
+
+    at = f"file://{tmp_path}/corpus"
+    docs = spark.createDataFrame([("d", "t", T)], "id string, title string, updated_at timestamp_ntz")
+    version = lambda i, n, a, b, status="PUBLISHED": (i, "d", n, a, b, "h", "p", status, "x", None)
+    one = spark.createDataFrame([version("v1", 1, D(2020, 1, 1), D(2021, 1, 1))], VERSION)
+    nodes = lambda v, n: spark.createDataFrame([node(f"r{v}", v, None, "DOCUMENT", "doc"), *(node(f"{v}a{i}", v, f"r{v}", "ARTICLE", f"art-{i}") for i in range(1, n + 1))], NODE)
+    links = spark.createDataFrame([("v1a2", "v1a1", "refers"), ("x", "v1a1", "refers")], corpus_store.RELATIONS)
+    corpus_store.persist(at, docs, one, nodes("v1", 2), links)
+    for bad in (
+        lambda: corpus_store.persist(at, docs, spark.createDataFrame([version("v2", 2, D(2020, 6, 1), None)], VERSION), nodes("v2", 1)),
+        lambda: corpus_store.persist(at, docs, spark.createDataFrame([version("v2", 0, D(2022, 1, 1), None)], VERSION), nodes("v2", 1)),
+        lambda: corpus_store.persist(at, docs, one, spark.createDataFrame([node("q", "v1", "gone", "ARTICLE", "art-1")], NODE)),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+    assert snapshot.read_all(spark, at, corpus_store.TABLES)["nodes"].count() == 3
+    corpus_store.persist(at, docs, spark.createDataFrame([version("v1", 1, D(2020, 1, 1), D(2021, 1, 1)), version("v2", 2, D(2022, 1, 1), None)], VERSION), nodes("v1", 1).unionByName(nodes("v2", 3)))
+    now = snapshot.read_all(spark, at, corpus_store.TABLES)
+    assert (now["nodes"].count(), now["versions"].count(), now["documents"].count()) == (6, 2, 1)
+    assert [tuple(r) for r in now["relations"].collect()] == [("x", "v1a1", "refers")]  # the one with the replaced article is gone
+
+
 def test_snapshot(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     assert snapshot.read(spark, at) is None
