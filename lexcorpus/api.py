@@ -23,6 +23,7 @@ class Corpus:
     versions: DataFrame
     documents: DataFrame
     citations: DataFrame
+    index: search.Index | None = None  # of the nodes; without one a question scans them
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,10 @@ def retrieve(corpus: Corpus, request: Request) -> tuple[DataFrame, str]:
         elif request.citations:
             rows = _cited(corpus, [(i, *(c if isinstance(c, tuple) else (c, None)), None, None) for i, c in enumerate(request.citations)], at)
         elif request.question and request.question.strip():
-            best = search.open_question(nodes_once(corpus.nodes), corpus.versions, request.question, at)
+            if corpus.index:
+                best = search.open_question_indexed(corpus.index, corpus.versions, request.question, at)
+            else:
+                best = search.open_question(nodes_once(corpus.nodes), corpus.versions, request.question, at)
             rows = found.join(best.select(F.col("id").alias("node_id"), "score"), "node_id")
         else:
             rows = found.limit(0)

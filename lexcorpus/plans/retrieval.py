@@ -10,6 +10,7 @@ from lexcorpus.operators import retrieval as R
 from lexcorpus.operators import search as S
 from lexcorpus.operators.audit import nodes_once
 from lexcorpus.plans.corpus import _BLANK, _N
+from lexcorpus.staging import Stage
 from lexcorpus.tables import records, table
 
 QUESTION = "хариуцлага хүлээлгэх журам"
@@ -124,12 +125,32 @@ def token_overlap_score(s: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", S.token_overlap(docs, "text", QUESTION).alias("score")).where("score > 0")
 
 
+def _index(s: SparkSession, d: str) -> S.Index:
+    """The index of a folder's nodes, built once an application as long as its tables stay."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES or not _INDEXES[key][1].alive():
+        stage = Stage(s, "index")
+        _INDEXES[key] = (S.build_index(nodes_once(table(s, d, "legal_nodes"), ["document_version_id", "source_locator", "title", "text"]), stage.write), stage)
+    return _INDEXES[key][0]
+
+
+_INDEXES: dict[tuple[str, str], tuple[S.Index, Stage]] = {}
+
+
 def open_question(s: SparkSession, d: str) -> DataFrame:
-    return S.open_question(nodes_once(table(s, d, "legal_nodes")), table(s, d, "legal_document_versions"), QUESTION)
+    return S.open_question_indexed(_index(s, d), table(s, d, "legal_document_versions"), QUESTION).withColumn("score", F.round("score", 9))
 
 
 def open_question_asof(s: SparkSession, d: str) -> DataFrame:
-    return S.open_question(nodes_once(table(s, d, "legal_nodes")), table(s, d, "legal_document_versions"), QUESTION, "2015-06-01")
+    return S.open_question_indexed(_index(s, d), table(s, d, "legal_document_versions"), QUESTION, "2015-06-01").withColumn("score", F.round("score", 9))
+
+
+def open_question_scan(s: SparkSession, d: str) -> DataFrame:
+    return S.open_question(nodes_once(table(s, d, "legal_nodes"), ["document_version_id", "source_locator", "title", "text"]), table(s, d, "legal_document_versions"), TERMS).withColumn("score", F.round("score", 9))
+
+
+def index_postings(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).postings.groupBy("term").agg(F.countDistinct("id").alias("n_nodes"), F.count(F.lit(1)).alias("n_places"), F.max("at").alias("last_place"))
 
 
 def parse_citation(s: SparkSession, d: str) -> DataFrame:
@@ -150,7 +171,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         retrieve_authorities, citation_index, citation_backfill, missing_citations, verify_batch, verify_batch_asof, verify_phrases, verify_candidates, retrieve_citations_batch, relation_edges, relation_scope, fts_candidates, fts_websearch, trigram_titles,
-        trigram_title_topk, token_overlap_score, open_question, open_question_asof, parse_citation, normalize_citation, fold_citation,
+        trigram_title_topk, token_overlap_score, open_question, open_question_asof, open_question_scan, index_postings, parse_citation, normalize_citation, fold_citation,
     )
 }
 
@@ -220,6 +241,23 @@ def _tri(x: str) -> str:
 
 
 
+def _question(query: str, where: str, covers: str = "true") -> str:
+    """The scores of a question: places of its words, shortest spans, trigrams of titles and texts."""
+    terms = S._terms(query)
+    last = [f"max(CASE WHEN w = '{t}' THEN i END) OVER o" for t in terms]
+    ratio = "coalesce(len(list_intersect({0}, q)) / nullif(len({0}) + len(q) - len(list_intersect({0}, q)), 0), 0)"
+    return f"""WITH {_N}, w AS (SELECT id, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM n), h AS (SELECT * FROM w WHERE w IN ({", ".join(repr(t) for t in terms)})),
+a AS (SELECT id, i, {", ".join(f"{e} AS p{k}" for k, e in enumerate(last))} FROM h WINDOW o AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT id, i, CASE WHEN {" + ".join(f"p{k}" for k in range(len(terms)))} IS NOT NULL THEN least({", ".join(f"p{k}" for k in range(len(terms)))}) END AS start FROM a),
+c AS (SELECT *, lag(start) OVER (PARTITION BY id ORDER BY i) AS before FROM b),
+e AS (SELECT id, sum(0.1 :: DOUBLE / (1 + (i - start + 1 - {len(terms)}))) AS density FROM c WHERE start IS NOT NULL AND (before IS NULL OR start > before) GROUP BY 1),
+g AS (SELECT n.id, n.document_version_id, source_locator, title, {_tri("coalesce(title, '')")} AS tt, {_tri("coalesce(text, '')")} AS xt, {_tri(repr(query))} AS q, density FROM n LEFT JOIN e USING (id)),
+s AS (SELECT *, {ratio.format("tt")} AS ts, {ratio.format("xt")} AS xs FROM g),
+v AS (SELECT DISTINCT id AS document_version_id, document_id, effective_from, effective_to FROM legal_document_versions WHERE {where}),
+t AS (SELECT *, coalesce(density, 0) + 0.3 :: DOUBLE * xs + 0.8 :: DOUBLE * ts AS score FROM s JOIN v USING (document_version_id) WHERE density IS NOT NULL OR ts >= 0.3 ORDER BY score DESC, id LIMIT 20)
+SELECT document_id, source_locator, arg_max(id, (score, id)) AS id, arg_max(document_version_id, (score, id)) AS document_version_id, arg_max(struct_pack(title), (score, id)).title AS title, round(max(score), 9) AS score FROM t WHERE {covers} GROUP BY 1, 2"""
+
+
 _SIM = f"round(coalesce(len(list_intersect(t, q)) / nullif(len(t) + len(q) - len(list_intersect(t, q)), 0), 0), 6)"
 
 ORACLE = {
@@ -238,6 +276,10 @@ ORACLE = {
     "fts_websearch": f"WITH {_N} SELECT id, source_locator FROM n WHERE contains(' ' || array_to_string({_WORDS}, ' ') || ' ', ' нийт хууль ') OR (list_contains({_WORDS}, 'хариуцлага') AND NOT list_contains({_WORDS}, 'татвар'))",
     "trigram_titles": f"WITH x AS (SELECT DISTINCT id, title FROM legal_documents), y AS (SELECT id, title, {_tri('title')} AS t, {_tri(repr(QUESTION))} AS q FROM x) SELECT id, title, {_SIM} AS sim FROM y WHERE {_SIM} > 0",
     "trigram_title_topk": f"WITH {_N}, y AS (SELECT id, title, {_tri('title')} AS t, {_tri(repr(QUESTION))} AS q FROM n WHERE title IS NOT NULL) SELECT id, title, {_SIM} AS sim FROM y WHERE {_SIM} >= 0.3 ORDER BY sim DESC, id LIMIT 20",
+    "open_question": _question(QUESTION, "status = 'PUBLISHED'"),
+    "open_question_asof": _question(QUESTION, "status IN ('PUBLISHED', 'SUPERSEDED')", "effective_from <= TIMESTAMP '2015-06-01' AND TIMESTAMP '2015-06-01' < effective_to"),
+    "open_question_scan": _question(TERMS, "status = 'PUBLISHED'"),
+    "index_postings": f"WITH {_N}, w AS (SELECT id, unnest({_WORDS}) AS term, generate_subscripts({_WORDS}, 1) - 1 AS place FROM n) SELECT term, count(DISTINCT id) AS n_nodes, count(*) AS n_places, max(place) AS last_place FROM w GROUP BY 1",
     "token_overlap_score": "WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), y AS (SELECT doc_id, " + " + ".join(f"contains(t, '{w}') :: INT" for w in [*QUESTION.split(), QUESTION]) + " AS score FROM x) SELECT * FROM y WHERE score > 0",
     "parse_citation": f"WITH c AS (SELECT DISTINCT id, {_spaced('exact_text')} AS q FROM citation_entries), p AS (SELECT id, {_parsed('q')} FROM c) SELECT id, article, paragraph, {_LOC} AS locator, title_hint FROM p WHERE article IS NOT NULL",
 }

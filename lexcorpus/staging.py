@@ -76,6 +76,10 @@ class Stage:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.label, self.places = spark, label, []
 
+    def alive(self) -> bool:
+        """Whether its tables are still there."""
+        return bool(self.places) and all(p in _written for p in self.places)
+
     def clear(self) -> int:
         """Remove the tables of this call."""
         places, self.places = self.places, []

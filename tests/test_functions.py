@@ -113,4 +113,20 @@ def test_search_pieces(spark):
     assert [round(r.s, 3) for r in t.select(S.similarity(F.col("t"), "Намайг ажлаас үндэслэлгүй халсан").alias("s")).collect()][0] == 0.611
     hit = lambda q: [r.h for r in spark.createDataFrame([("big red dog",), ("red cat",)], "t string").select(S.websearch(S.lexemes(F.col("t")), q).alias("h")).collect()]
     assert hit("red") == [True, True] and hit('"red dog"') == [True, False] and hit("dog or cat") == [True, True] and hit("red -cat") == [True, False] and hit("  ") == [False, False]
-    assert S._covers(["a", "b"], {"a", "b"}) == pytest.approx(0.1) and S._covers(["a", "x", "b"], {"a", "b"}) == pytest.approx(0.05)
+    at = lambda words, q: [r.d for r in spark.createDataFrame([(words,)], "w array<string>").select(S.cover_density(F.col("w"), q).alias("d")).collect()][0]
+    assert at(["a", "b"], "a b") == pytest.approx(0.1) and at(["a", "x", "b"], "b a") == pytest.approx(0.05) and at(["a", "b", "a"], "a b") == pytest.approx(0.2)
+    assert at(["a", "x"], "a b") == 0 and at(None, "a") == 0 and at([], "a") == 0 and at(["a"], " ") == 0 and at(["b", "a", "a", "x", "b"], "a b") == pytest.approx(0.1 + 0.05)
+
+
+def test_index_gives_what_the_scan_gives(spark):
+    from lexcorpus.staging import Stage
+
+    rows = [("n1", "v1", "l1", "Ажлаас халах эрх", "Ажлаас үндэслэлгүй халах эрх"), ("n2", "v1", "l2", None, "халах ажлаас эрх халах"), ("n3", "v2", "l1", "Ажлаас халах эрх", None), ("n4", "v1", "l3", "Бусад", "эрх"), ("n5", "v1", "l1", "ажлаас халах эрхийн", "x"), ("n6", None, None, None, None)]
+    nodes = spark.createDataFrame([(*r, 1, "b") for r in rows], "id string, document_version_id string, source_locator string, title string, text string, bucket int, term string")
+    versions = spark.createDataFrame([("v1", "d1", "PUBLISHED", None, None), ("v2", "d2", "DRAFT", None, None)], "id string, document_id string, status string, effective_from timestamp_ntz, effective_to timestamp_ntz")
+    index = S.build_index(nodes, Stage(spark, "t").write)
+    for q in ("ажлаас халах эрх", "эрх", "zzz", " ", "халах ажлаас ажлаас"):
+        want = sorted(map(tuple, S.open_question(nodes, versions, q).collect()), key=repr)
+        assert sorted(map(tuple, S.open_question_indexed(index, versions, q).collect()), key=repr) == want
+    plan = S.indexed_candidates(index, "эрх")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan
