@@ -8,8 +8,8 @@ multiplicities. Every text then takes the place that its rank among texts of its
 plan; ranks come from partition counts, so a length shared by a third of all texts is no hot group.
 
 Defined cases: a text over the capacity is cut into full pieces and a rest, each a row; texts
-without tokens need no room and get no container (null); repeated rows are separate items only if
-their ids differ.
+without tokens need no room and get no container (null); every row is an item of its own, also one
+that repeats another; empty tables give no containers.
 """
 
 from __future__ import annotations
