@@ -7,10 +7,13 @@ the switch, so a state that violates them is never seen.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -46,7 +49,7 @@ def _reject(spark: SparkSession, state: str, found: dict[str, DataFrame]) -> Non
 
 
 def _switch(spark: SparkSession, table: str, state: str) -> None:
-    fs, part = _fs(spark, f"{table}/{state}.part")
+    fs, part = _fs(spark, f"{table}/{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(bytearray(state.encode()))
     out.close()
@@ -85,3 +88,48 @@ def write_all(tables: dict[str, DataFrame], folder: str, checks: dict[str, Calla
     _reject(spark, f"{folder}/{state}", {name: check(written) for name, check in (checks or {}).items()})
     _switch(spark, folder, state)
     return written
+
+
+def _manifest(spark: SparkSession, table: str) -> dict:
+    state = _current(spark, table)
+    return json.loads(state) if state else {"n": 0, "key": None, "buckets": {}, "before": []}
+
+
+def read_buckets(spark: SparkSession, table: str) -> DataFrame | None:
+    """The current state of a table kept by :func:`merge_buckets`; None where there is none."""
+    found = _manifest(spark, table)
+    if not found["buckets"]:
+        return None
+    return spark.read.schema(StructType.fromJson(found["schema"])).parquet(*[f"{table}/{state}/bucket={b}" for b, state in sorted(found["buckets"].items())])
+
+
+def merge_buckets(changes: DataFrame, table: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], n: int = 64) -> list[int]:
+    """Put ``changes`` into a table laid out in ``n`` buckets of its key, rewriting only buckets that have changes; gives their numbers.
+
+    ``merge`` (rows as they are, changes) gives the rows as they will be; it must keep each row's ``key``. A
+    file ``CURRENT`` names the state of every bucket and is replaced at once. States that neither it nor the one before
+    names are removed, so readers of the one before are not disturbed.
+    """
+    spark = changes.sparkSession
+    old = _manifest(spark, table)
+    n, buckets = old["n"] or n, old["buckets"]
+    at = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n)).cast("int").alias("bucket")
+    # at most n rows
+    touched = sorted(r.bucket for r in changes.select(at).distinct().collect())
+    if not touched:
+        return []
+    there = [f"{table}/{buckets[str(b)]}/bucket={b}" for b in touched if str(b) in buckets]
+    base = spark.read.schema(StructType.fromJson(old["schema"])).parquet(*there) if there else spark.createDataFrame([], changes.schema)
+    state = f"state-{uuid.uuid4().hex}"
+    new = merge(base, changes)
+    new.select("*", at).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{table}/{state}")
+    fs, _ = _fs(spark, table)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    full = {str(b) for b in touched if fs.exists(path(f"{table}/{state}/bucket={b}"))}
+    now = {b: s for b, s in buckets.items() if int(b) not in touched} | dict.fromkeys(full, state)
+    used = sorted(set(now.values()))
+    kept = set(used) | set(buckets.values())
+    _switch(spark, table, json.dumps({"n": n, "key": key, "schema": new.schema.jsonValue(), "buckets": now, "before": sorted(set(buckets.values()))}))
+    for gone in set(old["before"]) - kept:
+        fs.delete(path(f"{table}/{gone}"), True)
+    return touched

@@ -45,12 +45,10 @@ def lifecycle_stream(stream: DataFrame, job: str, kind: str, at: str, failure: s
 
 
 def merge_into(stream: DataFrame, table: str, key: str, newest: list[str], checkpoint: str) -> StreamingQuery:
-    """Merge every micro-batch into a snapshot table; a batch that is run again gives the same state."""
+    """Merge every micro-batch into a table of buckets, rewriting only those it touches; a batch that is run again gives the same state."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        base = snapshot.read(spark, table)
-        snapshot.write(upsert(base if base is not None else batch.limit(0), batch, key, newest), table)
+        snapshot.merge_buckets(batch, table, key, lambda base, changes: upsert(base, changes, key, newest))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -170,6 +170,18 @@ def test_snapshot(spark, tmp_path):
     assert snapshot.read(spark, at).count() == 5
 
 
+def test_buckets_rewrite_only_what_changes(spark, tmp_path):
+    at, schema = f"file://{tmp_path}/b", "id int, v string, n int"
+    put = lambda rows: snapshot.merge_buckets(spark.createDataFrame(rows, schema), at, "id", lambda base, new: ingest.upsert(base, new, "id", ["n"]), 8)
+    assert snapshot.read_buckets(spark, at) is None and put([]) == []
+    assert len(put([(i, "a", 1) for i in range(40)])) > 4
+    first = {p.name for p in (tmp_path / "b").iterdir() if p.is_dir()}
+    assert len(put([(3, "b", 2)])) == 1 and len(put([(3, "c", 3), (99, "z", 1)])) <= 2 and len(put([(3, "d", 4)])) == 1
+    got = {r.id: r.v for r in snapshot.read_buckets(spark, at).collect()}
+    assert len(got) == 41 and got[3] == "d" and got[4] == "a" and first <= {p.name for p in (tmp_path / "b").iterdir()}
+    assert len([p for p in (tmp_path / "b").iterdir() if p.is_dir()]) <= 4  # states nobody names are gone
+
+
 def test_archive_and_checkpoint(spark, tmp_path):
     import hashlib
 
@@ -210,7 +222,8 @@ def test_streams(spark, tmp_path):
     want = {str(r.user_id): (r.last_kind, r.retry_count, r.n_events) for r in ingest.lifecycle(batch, "user_id", "event_type", "ts", "error", "purchase").collect()}
     assert best == want
     pipelines.merge_into(stream(), f"file://{tmp_path}/merged", "event_id", ["ts"], str(tmp_path / "cp")).awaitTermination()
-    assert snapshot.read(spark, f"file://{tmp_path}/merged").count() == 40
+    merged = snapshot.read_buckets(spark, f"file://{tmp_path}/merged")
+    assert merged.count() == 40 and merged.select("event_id").distinct().count() == 40
 
 
 def test_discovery(spark):
