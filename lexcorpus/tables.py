@@ -24,6 +24,18 @@ def records(df: DataFrame, key: str, columns: list[str], newest: list[str] = ())
     return best.select(key, *[F.col(f"_best._{i}").alias(c) for i, c in enumerate(columns)])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for steps that are costly per row.
+
+    A table of few files (or row groups) would keep most cores idle. Large tables have more partitions than
+    that and stay as they are, as do results of a shuffle: nothing is run to find out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 #: Blanks as JavaScript's trim and \\s see them (fixed values).
 BLANKS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 
