@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexcorpus.staging import Stage
-from lexcorpus.tables import records
+from lexcorpus.tables import records, spread
 
 #: Rows whose ids are broadcast at most.
 FEW = 200_000
@@ -84,7 +84,7 @@ def in_duckdb(df: DataFrame, sql: str, schema: str | T.StructType) -> DataFrame:
 
 def consistent(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """``keep`` and, of each of ``columns``, the consistent form under the same name."""
-    df = df.select(*keep, *columns)
+    df = spread(df.select(*keep, *columns))
     sql = "SELECT " + ", ".join([*(f'"{c}"' for c in keep), *(f'{expression(f"{chr(34)}{c}{chr(34)}")} AS "{c}"' for c in columns)]) + " FROM batch"
     return in_duckdb(df, sql, df.schema)
 
@@ -97,7 +97,7 @@ def disguised(nodes: DataFrame, versions: DataFrame, fields: list[str]) -> DataF
     brought to the consistent form again and compared exactly.
     """
     stage = Stage(nodes.sparkSession, "lookalikes")
-    rows = nodes.where("id is not null").select("id", "document_version_id", "source_locator", "updated_at", *fields)
+    rows = spread(nodes.where("id is not null").select("id", "document_version_id", "source_locator", "updated_at", *fields))
     owners = versions.select(F.col("id").alias("document_version_id"), "document_id").distinct()
     number = lambda e: f"hash({e}) :: DECIMAL(38,0) % 9223372036854775807"
     hashes = ", ".join(f"CASE WHEN {f} <> '' THEN {number(expression(f))} END AS form_{f}, CASE WHEN {f} <> '' THEN {number(f)} END AS raw_{f}" for f in fields)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lexcorpus.llm.tokens import DEFAULT, ranked, sized
 from lexcorpus.operators.scan import n_ranges
 from lexcorpus.staging import Stage
-from lexcorpus.tables import stripped
+from lexcorpus.tables import spread, stripped
 
 
 def goals(sources: dict[str, tuple[float, int, int]], total: float) -> dict[str, float]:
@@ -60,7 +60,7 @@ def mix(df: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed
     spark = df.sparkSession
     stage = Stage(spark, "mixing")
     wanted = F.broadcast(_targets(targets).where("share > 0 and cap > 0"))
-    texts = df.select("doc_id", F.lower(stripped(F.col("source"))).alias("source"), "text").where("text is not null").join(wanted.select("source"), "source", "left_semi")
+    texts = spread(df.select("doc_id", F.lower(stripped(F.col("source"))).alias("source"), "text").where("text is not null")).join(wanted.select("source"), "source", "left_semi")
     texts = sized(texts.withColumn("same", F.md5("text")), "text", ["doc_id", "source", "same"], vocabulary).where("n_tokens > 0")
     one = texts.groupBy("same").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t")).select("t.*")
     one = stage.write(one, "texts")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexcorpus.llm.tokens import DEFAULT, ranked, sized
 from lexcorpus.staging import Stage
+from lexcorpus.tables import spread
 
 
 Patterns = list[tuple[int, tuple[int, ...]]]
@@ -149,7 +150,7 @@ def pack(df: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     stage = Stage(spark, "packing")
-    sizes = sized(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", ["doc_id"], vocabulary)
+    sizes = sized(spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "text", ["doc_id"], vocabulary)
     sizes = stage.write(sizes.withColumn("pid", F.spark_partition_id()), "sizes")
     limits = {int(r[0]): int(r[1]) for r in capacities.select("capacity_id", "capacity_tokens").where("capacity_tokens > 0").distinct().collect()}
     limit = F.array(*[F.struct(F.lit(c).alias("capacity_id"), F.lit(k).cast("bigint").alias("capacity")) for c, k in sorted(limits.items())]).cast("array<struct<capacity_id:int,capacity:bigint>>")

@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexcorpus.tables import spread
+
 # Placeholders: a masked mark, the end of a block, an opening and a closing straight quote, the dot of a leading number.
 MASK, BLOCK, OPEN, CLOSE, NUMBER = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 
@@ -174,6 +176,7 @@ def spans(text: Column, abbreviations: Abbreviations = Abbreviations(), with_tex
 
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, abbreviations: Abbreviations = Abbreviations()) -> DataFrame:
     """(doc_id, start_pos, end_pos[, sentence]): the sentence units of every text."""
-    found = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(spans(F.col(text_col), abbreviations, with_text)).alias("u"))
+    rows = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = rows.select("doc_id", F.explode(spans(F.col("text"), abbreviations, with_text)).alias("u"))
     at = [F.col("u.start_pos").cast("bigint").alias("start_pos"), F.col("u.end_pos").cast("bigint").alias("end_pos")]
     return found.select("doc_id", *at, *(["u.sentence"] if with_text else []))
