@@ -136,16 +136,24 @@ def periods(df: DataFrame, entity: str, start: str, end: str, slack: int = SECON
 
 
 def periods_stream(df: DataFrame, entity: str, start: str, end: str, slack: int = SECOND) -> DataFrame:
-    """The current periods of every entity touched by a micro-batch, from keyed state (update mode)."""
+    """(entity, kind, start_us, end_us, alive): what a micro-batch changes in the periods and gaps of its entities, from keyed state (update mode).
+
+    Rows that hold from now on are alive, those that held before and no longer do are not. As periods only grow and
+    gaps only shrink, no row comes back: what holds is all alive rows without those that have gone.
+    The state of an entity is its map, one pair of numbers for each period; starts may come in any order
+    and at any time, so it is kept.
+    """
 
     def fold(key, batches, state):
         starts, ends = state.get if state.exists else ([], [])
         kept = IntervalMap(slack, starts, ends)
+        before = dict.fromkeys(kept.rows())
         for b in batches:
             for s, e in zip(b["s"].tolist(), b["e"].tolist()):
                 kept.insert(s, e)
         state.update((kept.starts, kept.ends))
-        n, g = len(kept.starts), kept.gaps()
-        yield pd.DataFrame({"entity": [key[0]] * (n + len(g)), "kind": ["period"] * n + ["gap"] * len(g), "start_us": kept.starts + [a for a, _ in g], "end_us": kept.ends + [b for _, b in g]})
+        now = dict.fromkeys(kept.rows())
+        out = [(key[0], *x, True) for x in now if x not in before] + [(key[0], *x, False) for x in before if x not in now]
+        yield pd.DataFrame(out, columns=["entity", "kind", "start_us", "end_us", "alive"])
 
-    return _micros(df, entity, start, end).groupBy("entity").applyInPandasWithState(fold, "entity string, kind string, start_us bigint, end_us bigint", "starts array<bigint>, ends array<bigint>", "update", "NoTimeout")
+    return _micros(df, entity, start, end).groupBy("entity").applyInPandasWithState(fold, "entity string, kind string, start_us bigint, end_us bigint, alive boolean", "starts array<bigint>, ends array<bigint>", "update", "NoTimeout")

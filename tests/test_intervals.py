@@ -59,12 +59,14 @@ def test_an_entity_over_many_partitions(spark):
 def test_stream_has_the_same_periods(spark, tmp_path):
     rng, d = random.Random(6), D(2000, 1, 1)
     rows = [(f"d{i % 4}", s := d + T(hours=rng.randint(0, 900)), s + T(hours=rng.randint(1, 30)), "e", 1) for i in range(80)]
-    for i in range(2):
-        spark.createDataFrame(rows[i::2], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = periods_stream(s, "doc", "a", "b").writeStream.format("memory").queryName("iv").outputMode("update").start()
     q.processAllAvailable()
     q.stop()
-    got = {(r.entity, r.kind, r.start_us, r.end_us) for r in spark.table("iv").collect()}
+    rows_of = lambda alive: {(r.entity, r.kind, r.start_us, r.end_us) for r in spark.table("iv").where("alive" if alive else "not alive").collect()}
     us = lambda t: int((t - D(1970, 1, 1)).total_seconds()) * 1_000_000
-    assert {(a, b, us(c), us(e)) for a, b, c, e in brute([r[:3] for r in rows])} <= got
+    batch = {(a, b, us(c), us(e)) for a, b, c, e in run(spark, [r[:3] for r in rows])}
+    assert batch == {(a, b, us(c), us(e)) for a, b, c, e in brute([r[:3] for r in rows])} == rows_of(True) - rows_of(False)
+    assert rows_of(False)
