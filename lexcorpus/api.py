@@ -41,8 +41,10 @@ class Request:
     def __post_init__(self):
         if len(self.citations) > MAX_CITATIONS:
             raise ValueError(f"at most {MAX_CITATIONS} citations")
-        if self.question is not None and len(self.question) > MAX_QUESTION:
-            raise ValueError(f"a question has at most {MAX_QUESTION} characters")
+        if not all(c[0] if isinstance(c, tuple) else c for c in self.citations):
+            raise ValueError("a citation has at least one character")
+        if self.question is not None and not 1 <= len(self.question) <= MAX_QUESTION:
+            raise ValueError(f"a question has 1 to {MAX_QUESTION} characters")
 
 
 def clamp_limit(limit: int, needed: int, cap: int) -> int:

@@ -159,7 +159,9 @@ def normalizer(instruments=INSTRUMENTS):
 
     @F.pandas_udf(NORMALIZED)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([normalize(t, catalogue) for t in texts], columns=[c.split()[0] for c in NORMALIZED.split(", ")])
+        which, distinct = pd.factorize(texts, use_na_sentinel=False)  # each text once
+        found = pd.DataFrame([normalize(None if pd.isna(t) else t, catalogue) for t in distinct], columns=[c.split()[0] for c in NORMALIZED.split(", ")])
+        return found.iloc[which].reset_index(drop=True)
 
     return run
 
@@ -169,6 +171,7 @@ def folder():
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fold(t))
+        which, distinct = pd.factorize(texts, use_na_sentinel=False)  # each text once
+        return pd.Series([None if pd.isna(t) else fold(t) for t in distinct], dtype=object).iloc[which].reset_index(drop=True)
 
     return run

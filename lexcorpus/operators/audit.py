@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexcorpus.functions.urls import law_id
 from lexcorpus.tables import BLANKS, records, stripped
 
 #: Which parent types each node type may have (fixed values); none: must be a root.
@@ -194,3 +195,16 @@ def unknown_locators(documents: DataFrame, versions: DataFrame, nodes: DataFrame
     owner = versions.select(F.col("id").alias("document_version_id"), "document_id").distinct()
     hits = nodes.where(F.col("source_locator").isin(probes)).select("document_version_id", F.col("source_locator").alias("locator")).distinct().join(owner, "document_version_id").groupBy("document_id", "locator").agg(F.count(F.lit(1)).alias("n"))
     return d.join(hits, ["document_id", "locator"], "left").select("document_id", "locator", F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") == 1, "VALID").otherwise("CONFLICT").alias("status"))
+
+
+def expected_locators(documents: DataFrame, versions: DataFrame, nodes: DataFrame, expected: DataFrame) -> DataFrame:
+    """(law_id, locator, status): whether the published version of a law has a locator it should have: VALID, AMBIGUOUS if several nodes have it, else UNRESOLVED.
+
+    ``expected`` (law_id, locator); a law is known by the number in its address.
+    """
+    d = records(documents, "id", ["canonical_url"], ["updated_at"]).select(F.col("id").alias("document_id"), law_id(F.col("canonical_url")).alias("law_id"))
+    v = versions.where("status = 'PUBLISHED'").select(F.col("id").alias("document_version_id"), "document_id").distinct()
+    e = expected.select("law_id", "locator").distinct()
+    n = nodes_once(nodes, ["document_version_id", "source_locator"]).select("document_version_id", F.col("source_locator").alias("locator"))
+    hits = e.join(d, "law_id").join(v, "document_id").join(n, ["document_version_id", "locator"]).groupBy("law_id", "locator", "document_version_id").agg(F.count(F.lit(1)).alias("n")).groupBy("law_id", "locator").agg(F.max("n").alias("n"))
+    return e.join(hits, ["law_id", "locator"], "left").select("law_id", "locator", F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") == 1, "VALID").otherwise("AMBIGUOUS").alias("status"))

@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexcorpus.functions.urls import law_id
 from lexcorpus.operators import audit, versions
 from lexcorpus.tables import table
 
 AT = "2015-06-01"
+EXPECTED = ["doc", "art-1", "art-2/p-1", "art-7/p-2/c-1"]
 PROBES = ["art-99999", "art-0", "art-1/p-99999"]
 TABLES = ["legal_nodes", "legal_document_versions", "legal_documents", "citation_entries", "legal_knowledge_documents", "legal_knowledge_articles", "legal_source_archives", "legal_sources", "documents"]
 
@@ -134,6 +136,12 @@ def negative_probes(s: SparkSession, d: str) -> DataFrame:
     return audit.unknown_locators(table(s, d, "legal_documents"), _v(s, d), table(s, d, "legal_nodes"), PROBES)
 
 
+def expected_locators(s: SparkSession, d: str) -> DataFrame:
+    law = law_id(F.col("canonical_url"))
+    e = table(s, d, "legal_documents").select(law.alias("law_id"), F.explode(F.array(*map(F.lit, EXPECTED))).alias("locator")).where("law_id is not null")
+    return audit.expected_locators(table(s, d, "legal_documents"), _v(s, d), table(s, d, "legal_nodes"), e)
+
+
 def offenders(s: SparkSession, d: str) -> DataFrame:
     return audit.offenders(table(s, d, "legal_nodes"))
 
@@ -146,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_version, current_version, published_overlap, published_overlap_half_open, supersede_chain, next_version, version_violations, version_provenance, locator_assign, locator_collisions, collision_detail, duplicate_locators, orphan_versions,
-        data_quality, orphan_citations, repeated_articles, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, offenders, table_counts,
+        data_quality, orphan_citations, repeated_articles, version_structure, corpus_totals, parent_violations, parse_shape, citation_roundtrip, roundtrip_totals, locator_grammar, negative_probes, expected_locators, offenders, table_counts,
     )
 }
 
@@ -233,6 +241,14 @@ SELECT DISTINCT document_id, article_number, id, first_id FROM r JOIN f USING (d
     "negative_probes": f"""WITH p(locator) AS (VALUES {', '.join(f"('{x}')" for x in PROBES)}), d AS (SELECT DISTINCT id AS document_id FROM legal_documents),
 h AS (SELECT document_id, source_locator AS locator, count(*) AS n FROM (SELECT DISTINCT document_version_id, source_locator FROM legal_nodes) n JOIN (SELECT DISTINCT id, document_id FROM legal_document_versions) v ON v.id = n.document_version_id GROUP BY 1, 2)
 SELECT document_id, locator, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'VALID' ELSE 'CONFLICT' END AS status FROM d CROSS JOIN p LEFT JOIN h USING (document_id, locator)""",
+    "expected_locators": f"""WITH {_N}, d AS (SELECT id AS document_id, arg_max(canonical_url, (updated_at, canonical_url)) AS u FROM legal_documents GROUP BY id),
+a AS (SELECT DISTINCT coalesce(nullif(regexp_extract(canonical_url, '(?i)[?&]lawid=([^&#]+)', 1), ''), nullif(regexp_extract(canonical_url, '/details?/([0-9]+)', 1), '')) AS law_id FROM legal_documents),
+e AS (SELECT law_id, unnest([{", ".join(repr(x) for x in EXPECTED)}]) AS locator FROM a WHERE law_id IS NOT NULL),
+b AS (SELECT document_id, coalesce(nullif(regexp_extract(u, '(?i)[?&]lawid=([^&#]+)', 1), ''), nullif(regexp_extract(u, '/details?/([0-9]+)', 1), '')) AS law_id FROM d),
+v AS (SELECT DISTINCT id, document_id FROM legal_document_versions WHERE status = 'PUBLISHED'),
+k AS (SELECT law_id, source_locator AS locator, v.id, count(*) AS n FROM b JOIN v USING (document_id) JOIN n ON n.document_version_id = v.id GROUP BY 1, 2, 3),
+h AS (SELECT law_id, locator, max(n) AS n FROM k GROUP BY 1, 2)
+SELECT law_id, locator, CASE WHEN n IS NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'VALID' ELSE 'AMBIGUOUS' END AS status FROM e LEFT JOIN h USING (law_id, locator)""",
     "offenders": f"""WITH {_N}, f AS (SELECT id, 'empty_text' AS problem FROM n WHERE coalesce(regexp_replace(text, '{_BLANK}', '', 'g'), '') = '' UNION ALL SELECT id, 'no_title' FROM n WHERE title IS NULL UNION ALL SELECT id, 'malformed_locator' FROM n WHERE NOT coalesce(regexp_matches(source_locator, '{audit.LOCATOR}'), false))
 SELECT problem, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS sample FROM f GROUP BY 1""",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TABLES),

@@ -159,6 +159,13 @@ def metadata_checksum(s: SparkSession, d: str) -> DataFrame:
     return k.select("id", P.metadata_checksum({"title": F.col("source_name"), "type": F.col("source_type"), "url": F.col("base_url"), "note": F.lit(None).cast("string")}).alias("checksum"))
 
 
+def download_check(s: SparkSession, d: str) -> DataFrame:
+    a = table(s, d, "legal_source_archives").select("id", "mime_type", "sha256").distinct()
+    body = F.concat(F.lit("\ufeff"), F.when(F.col("sha256") < "6", "<!doctype html><p>x").when(F.col("sha256") < "c", "%PDF-1.4").otherwise("text"))
+    kind = P.sniff_download(F.col("mime_type"), body)
+    return a.select("id", kind.alias("kind"), P.accepted(kind, F.col("mime_type"), body).alias("accepted"))
+
+
 def sniff_format(s: SparkSession, d: str) -> DataFrame:
     a = table(s, d, "legal_source_archives").select("id", "mime_type", "sha256").distinct()
     body = F.when(F.col("sha256") < "4", F.concat(F.lit("%PDF-1.7 "), "sha256")).when(F.col("sha256") < "8", F.concat(F.lit(" <!DOCTYPE html><p>"), "sha256")).when(F.col("sha256") < "a", "").otherwise(F.col("sha256"))
@@ -248,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         archive_put_if_absent, catalog_reuse, archive_integrity, discover_classify, run_counters, merge_upsert, insert_missing, replace_version, publish_decision, reconcile, reconcile_totals, shared_targets, job_lifecycle, pending_download,
-        gate_reasons, publish_counters, archive_link, parse_confidence, labelled_dates, parsed_pages, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
+        gate_reasons, publish_counters, archive_link, parse_confidence, labelled_dates, parsed_pages, type_mapping, unmapped_types, title_types, strict_dates, storage_keys, node_hashes, metadata_checksum, sniff_format, download_check, text_preview, json_object_guard, metadata_merge, url_canonical, url_guard, backoff, html_lines, html_title,
         line_classes, line_context, parse_provisions, page_links,
     )
 }
@@ -337,6 +344,10 @@ FROM acts LEFT JOIN (f JOIN o USING (document_version_id) JOIN e USING (document
 m AS (SELECT *, lower(trim(split_part(coalesce(mime_type, ''), ';', 1))) AS media, lower(ltrim(left(body, 512))) AS head FROM a),
 k AS (SELECT *, CASE WHEN media = 'application/pdf' OR starts_with(body, '%PDF') THEN 'pdf' WHEN contains(media, 'word') THEN 'word' WHEN media IN ('text/html', 'application/xhtml+xml') OR contains(head, '<html') OR starts_with(head, '<!doctype html') THEN 'html' ELSE 'unknown' END AS kind FROM m)
 SELECT id, kind, CASE WHEN length(body) = 0 THEN 'empty_body' WHEN kind = 'unknown' THEN 'unexpected_type:' || coalesce(mime_type, '') WHEN kind = 'html' AND starts_with(body, '%PDF') THEN 'expected_html_got_pdf' ELSE 'ok' END AS accepted FROM k""",
+    "download_check": """WITH a AS (SELECT DISTINCT id, mime_type, CASE WHEN sha256 < '6' THEN '<!doctype html><p>x' WHEN sha256 < 'c' THEN '%PDF-1.4' ELSE 'text' END AS body FROM legal_source_archives),
+m AS (SELECT *, lower(trim(split_part(coalesce(mime_type, ''), ';', 1))) AS media FROM a),
+k AS (SELECT *, CASE WHEN media = 'application/pdf' OR starts_with(body, '%PDF') THEN 'pdf' WHEN contains(media, 'word') THEN 'word' WHEN media IN ('text/html', 'application/xhtml+xml') OR starts_with(body, '<!doctype html') THEN 'html' ELSE 'unknown' END AS kind FROM m)
+SELECT id, kind, CASE WHEN kind = 'unknown' THEN 'unexpected_type:' || coalesce(mime_type, '') ELSE 'ok' END AS accepted FROM k""",
     "text_preview": "SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 200) || ' … [' || (length(text) - 400) || '] … ' || right(text, 200) END AS preview, substring(text, 1, 255) AS head FROM documents",
     "json_object_guard": "WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN '[' || props || ']' WHEN 'click' THEN left(props, 3) ELSE props END AS x FROM events) SELECT event_id, CASE WHEN json_valid(x) AND json_type(x) = 'OBJECT' THEN x END AS metadata FROM e",
     "metadata_merge": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'k,kind' ELSE 'k,kind,user' END AS names, CASE WHEN event_type = 'error' THEN user_id :: VARCHAR ELSE props ->> 'k' END AS k FROM events",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexcorpus.sources.snapshot import hadoop_path, read_text, write_text
+
 
 def archived(spark: SparkSession, folder: str) -> DataFrame:
     """(path, sha256, named, byte_size, intact): files under ``folder`` re-hashed; their name is the hash they should have."""
@@ -26,22 +27,23 @@ def ajax_body(body):
     return F.coalesce(F.get_json_object(body, "$.Html"), body)
 
 
-def read_checkpoint(path: str, version: int = 1) -> dict | None:
-    """State of a crawl; None where it is missing, unreadable or of another version."""
+def read_checkpoint(spark: SparkSession, path: str, version: int = 1) -> dict | None:
+    """State of a crawl, in a folder all hosts share; None where it is missing, unreadable or of another version."""
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        return None
     try:
-        state = json.loads(Path(path).read_text())
-    except (OSError, ValueError):
+        state = json.loads(read_text(spark, path))
+    except ValueError:
         return None
     return state if isinstance(state, dict) and state.get("version") == version else None
 
 
-def write_checkpoint(path: str, state: dict, version: int = 1) -> None:
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_suffix(".part")
-    part.write_text(json.dumps({**state, "version": version}))
-    part.replace(target)
+def write_checkpoint(spark: SparkSession, path: str, state: dict, version: int = 1) -> None:
+    """Replace the state of a crawl at once."""
+    write_text(spark, path, json.dumps({**state, "version": version}))
 
 
-def clear_checkpoint(path: str) -> None:
-    Path(path).unlink(missing_ok=True)
+def clear_checkpoint(spark: SparkSession, path: str) -> None:
+    fs, p = hadoop_path(spark, path)
+    fs.delete(p, False)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexcorpus.functions.urls import allowed, law_id
+from lexcorpus.sources.archive import ajax_body
 
 LINK = r'(?is)<a\b[^>]*class="[^"]*\bact-name\b[^"]*"[^>]*>.*?</a>'
 
@@ -46,8 +47,7 @@ def discover(spark, base: str, url: str | None = None, law_ids: list[str] = (),
 
 def until_empty(pages: DataFrame, most: int) -> DataFrame:
     """Pages (category, page_no, html) of a crawl before the first one without links, ``most`` a category; answers may be JSON with the page inside."""
-    body = F.coalesce(F.get_json_object("html", "$.Html"), "html")
-    p = pages.withColumn("html", body).where(F.col("page_no") <= most)
+    p = pages.withColumn("html", ajax_body(F.col("html"))).where(F.col("page_no") <= most)
     empty = p.where(~F.coalesce(F.rlike("html", F.lit(LINK)), F.lit(False))).groupBy("category").agg(F.min("page_no").alias("end"))
     return p.join(empty, "category", "left").where("end is null or page_no < end").drop("end")
 

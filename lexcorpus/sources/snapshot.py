@@ -16,15 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _current(spark: SparkSession, table: str) -> str | None:
-    fs, p = _fs(spark, f"{table}/CURRENT")
-    if not fs.exists(p):
-        return None
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = hadoop_path(spark, path)
     stream = fs.open(p)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
@@ -32,6 +31,24 @@ def _current(spark: SparkSession, table: str) -> str | None:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, replacing one that is there at once."""
+    fs, part = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    _, target = hadoop_path(spark, path)
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    context.rename(part, target, options)
+
+
+def _current(spark: SparkSession, table: str) -> str | None:
+    fs, p = hadoop_path(spark, f"{table}/CURRENT")
+    return read_text(spark, f"{table}/CURRENT") if fs.exists(p) else None
+
+
 def read(spark: SparkSession, table: str) -> DataFrame | None:
     """The current state; None where there is none."""
     state = _current(spark, table)
@@ -43,23 +60,11 @@ def _reject(spark: SparkSession, state: str, found: dict[str, DataFrame]) -> Non
     for name, rows in found.items():
         bad = rows.take(5)
         if bad:
-            fs, p = _fs(spark, state)
+            fs, p = hadoop_path(spark, state)
             fs.delete(p, True)
             raise ValueError(f"rejected by {name}: {bad}")
 
 
-def _switch(spark: SparkSession, table: str, state: str) -> None:
-    fs, part = _fs(spark, f"{table}/{uuid.uuid4().hex}.part")
-    out = fs.create(part, True)
-    out.write(bytearray(state.encode()))
-    out.close()
-    _, current = _fs(spark, f"{table}/CURRENT")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration())
-    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-    options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    context.rename(part, current, options)
-
-
 def write(df: DataFrame, table: str, checks: list[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
     """Write ``df`` as the next state. Each check gives the offending rows; if any gives a row, nothing changes and ValueError is raised."""
     spark = df.sparkSession
@@ -67,7 +72,7 @@ def write(df: DataFrame, table: str, checks: list[Callable[[DataFrame], DataFram
     df.write.parquet(f"{table}/{state}")
     written = spark.read.schema(df.schema).parquet(f"{table}/{state}")
     _reject(spark, f"{table}/{state}", {f"check {i}": check(written) for i, check in enumerate(checks)})
-    _switch(spark, table, state)
+    write_text(spark, f"{table}/CURRENT", state)
     return written
 
 
@@ -86,7 +91,7 @@ def write_all(tables: dict[str, DataFrame], folder: str, checks: dict[str, Calla
         df.write.parquet(f"{folder}/{state}/{name}")
         written[name] = spark.read.schema(df.schema).parquet(f"{folder}/{state}/{name}")
     _reject(spark, f"{folder}/{state}", {name: check(written) for name, check in (checks or {}).items()})
-    _switch(spark, folder, state)
+    write_text(spark, f"{folder}/CURRENT", state)
     return written
 
 
@@ -123,13 +128,13 @@ def merge_buckets(changes: DataFrame, table: str, key: str, merge: Callable[[Dat
     state = f"state-{uuid.uuid4().hex}"
     new = merge(base, changes)
     new.select("*", at).repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{table}/{state}")
-    fs, _ = _fs(spark, table)
+    fs, _ = hadoop_path(spark, table)
     path = spark._jvm.org.apache.hadoop.fs.Path
     full = {str(b) for b in touched if fs.exists(path(f"{table}/{state}/bucket={b}"))}
     now = {b: s for b, s in buckets.items() if int(b) not in touched} | dict.fromkeys(full, state)
     used = sorted(set(now.values()))
     kept = set(used) | set(buckets.values())
-    _switch(spark, table, json.dumps({"n": n, "key": key, "schema": new.schema.jsonValue(), "buckets": now, "before": sorted(set(buckets.values()))}))
+    write_text(spark, f"{table}/CURRENT", json.dumps({"n": n, "key": key, "schema": new.schema.jsonValue(), "buckets": now, "before": sorted(set(buckets.values()))}))
     for gone in set(old["before"]) - kept:
         fs.delete(path(f"{table}/{gone}"), True)
     return touched

@@ -70,7 +70,7 @@ def test_retrieve(spark, corpus):
     assert ids(question="Намайг ажлаас үндэслэлгүй халах")[0] == ["n2"] and ids(question="quantum zzqqxx") == ([], "ok") and ids(question="  ") == ([], "ok")
     assert ids(question="ажлаас халах эрх", as_of="2017-01-01")[0] == ["n1"] and ids(citation_key="key", as_of="2017-01-01") == ([], "AS_OF_UNAVAILABLE")
     assert retrieve(corpus, Request(node_id="n3"))[0].first().title == "Article 1"
-    for bad in ({"citations": ("x",) * 51}, {"question": "x" * 8001}):
+    for bad in ({"citations": ("x",) * 51}, {"question": "x" * 8001}, {"question": ""}, {"citations": ("x", "")}):
         with pytest.raises(ValueError):
             Request(**bad)
     assert clamp_limit(0, 0, 5) == 1 and clamp_limit(9, 0, 5) == 5
@@ -190,12 +190,23 @@ def test_archive_and_checkpoint(spark, tmp_path):
     (tmp_path / "ar" / good).write_bytes(b"x")
     (tmp_path / "ar" / ("0" * 64)).write_bytes(b"y")
     assert sorted(r.intact for r in archive.archived(spark, str(tmp_path / "ar")).collect()) == [False, True]
-    p = str(tmp_path / "c" / "state.json")
-    assert archive.read_checkpoint(p) is None
-    archive.write_checkpoint(p, {"page": 3})
-    assert archive.read_checkpoint(p)["page"] == 3 and archive.read_checkpoint(p, version=2) is None
-    archive.clear_checkpoint(p)
-    assert archive.read_checkpoint(p) is None
+    p = f"file://{tmp_path}/c/state.json"
+    assert archive.read_checkpoint(spark, p) is None
+    archive.write_checkpoint(spark, p, {"page": 2})
+    archive.write_checkpoint(spark, p, {"page": 3})
+    assert archive.read_checkpoint(spark, p)["page"] == 3 and archive.read_checkpoint(spark, p, version=2) is None
+    (tmp_path / "c" / "state.json").write_text("{")
+    (tmp_path / "c" / ".state.json.crc").unlink(missing_ok=True)
+    assert archive.read_checkpoint(spark, p) is None
+    archive.clear_checkpoint(spark, p)
+    assert archive.read_checkpoint(spark, p) is None
+
+
+def test_expected_locators(spark, corpus):
+    expected = spark.createDataFrame([("7", "art-1"), ("7", "art-9"), ("99", "art-1")], "law_id string, locator string")
+    assert {tuple(r) for r in audit.expected_locators(corpus.documents, corpus.versions, corpus.nodes, expected).collect()} == {("7", "art-1", "VALID"), ("7", "art-9", "UNRESOLVED"), ("99", "art-1", "UNRESOLVED")}
+    several = corpus.nodes.unionByName(spark.createDataFrame([node("n9", "v2", "r2", "ARTICLE", "art-1")], NODE))
+    assert audit.expected_locators(corpus.documents, corpus.versions, several, expected.limit(1)).first().status == "AMBIGUOUS"
 
 
 def test_listing(spark):
