@@ -14,7 +14,8 @@ is smoothed towards the precision of itself and all weaker rules (and of the nex
 there are ``POOL`` cases); ``cases`` tells how many labelled records stand behind it, and with none the
 confidence is that prior alone.
 
-Scale: a pass is one shuffle join of all its rules in long form (rule, key, part). Parts divide the group
+Scale: a pass is one shuffle join of all its rules in long form, on a hash of (rule, key, part); titles are only fetched
+for the pairs that meet. Parts divide the group
 of a key by what would contradict anyway, date (or year) and number, so that each pair that isn't
 contradicted meets in exactly one part; entities alike in all that is still compared are one row with
 the least and greatest id. So a key owned by a third of all rows isn't paired as a whole, no entity is
@@ -195,27 +196,36 @@ def _parts(side: str, rule: Rule, days: int) -> str:
 
 
 def _long(df: DataFrame, side: str, rules: list[Rule], days: int) -> DataFrame:
-    """``df`` once for every rule it has the keys of, and part: rule, key, x, y."""
+    """``df`` once for every rule it has the keys of, and part: rule, at (a hash of rule, key and part), and what is still compared.
+
+    Of an entity, what no record that sees the part can contradict is left out; titles are named by their
+    hash, and only where the rule compares them.
+    """
     rows = []
     for rule in rules:
+        i = RULES.index(rule)
         keys = [f"cast({side}_{c} as string)" for c in rule.keys]
         there = " and ".join(f"coalesce({k}, '') <> ''" for k in keys)
-        at = f"transform({_parts(side, rule, days)}, p -> struct({RULES.index(rule)} as rule, concat_ws('\u0001', {', '.join(keys)}) as key, p.x as x, p.y as y))"
-        rows.append(f"if({there}, {at}, array())")
-    return df.withColumn("at", F.explode(F.expr(f"concat({', '.join(rows)})"))).select("*", "at.*").drop("at")
+        title = f"{side}_as" if rule.fits else "cast(null as binary)"
+        date = "d_date" if "date" in rule.keys else "if(p.x in ('d', 'u'), null, d_date)"
+        compared = f", {date} as d_date, if(p.y in ('a', '0', ''), null, d_n) as d_n" if side == "d" else ""
+        at = f"struct({i} as rule, unhex(md5(concat_ws('\u0001', {i}, {', '.join(keys)}, p.x, p.y))) as at, {title} as {side}_as{compared})"
+        rows.append(f"if({there}, transform({_parts(side, rule, days)}, p -> {at}), array())")
+    others = ["d_kind", "d_held", "d_own", "d_id"] if side == "d" else ["k_id", "shadow", "k_n", "k_kind", "k_year", "k_date", "k_held", "k_own", "k_cut", "k_shortened"]
+    return df.select(*others, F.inline(F.expr(f"concat({', '.join(rows)})")))
 
 
-def _alike(d: DataFrame, rules: list[Rule]) -> DataFrame:
+def _alike(d: DataFrame) -> DataFrame:
     """Entities of a part that are alike in what is still compared are one row: d_id is the least id, d_other the greatest."""
-    dated = [RULES.index(r) for r in rules if "date" in r.keys]
-    titled = [RULES.index(r) for r in rules if r.fits]
-    any_of = lambda which: F.col("rule").isin(which) if which else F.lit(False)
-    # no record that sees such a part can contradict the date, or the number
-    d = d.withColumn("d_date", F.when(any_of(dated) | ~F.col("x").isin("d", "u"), F.col("d_date"))).withColumn("d_n", F.when(~F.col("y").isin("a", "0", ""), F.col("d_n")))
-    title = F.when(any_of(titled), F.struct(*[f"d_{c}" for c in _TITLE]))
-    same = ["rule", "key", "x", "y", "d_kind", "d_date", "d_n", "d_held"]
-    one = d.groupBy(*same, F.when(any_of(titled), F.col("d_plain")).alias("d_as")).agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("d_other"), F.min("d_own").alias("d_own"), F.any_value(title).alias("t"))
-    return one.select(*same, "d_id", "d_other", "d_own", "t.*")
+    return d.groupBy("rule", "at", "d_kind", "d_date", "d_n", "d_held", "d_as").agg(F.min("d_id").alias("d_id"), F.max("d_id").alias("d_other"), F.min("d_own").alias("d_own"))
+
+
+def _fitting(met: DataFrame, titles: DataFrame) -> DataFrame:
+    """Pairs whose titles fit, where the rule compares them."""
+    fits = F.expr("case rule " + " ".join(f"when {i} then {r.fits}" for i, r in enumerate(RULES) if r.fits) + " end")
+    of = lambda side: titles.select(F.col("as").alias(f"{side}_as"), *[F.col(c).alias(f"{side}_{c}") for c in _TITLE])
+    titled = met.where("d_as is not null").join(of("k"), "k_as").join(of("d"), "d_as").where(fits)
+    return met.where("d_as is null").unionByName(titled.select(*met.columns))
 
 
 def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: float = 0.7, before: tuple[str, ...] = BEFORE, behind: tuple[str, ...] = BEHIND, places: dict[str, str] = PLACES) -> DataFrame:
@@ -226,13 +236,14 @@ def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: floa
     """
     spark = sources.sparkSession
     stage = Stage(spark, "matching")
-    d = stage.write(_attributes(entities.distinct(), before, behind, places).distinct(), "entities")
-    k = stage.write(_attributes(sources.distinct(), before, behind, places).distinct(), "sources")
+    named = lambda df: _attributes(df.distinct(), before, behind, places).distinct().withColumn("as", F.unhex(F.md5(F.coalesce("plain", F.lit("")))))
+    d, k = stage.write(named(entities), "entities"), stage.write(named(sources), "sources")
+    # a blank title is none: it is near to nothing
+    titles = stage.write(d.select("as", *_TITLE).unionByName(k.select("as", *_TITLE)).distinct().select("as", *[F.when(F.col("plain") != "", F.col(c)).alias(c) for c in _TITLE]).distinct(), "titles")
     # addresses of entities need hold no slug: theirs is made of the title
     d = d.withColumn("slug", F.coalesce("slug", "slugged")).select([F.col(c).alias(f"d_{c}") for c in d.columns]).withColumn("d_held", F.col("d_own").isNotNull())
     k = k.select([F.col(c).alias(f"k_{c}") for c in k.columns])
     against = F.coalesce(F.expr(AGAINST.format(days=days)), F.lit(False))
-    fits = F.expr("case rule " + " ".join(f"when {i} then {r.fits}" for i, r in enumerate(RULES) if r.fits) + " else true end")
     found: list[DataFrame] = []
     for i, rules in enumerate(PASSES):
         if i:
@@ -242,7 +253,9 @@ def matches(entities: DataFrame, sources: DataFrame, days: int = 31, least: floa
                 rest = rest.join(f.select("k_id", "shadow"), ["k_id", "shadow"], "left_anti")
         else:
             rest = k.withColumn("shadow", F.lit(False)).withColumn("k_held", F.lit(False))
-        met = _long(rest, "k", rules, days).join(_alike(_long(d, "d", rules, days), rules), ["rule", "key", "x", "y"]).where(fits & ~against)
+        met = _long(rest, "k", rules, days).join(_alike(_long(d, "d", rules, days)), ["rule", "at"]).where(~against)
+        if any(r.fits for r in rules):
+            met = _fitting(met, titles)
         single = met.groupBy("k_id", "shadow", "rule").agg(F.min("d_id").alias("d_id"), F.max("d_other").alias("other"), F.min("d_own").alias("d_own"), F.min("k_own").alias("k_own")).where("d_id = other")
         first = single.groupBy("k_id", "shadow").agg(F.min(F.struct("rule", "d_id", "d_own", "k_own")).alias("m")).select("k_id", "shadow", "m.*")
         found.append(stage.write(first, f"pass{i}"))
