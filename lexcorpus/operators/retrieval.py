@@ -72,7 +72,8 @@ def public_citations(citations: DataFrame, nodes: DataFrame, versions: DataFrame
     v = versions.where(F.col("status").isin(PUBLIC_EVER if instant else PUBLIC_NOW) & (covers(instant) if instant else F.lit(True)))
     v = v.select(F.col("id").alias("document_version_id"), "document_id").distinct()
     n = nodes_once(nodes, ["node_type", "article", "paragraph", "title"]).select(F.col("id").alias("legal_node_id"), "node_type", "article", "paragraph", F.col("title").alias("node_title"))
-    c = citations.select("citation_key", "locator", "legal_node_id", "document_version_id", "exact_text").distinct()
+    # one shuffle does for both the distinct and the join
+    c = citations.select("citation_key", "locator", "legal_node_id", "document_version_id", "exact_text").repartition("document_version_id").distinct()
     return c.join(v, "document_version_id").join(n, "legal_node_id")
 
 
@@ -111,28 +112,23 @@ def _named(public: DataFrame) -> DataFrame:
     return public.select("document_id", "document_version_id", "legal_node_id", F.inline(F.array(*ways))).where("key is not null")
 
 
-def _within(asked: DataFrame, documents: DataFrame) -> DataFrame:
-    """(way, key, document_id, hint, in_document): the documents that each way to ask is restricted to."""
-    keys = asked.where("document_id is not null or hint is not null").select("way", "key", "document_id", "hint").distinct()
+def _within(keys: DataFrame, documents: DataFrame) -> DataFrame:
+    """``keys`` (way, key, document_id, hint, ...; one of the last two set) with in_document: the documents that each is restricted to."""
     by_title = keys.where("hint is not null").join(titled(keys.where("hint is not null"), documents).withColumnRenamed("document_id", "in_document"), "hint").where("document_id is null or document_id = in_document")
     return keys.where("hint is null").withColumn("in_document", F.col("document_id")).unionByName(by_title)
 
 
-def _met(asked: DataFrame, documents: DataFrame, named: DataFrame, ends: bool) -> DataFrame:
-    """Candidates with the provisions they name, or only the ``ends`` lo and hi of them."""
+def _met(asked: DataFrame, documents: DataFrame, named: DataFrame) -> DataFrame:
+    """(candidate_id, lo, hi): the least and greatest provision that a candidate names, for each of its ways."""
     place = F.struct("document_version_id", "legal_node_id")
-    limits = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     least = lambda keys: named.groupBy(*keys).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     free = asked.where("document_id is null and hint is null").select("candidate_id", "way", "key")
     bound = asked.where("document_id is not null or hint is not null")
-    there = (least(["way", "key", "document_id"]) if ends else named).withColumnRenamed("document_id", "in_document")
-    inside = _within(asked, documents).join(there, ["way", "key", "in_document"])
-    if ends:
-        inside = inside.groupBy("way", "key", "document_id", "hint").agg(*limits)
-    got = ["lo", "hi"] if ends else ["document_version_id", "legal_node_id"]
-    r = inside.select(*[F.col(c).alias(f"r_{c}") for c in ("way", "key", "document_id", "hint")], *got)
+    inside = _within(bound.select("way", "key", "document_id", "hint").distinct(), documents).join(least(["way", "key", "document_id"]).withColumnRenamed("document_id", "in_document"), ["way", "key", "in_document"])
+    inside = inside.groupBy("way", "key", "document_id", "hint").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    r = inside.select(*[F.col(c).alias(f"r_{c}") for c in ("way", "key", "document_id", "hint")], "lo", "hi")
     same = (F.col("way") == F.col("r_way")) & (F.col("key") == F.col("r_key")) & F.col("document_id").eqNullSafe(F.col("r_document_id")) & F.col("hint").eqNullSafe(F.col("r_hint"))
-    return free.join(least(["way", "key"]) if ends else named, ["way", "key"]).select("candidate_id", *got).unionByName(bound.join(r, same).select("candidate_id", *got))
+    return free.join(least(["way", "key"]), ["way", "key"]).select("candidate_id", "lo", "hi").unionByName(bound.join(r, same).select("candidate_id", "lo", "hi"))
 
 
 def verify(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
@@ -143,7 +139,7 @@ def verify(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> Da
     own, else the phrase's), the key, or the article (and paragraph) number of the phrase; its document
     must be the one given, and its title contain what the phrase says before the law. Every row gets a verdict.
     """
-    found = _met(_asked(candidates), documents, _named(public), True).groupBy("candidate_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = _met(_asked(candidates), documents, _named(public)).groupBy("candidate_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     verdict = F.when(F.col("lo").isNull(), "UNRESOLVED").when(F.col("lo") == F.col("hi"), "VALID").otherwise("CONFLICT")
     sure = lambda c: F.when(F.col("verdict") == "VALID", F.col(f"lo.{c}")).alias(c)
     return candidates.select("candidate_id").join(found, "candidate_id", "left").withColumn("verdict", verdict).select("candidate_id", "verdict", sure("document_version_id"), sure("legal_node_id"))
@@ -159,9 +155,53 @@ def reasons(verdict: Column, as_of: bool) -> Column:
     return F.array_compact(F.array(F.element_at(said, verdict), F.when((verdict == "UNRESOLVED") & F.lit(as_of), "as_of_unavailable")))
 
 
+#: Rows of the result that one part of a list makes, about.
+PART = 2_000_000
+#: Groups that the candidates of a list are gathered in, at most.
+GATHERED = 64
+#: Where a candidate has more rows, the pairs of those that ask in more ways are made distinct.
+MANY = 50
+
+
+def _each(candidates: DataFrame, public: DataFrame, documents: DataFrame, provisions: DataFrame) -> DataFrame:
+    """``candidate_id`` and the columns of ``provisions`` (document_version_id, legal_node_id, ...): every provision that fits a candidate, once.
+
+    What is asked (way, key and what it is restricted to) has a list of provisions. A candidate gets its longest
+    list whole and of every other what no longer list of it holds, so nothing has to be made distinct behind the
+    join, which is the last step: only lists and candidates are shuffled, never the pairs. Candidates
+    of one list stand in arrays, and a list that many ask for is cut into parts.
+    """
+    ask, place = F.struct("way", "key", "document_id", "hint").alias("ask"), ["document_version_id", "legal_node_id"]
+    asked, named = _asked(candidates), _named(public)
+    keys = asked.groupBy("way", "key", "document_id", "hint").agg(F.count(F.lit(1)).alias("n_asked"))
+    free = named.drop("document_id").join(keys.where("document_id is null and hint is null"), ["way", "key"])
+    bound = _within(keys.where("document_id is not null or hint is not null"), documents).join(named.withColumnRenamed("document_id", "in_document"), ["way", "key", "in_document"])
+    held = free.select(ask, "n_asked", *place).unionByName(bound.select(ask, "n_asked", *place))
+    sizes = held.groupBy("ask").agg(F.count(F.lit(1)).alias("n_held"), F.max("n_asked").alias("n_asked"))
+    parts = F.least("n_held", F.ceil(F.col("n_held") * F.col("n_asked") / PART)).cast("int").alias("parts")
+    lists = held.join(sizes.drop("n_asked"), "ask").groupBy(*place).agg(F.collect_set(F.struct("ask", parts)).alias("lists"))
+    there = provisions.join(lists, place).select(*provisions.columns, F.col("lists.ask").alias("holds"), F.explode("lists").alias("list"))
+    there = there.select(*provisions.columns, "holds", "list.ask", F.pmod(F.xxhash64(*place), "list.parts").cast("int").alias("part"))
+    # the longest list first; the order is the same for all candidates, so those that ask the same have the same ``before``
+    own = asked.select("candidate_id", ask).join(sizes, "ask").groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_held")).alias("order"), "ask", parts))).alias("own"))
+
+    def met(own: DataFrame, once: bool) -> DataFrame:
+        rows = own.select("candidate_id", F.col("own.ask").alias("asks"), F.posexplode("own").alias("at", "list"))
+        before = F.slice("asks", F.lit(1), F.col("at") if once else F.lit(0)).alias("before")
+        rows = rows.select("candidate_id", "list.ask", "list.parts", before, F.pmod(F.xxhash64("candidate_id"), F.lit(GATHERED)).alias("group"))
+        rows = rows.groupBy("ask", "parts", "before", "group").agg(F.collect_list(F.struct("candidate_id")).alias("who"))
+        rows = rows.select("ask", "before", "who", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return there.join(rows, ["ask", "part"]).where("size(before) = 0 or not arrays_overlap(before, holds)").select(F.inline("who"), *provisions.columns)
+
+    # a row has a few ways to ask; a short job finds out whether the second join is needed
+    if candidates.groupBy("candidate_id").count().where(F.col("count") > MANY).isEmpty():
+        return met(own, True)
+    return met(own.where(F.size("own") <= MANY), True).unionByName(met(own.where(F.size("own") > MANY), False).distinct())
+
+
 def find(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
     """(candidate_id, document_version_id, legal_node_id): every provision that fits a candidate of :func:`verify`, once."""
-    return _met(_asked(candidates), documents, _named(public), False).distinct()
+    return _each(candidates, public, documents, public.select("document_version_id", "legal_node_id").distinct())
 
 
 def retrieve_batch(candidates: DataFrame, public: DataFrame, documents: DataFrame) -> DataFrame:
@@ -170,10 +210,10 @@ def retrieve_batch(candidates: DataFrame, public: DataFrame, documents: DataFram
     Of several citations of one provision the one with the least key counts.
     """
     pick = F.min(F.struct("citation_key", "locator", "node_title", "exact_text", "document_id")).alias("c")
-    once = public.groupBy("document_version_id", "legal_node_id").agg(pick)
-    return find(candidates, public, documents).join(once, ["document_version_id", "legal_node_id"]).select(
-        "candidate_id", "c.document_id", "document_version_id", "legal_node_id", "c.locator", F.coalesce("c.node_title", "c.locator").alias("title"), F.substring("c.exact_text", 1, EXCERPT).alias("excerpt")
+    once = public.groupBy("document_version_id", "legal_node_id").agg(pick).select(
+        "c.document_id", "document_version_id", "legal_node_id", "c.locator", F.coalesce("c.node_title", "c.locator").alias("title"), F.substring("c.exact_text", 1, EXCERPT).alias("excerpt")
     )
+    return _each(candidates, public, documents, once)
 
 
 def amendments(versions: DataFrame) -> DataFrame:
